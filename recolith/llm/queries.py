@@ -20,8 +20,53 @@ def op9_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text_classes(_read(spark, sf_dir, "documents"), k=4, least_pct=80)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.mixing import mix_copies
+
+    out = mix_copies(_read(spark, sf_dir, "documents"))
+    return out.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
+    "op7_mix_sources": op7_mix_sources,
     "op9_near_text": op9_near_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, text, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) AS rnk FROM d GROUP BY skey),
+w AS (
+  SELECT *, (CASE (rnk - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS w, 3 * source_size AS cap FROM s),
+p AS (
+  SELECT *, ((SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER o, 0))::DOUBLE
+            / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER o, 0))::DOUBLE AS lvl
+  FROM w WINDOW o AS (ORDER BY cap::DOUBLE / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT lvl AS final FROM p WHERE lvl * w <= cap::DOUBLE ORDER BY cap::DOUBLE / w, skey LIMIT 1),
+t AS (
+  SELECT skey, source_size, coalesce(least(cap::DOUBLE, (SELECT final FROM f) * w), cap::DOUBLE) AS target,
+         ('0x' || substr(md5('17:' || skey), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
+  FROM p),
+r AS (
+  SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY d.skey ORDER BY d.size DESC, d.doc_id)::DOUBLE AS k
+  FROM d JOIN t ON d.skey = t.skey)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE least(floor(target / source_size::DOUBLE * k + u) - floor(target / source_size::DOUBLE * (k - 1) + u), 3) END::BIGINT * size AS taken
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_mix_sources": _MIX,
+}

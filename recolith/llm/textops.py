@@ -62,11 +62,15 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Everything ASCII that is neither a letter nor a digit.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and per row the index of its first word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_WS[data]
+    solid = ~sep[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     last = solid.copy()
@@ -104,10 +108,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, sep: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all rows, and each row's first index."""
     data = lower(data)
-    starts, ends, first = words(data, off)
+    starts, ends, first = words(data, off, sep)
     return span_hashes(data, starts, ends), first
 
 
