@@ -20,6 +20,12 @@ def op9_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text_classes(_read(spark, sf_dir, "documents"), k=4, least_pct=80)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recolith.llm.toxicity import toxicity
 
@@ -33,10 +39,20 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from recolith.llm.token_ids import token_ids
+
+    return token_ids(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op9_near_text": op9_near_text,
+    "op10_token_ids": op10_token_ids,
 }
 
 _MIX = r"""
