@@ -14,6 +14,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.near_vectors import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recolith.llm.near_text import near_text_classes
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op8_near_vectors": op8_near_vectors,
     "op9_near_text": op9_near_text,
     "op10_token_ids": op10_token_ids,
 }
