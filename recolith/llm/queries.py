@@ -32,6 +32,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.lm_score import lm_scores
+
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recolith.llm.toxicity import toxicity
 
@@ -55,6 +61,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op8_near_vectors": op8_near_vectors,
