@@ -44,6 +44,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.secrets import find_secrets
+
+    return find_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recolith.llm.mixing import mix_copies
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
     "op7_mix_sources": op7_mix_sources,
     "op8_near_vectors": op8_near_vectors,
     "op9_near_text": op9_near_text,
