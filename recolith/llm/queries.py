@@ -26,6 +26,18 @@ def op9_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text_classes(_read(spark, sf_dir, "documents"), k=4, least_pct=80)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.language_id import identify_languages
+
+    return identify_languages(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.quality import quality
+
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recolith.llm.decontaminate import contaminated
 
@@ -66,6 +78,8 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
