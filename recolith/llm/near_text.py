@@ -9,8 +9,9 @@ two sets meet in a child with a chance that grows with their similarity.
 Small nodes are compared exhaustively; larger ones branch again, and what is
 still large at the last level is compared block by block, so no task holds
 more than two blocks. Independent trees repeat this to the target recall.
-Candidates are verified on the full shingle sets of the texts, and links
-become components.
+The best candidates of each class are verified on the full shingle sets of
+the texts; where a class has more, all candidates of its nodes that are not
+connected yet are compared exactly inside the node. Links become components.
 
 Recall: a pair of similarity s survives a level with chance about
 1 - exp(-BRANCH * s * q), q being the chance below. At s = 0.8, two levels
@@ -44,7 +45,7 @@ TREES = 12
 LEVELS = 2
 MORE_LEVELS = 2
 NODE = 4096
-BEST, GROW = 3, 8
+BEST = 3
 LOW = 0.65
 SURE = 0.95
 
@@ -128,80 +129,114 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(cid[rows])], names=["path", "cid"])
 
 
-def _compare_node(cid: np.ndarray, tag: np.ndarray, sk: np.ndarray, blk: np.ndarray, within: bool, turn: int) -> tuple[list, list, list]:
-    """Best candidates of each class among the earlier classes of its node.
+def _compare_node(cid: np.ndarray, sk: np.ndarray, blk: np.ndarray, within: bool) -> tuple[list, list, list]:
+    """The ``BEST`` candidates of each class among the earlier classes of its node.
 
-    ``tag`` labels what is already known to be connected; pairs of one label
-    are skipped. ``blk`` (0 or 1) marks the block of each row; pairs of
-    different blocks only, unless ``within``. Returns a, b and whether the
-    class has further candidates for a later turn. Turn t takes the next
-    ``BEST * GROW**t`` candidates, so all are reached in a few turns.
+    ``blk`` (0 or 1) marks the block of each row; pairs of different blocks
+    only, unless ``within``. Returns a, b and whether a has more candidates.
     """
-    skip, upper = (BEST * (GROW**t - 1) // (GROW - 1) for t in (turn, turn + 1))
     order = np.lexsort((cid, blk))
-    cid, tag, sk, blk = cid[order], tag[order], sk[order], blk[order]
-    label = np.unique(tag, return_inverse=True)[1]
+    cid, sk, blk = cid[order], sk[order], blk[order]
+    label = np.arange(len(cid))
     a, b, over = [], [], []
     least, sure = int(LOW * SKETCH), int(SURE * SKETCH)
     split = int(np.searchsorted(blk, 1))
     for x in range(1 if within else split, len(cid)):
         upto = x if within else split
-        other = np.flatnonzero(label[:upto] != label[x])
-        if not len(other):
-            continue
-        same = (sk[other] == sk[x]).sum(axis=1)
-        keep = np.flatnonzero(same >= least)
+        same = (sk[:upto] == sk[x]).sum(axis=1)
+        keep = np.flatnonzero((same >= least) & (label[:upto] != label[x]))
         if not len(keep):
             continue
         keep = keep[np.argsort(-same[keep], kind="stable")]
         best = keep[0]
-        if same[best] >= sure and not turn:
-            a.append(cid[x]), b.append(cid[other[best]]), over.append(False)
-            near = label[other[best]]
+        if same[best] >= sure:
+            near = label[best]
             label[label == label[x]] = near
-            keep = keep[label[other[keep]] != near]
-        pick = keep[skip:upper]
-        more = len(keep) > upper
-        for y in pick:
-            a.append(cid[x]), b.append(cid[other[y]]), over.append(more)
+            keep = np.append(best, keep[label[keep] != near])
+        for y in keep[:BEST].tolist():
+            a.append(cid[x]), b.append(cid[y]), over.append(len(keep) > BEST)
     return a, b, over
 
 
-def _compare(turn: int):
+def _verify_node(cid: np.ndarray, tag: np.ndarray, sk: np.ndarray, sets: list[np.ndarray], nodes: list[set[int]], own: int, blk: np.ndarray, within: bool, least_pct: int) -> tuple[list, list]:
+    """Links that join different tags, found by exact comparison of all candidates.
+
+    A pair that shares several nodes is compared in the smallest of them.
+    """
+    order = np.lexsort((cid, blk))
+    cid, tag, sk, blk = cid[order], tag[order], sk[order], blk[order]
+    sets, nodes = [sets[i] for i in order], [nodes[i] for i in order]
+    label = np.unique(tag, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    a, b, least = [], [], int(LOW * SKETCH)
+    split = int(np.searchsorted(blk, 1))
+    for x in range(1 if within else split, len(cid)):
+        upto = x if within else split
+        keep = np.flatnonzero(label[:upto] != label[x])
+        keep = keep[(sk[keep] == sk[x]).sum(axis=1) >= least]
+        keep = keep[100 * np.minimum(size[keep], size[x]) >= least_pct * np.maximum(size[keep], size[x])]
+        keep = [y for y in keep.tolist() if min(nodes[x] & nodes[y]) == own]
+        if not keep:
+            continue
+        flat, mine = np.concatenate([sets[y] for y in keep]), sets[x]
+        at = np.searchsorted(mine, flat)
+        at[at == len(mine)] = 0
+        ends = np.cumsum(size[keep])
+        both = np.diff(np.append(0, np.append(0, np.cumsum(mine[at] == flat))[ends]))
+        for y in np.array(keep)[100 * both >= least_pct * (size[x] + size[keep] - both)].tolist():
+            if label[y] != label[x]:
+                a.append(cid[x]), b.append(cid[y])
+                label[label == label[x]] = label[y]
+    return a, b
+
+
+def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
+    """Key and rows of each node (or pair of its blocks) of more than one row."""
+    held: list[pa.RecordBatch] = []
+
+    def groups(parts: list[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        key = [t.column(c).to_numpy() for c in ("path", "bi", "bj")]
+        new = np.flatnonzero(np.any([np.diff(c) != 0 for c in key], axis=0)) + 1
+        for i, j in zip(np.append(0, new).tolist(), np.append(new, t.num_rows).tolist(), strict=True):
+            if j - i > 1:
+                yield tuple(int(c[i]) for c in key), t.slice(i, j - i)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(c).to_numpy() for c in ("path", "bi", "bj")]
+        change = np.flatnonzero(np.any([np.diff(c) != 0 for c in key], axis=0))
+        if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("path", "bi", "bj")] != [int(c[0]) for c in key]:
+            yield from groups(held)
+            held = []
+        done = int(change[-1]) + 1 if len(change) else 0
+        if done:
+            yield from groups([*held, batch.slice(0, done)])
+            held = []
+        held.append(batch.slice(done))
+    if held:
+        yield from groups(held)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (_, bi, bj), t in _by_node(batches):
+        a, b, over = _compare_node(t.column("cid").to_numpy(), _sketches(t.column("sketch")), (t.column("blk").to_numpy() != bi).astype(np.int8), bi == bj)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(over, pa.bool_())], names=["a", "b", "over"])
+
+
+def _settle(k: int, least_pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            key = [t.column(c).to_numpy() for c in ("path", "bi", "bj")]
-            new = np.flatnonzero(np.any([np.diff(c) != 0 for c in key], axis=0)) + 1
-            lo = np.concatenate([[0], new])
-            hi = np.concatenate([new, [t.num_rows]])
-            cid, tag, blk, sk = t.column("cid").to_numpy(), t.column("tag").to_numpy(), t.column("blk").to_numpy(), _sketches(t.column("sketch"))
-            a, b, over = [], [], []
-            for i, j in zip(lo[hi - lo > 1].tolist(), hi[hi - lo > 1].tolist(), strict=True):
-                got = _compare_node(cid[i:j], tag[i:j], sk[i:j], (blk[i:j] != key[1][i]).astype(np.int8), key[1][i] == key[2][i], turn)
-                for into, part in zip((a, b, over), got, strict=True):
-                    into += part
+        for (path, bi, bj), t in _by_node(batches):
+            data, off = tx.column_bytes(t.column("text"))
+            sets: list[np.ndarray] = []
+            for i, j in tx.slices(off):
+                sets += tx.shingle_sets(*tx.word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]), k)
+            nodes = [set(x) for x in t.column("nodes").to_pylist()]
+            a, b = _verify_node(t.column("cid").to_numpy(), t.column("tag").to_numpy(), _sketches(t.column("sketch")), sets, nodes, path, (t.column("blk").to_numpy() != bi).astype(np.int8), bi == bj, least_pct)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(over, pa.bool_())], names=["a", "b", "over"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = [batch.column(c).to_numpy() for c in ("path", "bi", "bj")]
-            change = np.flatnonzero(np.any([np.diff(c) != 0 for c in key], axis=0))
-            if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("path", "bi", "bj")] != [int(c[0]) for c in key]:
-                yield from flush(held)
-                held = []
-            if len(change):
-                done = int(change[-1]) + 1
-                yield from flush([*held, batch.slice(0, done)])
-                held = [batch.slice(done)]
-            else:
-                held.append(batch)
-        if held:
-            yield from flush(held)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -231,17 +266,16 @@ def _verify(k: int, least_pct: int):
     return run
 
 
-def _grouped(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Rows of the nodes with their sketches, block by block, ordered by node.
+def _dealt(nodes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of the nodes with the facts of their classes, ordered by node.
 
     A node of more than ``NODE`` rows is dealt over pairs of blocks: a class
     goes to every pair that has its block, so a task never needs the node.
     """
     nb = F.ceil(F.col("n") / NODE).cast("int")
     rows = nodes.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("cid", "path"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("path", "cid", "tag", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
-    rows = rows.join(sketches, "cid").select("path", "bi", "bj", "blk", "cid", "tag", "sketch")
-    return rows.repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
+    rows = rows.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("path", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "cid")
+    return rows.join(facts, "cid").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
 
 
 def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -254,45 +288,51 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
     run, schema = _signatures(k)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = cut(base.mapInArrow(run, schema), "sig")
-    sketches = cut(rows.where("cid is not null").groupBy("cid").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th")), "cls")
-    light = sketches.select("cid", "sketch")
+    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("r")).select("cid", "sketch", "r.doc_id", "r.th"), "cls")
+    light = classes.select("cid", "sketch")
+
+    def texts(cids: DataFrame) -> DataFrame:
+        """Texts of classes: narrow keys are joined first, so whole texts move once."""
+        own = classes.select("cid", F.col("doc_id").alias("id"), F.col("th").alias("h")).join(cids, "cid")
+        return base.join(own, (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cid", "text").dropDuplicates(["cid"])
 
-    paths = sketches.select("cid", "sketch").mapInArrow(_plant, "path long, cid long")
-    found = None
+    paths = light.mapInArrow(_plant, "path long, cid long")
+    nodes = None
     for level in range(MORE_LEVELS + 1):
-        # A class reaches a node once; count rows of a node as they meet, without a second shuffle.
-        paths = cut(paths.distinct(), "paths")
+        paths = cut(paths, "paths")
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = cut(paths.join(sizes, "path"), "nodes")
         drop(paths)
         small = met if level == MORE_LEVELS else met.where(F.col("n") <= NODE)
-        found = small if found is None else found.unionByName(small)
-        if level == MORE_LEVELS or met.where(F.col("n") > NODE).isEmpty():
+        nodes = small if nodes is None else nodes.unionByName(small)
+        big = met.where(F.col("n") > NODE)
+        if level == MORE_LEVELS or big.isEmpty():
             break
-        paths = met.where(F.col("n") > NODE).join(light, "cid").select("path", "cid", "sketch").mapInArrow(_branch, "path long, cid long")
-
-    texts = base.where("doc_id is not null").join(sketches.select(F.col("rep").alias("doc_id"), "th", "cid"), ["doc_id", "th"]).select("cid", "text")
-    nodes = found.withColumn("tag", F.col("cid"))
-    links, comps, turn = None, None, 0
-    while True:
-        pairs = _grouped(nodes, light).mapInArrow(_compare(turn), "a long, b long, over boolean")
-        pairs = cut(pairs.groupBy("a", "b").agg(F.max("over").alias("over")), "pairs")
-        again = not pairs.where("over").isEmpty()
-        need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        known = cut(texts.join(need, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
-        both = pairs.select("a", "b").join(known.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.join(known.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        good = cut(both.mapInArrow(_verify(k, least_pct), "a long, b long"), "links")
-        drop(known)
-        links = good if links is None else links.unionByName(good)
-        comps = cut(connected_components(links, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("comp")), "comp")
-        if not again:
-            return rows, comps
-        # Exact way for classes with more candidates: go on with pairs that are not connected yet.
-        turn += 1
-        open_ = pairs.where("over").select(F.col("a").alias("cid")).distinct()
-        busy = found.join(open_, "cid", "left_semi").select("path").distinct()
-        nodes = found.join(busy, "path", "left_semi").join(comps, "cid", "left").withColumn("tag", F.coalesce("comp", "cid")).drop("comp")
+        paths = big.join(light, "cid").select("path", "cid", "sketch").mapInArrow(_branch, "path long, cid long")
+
+    pairs = _dealt(nodes, light).mapInArrow(_compare, "a long, b long, over boolean")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.max("over").alias("over")), "pairs")
+    known = cut(texts(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "texts")
+    both = pairs.select("a", "b").join(known.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.join(known.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    links = cut(both.mapInArrow(_verify(k, least_pct), "a long, b long"), "links")
+    drop(known)
+    comps = _components(links)
+    if pairs.where("over").isEmpty():
+        return rows, comps
+    # Classes with more candidates than were tried: settle their nodes by exact comparison.
+    busy = nodes.join(pairs.where("over").select(F.col("a").alias("cid")).distinct(), "cid", "left_semi").select("path").distinct()
+    rest = nodes.join(busy, "path", "left_semi").join(comps, "cid", "left").withColumn("tag", F.coalesce("comp", "cid"))
+    mixed = rest.groupBy("path").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("path")
+    rest = cut(rest.join(mixed, "path", "left_semi").select("path", "cid", "n", "tag"), "rest")
+    facts = rest.groupBy("cid").agg(F.first("tag").alias("tag"), F.collect_set("path").alias("nodes"))
+    facts = facts.join(light, "cid").join(cut(texts(rest.select("cid").distinct()), "texts"), "cid")
+    more = cut(_dealt(rest.select("path", "cid", "n"), facts).mapInArrow(_settle(k, least_pct), "a long, b long"), "links")
+    return rows, _components(links.unionByName(more))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return cut(connected_components(links, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("comp")), "comp")
 
 
 def near_text_classes(docs: DataFrame, k: int = 5, least_pct: int = 80) -> DataFrame:
