@@ -48,3 +48,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError("components did not settle")
     return vertices.join(cur.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def tree_paths(nodes: DataFrame, row_id: str, parent: str, name: str, root: str = "root", depth: int = 32) -> DataFrame:
+    """GH03, GH04: path of names from the top to each node.
+
+    A recursive query; it stops at a missing parent, and at ``depth`` levels,
+    so a cycle ends too (its nodes hang on no root and get no path).
+    """
+    spark = nodes.sparkSession
+    nodes.select(F.col(row_id).cast("string").alias("id"), F.col(parent).cast("string").alias("up"), F.col(name).alias("name")).createOrReplaceTempView("__tree")
+    return spark.sql(f"""
+        WITH RECURSIVE t(id, parts, depth) AS (
+          SELECT n.id, array(n.name), 1 FROM __tree n
+          WHERE n.up IS NULL OR n.up = '{root}' OR NOT EXISTS (SELECT 1 FROM __tree p WHERE p.id = n.up)
+          UNION ALL
+          SELECT c.id, array_append(t.parts, c.name), t.depth + 1 FROM __tree c JOIN t ON c.up = t.id WHERE t.depth < {depth})
+        SELECT id AS {row_id}, parts, depth FROM t""")
