@@ -52,7 +52,7 @@ def set_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def duration_report(events: DataFrame, ts: str, *by: str) -> DataFrame:
     """AG18: events and seconds from first to last."""
-    return events.groupBy(*by).agg(F.count("*").alias("n"), (F.max(ts).cast("double") - F.min(ts).cast("double")).alias("seconds"))
+    return events.groupBy(*by).agg(F.count("*").alias("n"), (F.max(F.col(ts).cast("timestamp")).cast("double") - F.min(F.col(ts).cast("timestamp")).cast("double")).alias("seconds"))
 
 
 def grouped_resources(df: DataFrame, folder: str, resource: str, ordinal: str) -> DataFrame:
