@@ -142,7 +142,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
         t = f.dataType.typeName()
         c = F.col(f"`{f.name}`")
         cells.append((F.array_join(c.cast("array<string>"), ";") if t == "array" else F.to_json(c) if t in ("struct", "map", "variant") else c).alias(f.name))
-    df.select(*cells).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.select(*cells).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
