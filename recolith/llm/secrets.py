@@ -227,6 +227,13 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("k", "f", "y")), strict=True))
     if not got:
         return
+    # Each window also without its words and what stands before its tokens: shapes must carry weight alone.
+    bare = []
+    for k, raw, tags in got:
+        g = np.frombuffer(raw, np.int32).reshape(len(SIZES), -1).copy()
+        g[[1, 2, 4, 5]] = 0
+        bare.append((k, g.tobytes(), tags))
+    got += bare
     width = 2 * WINDOW + 1
     f, y, live = np.zeros((len(SIZES), len(got), width), np.int32), np.zeros((len(got), width), np.int64), np.zeros((len(got), width), bool)
     for i, (_, raw, tags) in enumerate(got):
