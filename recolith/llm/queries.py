@@ -118,6 +118,27 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.n),
+k AS (SELECT n, min(c) AS component_id FROM r GROUP BY 1), l AS (SELECT a, count(*) AS n_links FROM p GROUP BY 1)
+SELECT k.n AS vec_id, coalesce(l.n_links, 0) AS n_links, k.component_id, k.n = k.component_id AS kept FROM k LEFT JOIN l ON l.a = k.n
+"""
+
+_TEXTS = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+z AS (SELECT doc_id, len(s) AS n FROM s), f AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM f a JOIN f b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN z x ON x.doc_id = p.a JOIN z y ON y.doc_id = p.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(n, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+k AS (SELECT n, min(c) AS component_id FROM r GROUP BY 1)
+SELECT k.n AS doc_id, z.n AS n_shingles, k.component_id, k.n = k.component_id AS kept FROM k JOIN z ON z.doc_id = k.n
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op7_mix_sources": _MIX,
+    "op8_near_vectors": _VECTORS,
+    "op9_near_text": _TEXTS,
 }
