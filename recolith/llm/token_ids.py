@@ -37,11 +37,16 @@ from recolith.scratch import new_path
 
 SEGMENT = 1 << 20
 END_ID = 2
-KEEP = 400_000
+KEEP = 2_500_000
 
 
 class Pieces:
-    """Tokenizes columns piece by piece with the tokenizers library."""
+    """Tokenizes columns piece by piece with the tokenizers library.
+
+    Ids of pieces are kept by hash in two sorted tables, a large one and a
+    recent one that is merged into it now and then; at ``KEEP`` pieces both
+    start afresh, so memory is bounded.
+    """
 
     def __init__(self, path: str):
         import os
@@ -50,16 +55,17 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        line = self.tok.encode("a\n b", add_special_tokens=False).ids
+        self.line = line[1] if len(line) == 3 and self.tok.encode("\n", add_special_tokens=False).ids == line[1:2] else None
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.at, self.n = [np.zeros(0, np.uint32)], [0], 0
-        self.flat = self.start = None
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Starts of pieces: rows, and each space after a solid character."""
-        solid = ~tx._WS[data]
+    def _cuts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of pieces (rows, and each space after a solid character), and what is solid."""
+        solid = ~tx._WS[data] & (data > 0x1F)
         # The last byte of a wider white-space character counts as space; so do a few others, at no harm.
         tail = (data == 0x85) | (data == 0xA0) | ((data >= 0x80) & (data <= 0xAF))
         wide = np.zeros(len(data), bool)
@@ -69,39 +75,76 @@ class Pieces:
         cut = np.zeros(len(data), bool)
         cut[1:] = (data[1:] == 32) & solid[:-1]
         cut[off[:-1][off[:-1] < off[1:]]] = True
-        return np.flatnonzero(cut)
+        return np.flatnonzero(cut), solid
+
+    def _tokenize(self, texts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and their lengths.
+
+        Plain pieces (solid but for a space in front) are joined by line ends,
+        which are a token of their own there, and cut apart again at it: the
+        library has a cost a call that is far above that of a short piece.
+        """
+        lens = np.zeros(len(texts), np.int64)
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * 2
+        joined = np.flatnonzero(plain) if self.line is not None else np.zeros(0, np.int64)
+        alone = np.setdiff1d(np.arange(len(texts)), joined)
+        if len(joined):
+            lines = ["\n".join([texts[i] for i in joined[k : k + 512].tolist()]) for k in range(0, len(joined), 512)]
+            ids = np.concatenate([np.array([*e.ids, self.line], np.uint32) for e in self.tok.encode_batch(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(joined):
+                raise RuntimeError("pieces and line ends do not agree")
+            lens[joined] = np.diff(np.append(-1, ends)) - 1
+            parts[0] = ids[ids != self.line]
+        if len(alone):
+            got = [e.ids for e in self.tok.encode_batch([texts[i] for i in alone.tolist()], add_special_tokens=False)]
+            lens[alone] = [len(x) for x in got]
+            parts[1] = np.array([x for ids in got for x in ids], np.uint32)
+        order = np.append(joined, alone)
+        flat = np.concatenate(parts)
+        at = np.cumsum(lens[order]) - lens[order]
+        begin = np.empty(len(texts), np.int64)
+        begin[order] = at
+        total = np.cumsum(lens)
+        return flat[np.repeat(begin - (total - lens), lens) + np.arange(total[-1])] if len(texts) else flat, lens
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the number of each row's ids."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        starts = self._cuts(data, off)
+        starts, solid = self._cuts(data, off)
         ends = np.append(starts[1:], len(data))
         uniq, first, inv = np.unique(tx.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > KEEP:
+        if len(self.start) > KEEP:
             self.reset()
-        known = self.known
-        place = [known.get(h, -1) for h in uniq.tolist()]
-        place = np.array(place)
+        place = np.full(len(uniq), -1)
+        for h, i in self.tables:
+            if len(h):
+                at = np.searchsorted(h, uniq)
+                at[at == len(h)] = 0
+                place = np.where(h[at] == uniq, i[at], place)
         miss = np.flatnonzero(place < 0)
         if len(miss):
+            s, e = starts[first[miss]], ends[first[miss]]
+            odd = np.append(0, np.cumsum(~solid))
+            plain = odd[e] - odd[s] == (data[s] == 32)
             raw = data.tobytes()
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[miss]].tolist(), ends[first[miss]].tolist(), strict=True)]
-            new = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-            lens = np.fromiter(map(len, new), np.int64, len(new))
-            flat = np.fromiter((x for ids in new for x in ids), np.uint32, int(lens.sum()))
-            base = len(self.at) - 1
-            self.at.extend((self.at[-1] + np.cumsum(lens)).tolist())
-            self.pool.append(flat)
-            place[miss] = base + np.arange(len(miss))
-            known.update(zip(uniq[miss].tolist(), place[miss].tolist(), strict=True))
-            self.pool = [np.concatenate(self.pool)]
-            self.start = np.array(self.at)
-        flat, start = self.pool[0], self.start
+            ids, lens = self._tokenize([raw[a:b].decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist(), strict=True)], plain)
+            place[miss] = len(self.start) - 1 + np.arange(len(miss))
+            self.start = np.append(self.start, self.start[-1] + np.cumsum(lens))
+            self.flat = np.append(self.flat, ids)
+            (big_h, big_i), (new_h, new_i) = self.tables
+            new_h, new_i = np.append(new_h, uniq[miss]), np.append(new_i, place[miss])
+            if len(new_h) > 200_000:
+                new_h, new_i, big_h, big_i = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.append(big_h, new_h), np.append(big_i, new_i)
+                order = np.argsort(big_h)
+                big_h, big_i = big_h[order], big_i[order]
+            order = np.argsort(new_h)
+            self.tables = [(big_h, big_i), (new_h[order], new_i[order])]
         which = place[inv]
-        lens = start[which + 1] - start[which]
+        lens = self.start[which + 1] - self.start[which]
         total = np.cumsum(lens)
-        ids = flat[np.repeat(start[which] - (total - lens), lens) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(self.start[which] - (total - lens), lens) + np.arange(total[-1])]
         upto = np.append(0, total)[np.searchsorted(starts, off)]
         return ids, np.diff(upto)
 
