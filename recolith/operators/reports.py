@@ -19,7 +19,7 @@ def track_rows(df: DataFrame, path: str, bpm: str) -> DataFrame:
 def bpm_order(bpm: str, title: str, row_id: str) -> list[Column]:
     """WN07: missing tempo last, then tempo, folded title, id."""
     missing = F.coalesce(F.col(bpm), F.lit(0)) <= 0
-    return [missing.asc(), F.col(bpm).asc(), F.lower(title).asc(), F.col(row_id).asc()]
+    return [missing.asc(), F.coalesce(F.col(bpm), F.lit(0)).asc(), F.lower(title).asc(), F.col(row_id).asc()]
 
 
 def parse_track_names(df: DataFrame, path: str) -> DataFrame:
