@@ -3,19 +3,21 @@
 Equal vectors of a label collapse into classes with a count. Every tree
 splits the classes of a label again and again: a node draws a direction from
 the seed, the median of its projections (a grouped aggregate) cuts it, and
-classes within ``SPILL`` of the cut go to both sides. Splitting stops at
-``LEAF`` classes or ``DEPTH`` levels; leaves are compared exhaustively in
-double precision, a leaf over ``BLOCK`` classes by pairs of blocks, so no
-task holds more than two blocks. Two vectors with cosine c differ by
-sqrt(2 - 2c) in length, and along a random direction by about an eighth of
-that in 64 dimensions: at c = 0.98 a standard deviation of 0.025, against a
-spill of 0.04 on each side. A pair is lost at a node with chance under 2e-3,
-and only if lost in all trees. A node most of which lies within the spill
-cannot be split by this direction and becomes a leaf as it is.
+classes within ``SPILL`` of the cut go to both sides. Splitting stops at ``LEAF`` classes or
+``DEPTH`` levels; leaves are compared exhaustively in double precision, a leaf
+over ``BLOCK`` classes by pairs of blocks, so no task holds more than two
+blocks. Projections count in units of the standard deviation by which two
+vectors at the threshold differ along a random direction, sqrt(2 - 2c) /
+sqrt(dimension). With a spill of 0.8 on each side such a pair is lost at a
+node with a chance of about 0.4 % in 64 dimensions, so 5 % in a tree of 14
+levels and under 1e-5 in all four trees; closer pairs far less often. The
+spill makes rows grow by an eighth a level, as the input to the power 1.2. A
+node most of which lies within the spill cannot be split by this direction
+and becomes a leaf as it is.
 
 Links are not emitted pair by pair. A class knows its leaves; a pair is
 counted in the smallest leaf that both share, so counts are exact sums, and
-a leaf emits a spanning forest of its links for the components.
+a leaf emits one edge a class to the root of its part for the components.
 
 Nulls, ties and repeated rows: a vector that is null, all zero, or holds a
 null or non-finite component, and one with a null label, links with nothing
@@ -34,15 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recolith.llm.near_text import _by_node
 from recolith.llm.textops import mix
 from recolith.operators.graph import connected_components
 from recolith.scratch import cut, drop
 
 TREES = 4
-LEAF = 512
+LEAF = 2048
 BLOCK = 2048
 DEPTH = 14
-SPILL = 0.04
+SPILL = 0.8
 LEAST = 0.98
 
 
@@ -51,23 +54,29 @@ def _direction(node: int, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def _vectors(col: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<f8") for x in col.to_pylist()]
+def _matrices(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and their vectors as a matrix, for each length that occurs."""
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    size = np.diff(off) // 8
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        yield rows, data[off[rows][:, None] + np.arange(8 * n)].view("<f8").reshape(len(rows), n)
 
 
-def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    dirs: dict[tuple[int, int], np.ndarray] = {}
-    for b in batches:
-        x, node = _vectors(b.column("vec")), b.column("node").to_pylist()
-        if len(dirs) > 20_000:
-            dirs.clear()
-        p = []
-        for v, n in zip(x, node, strict=True):
-            key = (n, len(v))
-            if key not in dirs:
-                dirs[key] = _direction(*key)
-            p.append(float(v @ dirs[key]))
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("cid", "g", "node")] + [pa.array(p, pa.float64())], names=["cid", "g", "node", "p"])
+def _project(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, node = np.zeros(b.num_rows), b.column("node").to_numpy()
+            for rows, x in _matrices(b.column("vec")):
+                unit = np.sqrt(x.shape[1] / max(2 - 2 * least, 1e-12))
+                order = np.argsort(node[rows], kind="stable")
+                uniq, first = np.unique(node[rows][order], return_index=True)
+                for n, part in zip(uniq.tolist(), np.split(order, first[1:]), strict=True):
+                    p[rows[part]] = x[part] @ _direction(n, x.shape[1]) * unit
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("cid", "g", "node")] + [pa.array(p)], names=["cid", "g", "node", "p"])
+
+    return run
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,68 +94,51 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
 
-def _leaf(cid: np.ndarray, x: np.ndarray, n: np.ndarray, leaves: list[list[int]], own: int, blk: np.ndarray, within: bool, least: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Links of each class that belong to this leaf, and a spanning forest of all its links."""
-    left = np.flatnonzero(blk == 0)
-    right = left if within else np.flatnonzero(blk == 1)
-    links: dict[int, int] = {}
-    root = list(range(len(cid)))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
+def _leaf(x: np.ndarray, n: np.ndarray, shared: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each class that belong to this leaf, and the root of its part of the leaf.
 
-    forest, members = [], [set(v) for v in leaves]
+    ``shared`` marks, for each class, the smaller leaves that it is in: a pair
+    that meets in one of them is counted there. Pairs are of a left and a
+    right class (the same ones within a block).
+    """
+    links, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    within = left is right
     for i in range(0, len(left), 512):
         part = left[i : i + 512]
-        r, c = np.nonzero(x[part] @ x[right].T >= least)
-        for a, b in zip(part[r].tolist(), right[c].tolist(), strict=True):
-            if within and a >= b or cid[a] == cid[b]:
-                continue
-            shared = members[a] & members[b]
-            if min(shared) == own:
-                links[a] = links.get(a, 0) + int(n[b])
-                links[b] = links.get(b, 0) + int(n[a])
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                root[rb] = ra
-                forest.append((int(cid[a]), int(cid[b])))
-    return {int(cid[a]): v for a, v in links.items()}, forest
+        near = x[part] @ x[right].T >= least
+        if within:
+            near[np.arange(len(part)), np.arange(i, i + len(part))] = False
+        for a in np.flatnonzero(near.any(axis=1)).tolist():
+            own = np.append(root[part[a]], root[right[near[a]]])
+            low = own.min()
+            if (own != low).any():
+                root[np.isin(root, own)] = low
+        count = near & (shared[part] @ shared[right].T == 0)
+        links[part] += count @ n[right]
+        if not within:
+            links[right] += n[part] @ count
+    return links, root
 
 
 def _compare(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            a, b, n = [], [], []
-            if len(rows) > 1:
-                leaf, bi, bj = rows[0][0], rows[0][1], rows[0][2]
-                cid = np.array([r[3] for r in rows])
-                by: dict[int, list[int]] = {}
-                for i, r in enumerate(rows):
-                    by.setdefault(len(r[5]), []).append(i)
-                for own in by.values():
-                    rs = [rows[i] for i in own]
-                    links, forest = _leaf(cid[own], np.stack([np.frombuffer(r[5], "<f8") for r in rs]), np.array([r[6] for r in rs]), [r[7] for r in rs], leaf, np.array([0 if r[4] == bi else 1 for r in rs]), bi == bj, least)
-                    for c, k in links.items():
-                        a.append(c), b.append(None), n.append(k)
-                    for c, d in forest:
-                        a.append(c), b.append(d), n.append(0)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("leaf", "bi", "bj", "cid", "blk", "vec", "n", "leaves")), strict=True):
-                if r[:3] != now:
-                    if held:
-                        yield flush(held)
-                    held, now = [], r[:3]
-                held.append(r)
-        if held:
-            yield flush(held)
+        for (own, bi, bj), t in _by_node(batches):
+            cid, n, blk = t.column("cid").to_numpy(), t.column("n").to_numpy(), t.column("blk").to_numpy()
+            at = np.array([len(v) for v in t.column("leaves")])
+            flat, row = t.column("leaves").flatten().to_numpy(), np.repeat(np.arange(len(cid)), at)
+            flat, row = flat[flat < own], row[flat < own]
+            uniq, inv = np.unique(flat, return_inverse=True)
+            for rows, x in _matrices(t.column("vec")):
+                if len(rows) < 2:
+                    continue
+                shared = np.zeros((len(cid), len(uniq)), np.float32)
+                shared[row, inv] = 1
+                left = np.flatnonzero(blk[rows] == bi)
+                right = left if bi == bj else np.flatnonzero(blk[rows] == bj)
+                links, root = _leaf(x, n[rows], shared[rows], left, right, least)
+                own_cid = cid[rows]
+                some, apart = links > 0, root != np.arange(len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(own_cid[some], own_cid[apart])), pa.array(np.append(np.zeros(some.sum(), np.int64), own_cid[root[apart]]), mask=np.append(np.ones(some.sum(), bool), np.zeros(apart.sum(), bool))), pa.array(np.append(links[some], np.zeros(apart.sum(), np.int64)))], names=["a", "b", "n"])
 
     return run
 
@@ -179,7 +171,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, l
         big = sized.where(F.col("size") > leaf)
         if big.isEmpty():
             break
-        p = cut(big.join(vec, "cid").select("cid", "g", "node", "vec").mapInArrow(_project, "cid long, g long, node long, p double"), "proj")
+        p = cut(big.join(vec, "cid").select("cid", "g", "node", "vec").mapInArrow(_project(least), "cid long, g long, node long, p double"), "proj")
         cuts = p.groupBy("g", "node").agg(F.percentile_approx("p", [0.2, 0.5, 0.8], 1000).alias("q"))
         p = p.join(cuts, ["g", "node"]).withColumns({"low": F.col("q")[0], "mid": F.col("q")[1], "high": F.col("q")[2]})
         tight = (F.col("low") >= F.col("mid") - SPILL) & (F.col("high") <= F.col("mid") + SPILL)
@@ -192,9 +184,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, l
     own = at.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     sizes = at.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     deal = at.join(sizes, "leaf").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("cid", "leaf"), F.col("nb")).cast("int"))
-    deal = deal.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("leaf", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "cid")
-    deal = deal.join(own, "cid").join(classes.select("cid", "vec", "n"), "cid").select("leaf", "bi", "bj", "blk", "cid", "vec", "n", "leaves")
-    deal = deal.repartition("leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
+    deal = deal.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select(F.col("leaf").alias("path"), F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "cid")
+    deal = deal.join(own, "cid").join(classes.select("cid", "vec", "n"), "cid").select("path", "bi", "bj", "blk", "cid", "vec", "n", "leaves")
+    deal = deal.repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
     found = cut(deal.mapInArrow(_compare(least), "a long, b long, n long"), "found")
 
     counts = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("more"))
