@@ -71,7 +71,12 @@ def candidates(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     rows[np.searchsorted(off, at, "right") - 1] = True
     other = np.flatnonzero(~_HEXC[data])
     edge = np.concatenate([[-1], other, [len(data)]])
-    rows[np.searchsorted(off, edge[:-1][np.diff(edge) > 24] + 1, "right") - 1] = True
+    long = np.diff(edge) > 24
+    # A run may go on over the ends of rows: every row that it touches is scanned.
+    touched = np.zeros(len(off), np.int64)
+    np.add.at(touched, np.searchsorted(off, edge[:-1][long] + 1, "right") - 1, 1)
+    np.add.at(touched, np.searchsorted(off, edge[1:][long] - 1, "right"), -1)
+    rows |= np.cumsum(touched[:-1]) > 0
     raw, i = data.tobytes(), -1
     while (i := raw.find(b"AKIA", i + 1)) >= 0:
         rows[np.searchsorted(off, i, "right") - 1] = True

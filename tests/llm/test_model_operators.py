@@ -133,6 +133,18 @@ def test_secret_base_spans(spark):
     assert secrets.find_secrets(docs_of(spark, texts).where("doc_id < 0")).count() == 0
 
 
+def test_bare_digests_after_each_other(spark):
+    digests = [hashlib.sha256(bytes([i])).hexdigest() for i in range(6)]
+    texts = ["abd", digests[0], "", None, digests[1], digests[2], "0a" * 11, "b", digests[3] + " x", "face", "é" + digests[4], digests[5][:23], digests[5][:24]]
+    data, off = tx.column_bytes(pa.array(texts, pa.string()))
+    rows = secrets.candidates(data, off)
+    assert all(rows[i] for i, x in enumerate(texts) if base(x or ""))
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs_of(spark, texts).coalesce(1), secrets.Crf().pack()).collect()}
+    for i, x in enumerate(texts):
+        want = base(x or "")
+        assert (got[i]["n_hex"], got[i]["spans"]) == (len(want), ",".join(f"hex:{s}:{e}" for s, _, e in want))
+
+
 def test_crf_decodes_best_paths():
     rng = np.random.default_rng(0)
     m = secrets.Crf()
