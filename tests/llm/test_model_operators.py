@@ -96,6 +96,14 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_score.lm_scores(docs).collect()} == want
 
 
+def test_lm_words_depend_on_the_words_before(spark):
+    """Two words of one shape and one count: the words before tell which comes."""
+    texts = ["red cat", "big dog"] * 200
+    docs = docs_of(spark, [*texts, "red cat", "red dog", "big dog", "big cat"], ids=[*(i for i in range(1, 5000) if zlib.crc32(str(i).encode()) % 10)][: len(texts)] + [*(i for i in range(1, 5000) if zlib.crc32(str(i).encode()) % 10 == 0)][:4])
+    held = [r["score"] for r in lm_score.lm_scores(docs).where("held_out").orderBy("doc_id").collect()]
+    assert held[0] > held[1] + 0.5 and held[2] > held[3] + 0.5
+
+
 def test_lm_decisions_are_probabilities():
     """Over all words that can follow, the model's shares of classes and frequent words sum to at most one."""
     m = lm_score.Model(np.array([5, 9], np.uint64), np.array([3, 1]), np.array([2, 2]), {})
