@@ -96,6 +96,15 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_score.lm_scores(docs).collect()} == want
 
 
+def test_lm_score_does_not_depend_on_frequent(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    got = []
+    for n in (1 << 20, 50, 0):
+        monkeypatch.setattr(lm_score, "FREQUENT", n)
+        got.append({r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs).collect()})
+    assert len(got[0]) == 120 and got[1] == pytest.approx(got[0], rel=1e-9) and got[2] == pytest.approx(got[0], rel=1e-9)
+
+
 def test_lm_words_depend_on_the_words_before(spark):
     """Two words of one shape and one count: the words before tell which comes."""
     texts = ["red cat", "big dog"] * 200
