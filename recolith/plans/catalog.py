@@ -501,19 +501,36 @@ def shingle_overlap_pairs(spark, d):
     return similarity.overlap_pairs(_fingerprints(spark, d), "doc_id", "fp")
 
 
+def _sign_codes():
+    code = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, j: s + F.when(F.get(F.col("embedding"), j + 32 * i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
+    return F.array(code(0), code(1))
+
+
 @query("""
 WITH e AS (SELECT vec_id, label, list_transform(range(0, 2), lambda i: list_sum(list_transform(range(0, 32), lambda j: CASE WHEN embedding[i * 32 + j + 1] > 0 THEN (1::BIGINT << j) ELSE 0 END))::BIGINT) AS c FROM embeddings),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.c[1], b.c[1])) + bit_count(xor(a.c[2], b.c[2])) AS bits FROM e a JOIN e b ON a.label = b.label AND a.c[1] % 64 = b.c[1] % 64 AND a.vec_id < b.vec_id)
 SELECT a, b, round(1 - bits / 64.0, 6) AS similarity FROM p""")
 def hamming_similarity(spark, d):
-    """SI02 on sign bits of embeddings, within a label and its low six bits."""
-    code = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, j: s + F.when(F.get(F.col("embedding"), j + 32 * i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
-    e = t(spark, d, "embeddings").select("vec_id", "label", F.array(code(0), code(1)).alias("c")).withColumn("k", F.col("c")[0] % 64)
+    """SI02 on sign bits of embeddings, only within a label and its low six bits; ``hamming_similarity_labels`` has all pairs."""
+    e = t(spark, d, "embeddings").select("vec_id", "label", _sign_codes().alias("c")).withColumn("k", F.col("c")[0] % 64)
     b = e.select(F.col("vec_id").alias("b"), "label", "k", F.col("c").alias("cb"))
     p = e.select(F.col("vec_id").alias("a"), "label", "k", "c").join(b, ["label", "k"]).where("a < b")
     return p.select("a", "b", F.round(similarity.fingerprint_similarity(F.col("c"), F.col("cb"), F.lit(0))["similarity"], 6).alias("similarity"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(range(0, 2), lambda i: list_sum(list_transform(range(0, 32), lambda j: CASE WHEN embedding[i * 32 + j + 1] > 0 THEN (1::BIGINT << j) ELSE 0 END))::BIGINT) AS c FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(1 - (bit_count(xor(a.c[1], b.c[1])) + bit_count(xor(a.c[2], b.c[2]))) / 64.0, 6) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id""")
+def hamming_similarity_labels(spark, d, blocks=8):
+    """SI02 on sign bits of embeddings: all pairs of a label, each pair of its blocks in a task of its own."""
+    e = t(spark, d, "embeddings").select("vec_id", "label", _sign_codes().alias("c")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
+    a = e.select(F.col("vec_id").alias("a"), "label", "c", F.col("own").alias("i"), other.alias("j"))
+    b = e.select(F.col("vec_id").alias("b"), "label", F.col("c").alias("cb"), F.col("own").alias("j"), other.alias("i"))
+    p = a.join(b, ["label", "i", "j"]).where("a < b")
+    return p.select("a", "b", F.round(similarity.fingerprint_similarity(F.col("c"), F.col("cb"), F.lit(0))["similarity"], 6).alias("similarity"))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (
     SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM documents UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY substr(text, 1, 60)) FROM documents) WHERE a <> b),

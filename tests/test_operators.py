@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recolith.operators import dedup, graph, matching, mutate, similarity, taxonomy
+from recolith.plans import catalog
 
 
 def rows(df, *cols):
@@ -100,6 +101,17 @@ def test_hamming(spark):
     assert got == [(3, 1.0, 1.0), (1, 0.0, 1 - 1 / 32)]
 
 
+def test_hamming_has_all_pairs_of_a_label(spark, tmp_path):
+    draw = random.Random(3)
+    v = [[draw.choice([-1.0, 1.0]) for _ in range(64)] for _ in range(40)]
+    v += [[-x if i == k else x for i, x in enumerate(v[k])] for k in range(12)]  # one sign apart, also among the first six
+    rows = [(i, x, i % 2) for i, x in enumerate(v)] + [(90, v[0], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["a"], r["b"]): r["similarity"] for r in catalog.QUERIES["hamming_similarity_labels"](spark, str(tmp_path)).collect()}
+    same = {(a, b): round(sum((x > 0) == (y > 0) for x, y in zip(v[a], v[b], strict=True)) / 64, 6) for a in range(52) for b in range(a + 1, 52) if a % 2 == b % 2}
+    assert got == same and got[0, 40] == round(63 / 64, 6)
+
+
 def test_candidate_scores(spark):
     df = spark.createDataFrame([("A & B", "Song (Mix)", "Song", "A", "Song", "discogs", True), ("A", "X", "X", "Q", "Zzz", "itunes", False)], "artist string, title_raw string, title_clean string, matched_artist string, matched_title string, source string, has_genre boolean")
     got = [(r["identity_score"], r["candidate_confidence_label"]) for r in similarity.candidate_scores(df).collect()]
