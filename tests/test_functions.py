@@ -1,6 +1,9 @@
 """Scalar functions against worked cases."""
 
 import datetime as dt
+import hashlib
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,8 @@ from pyspark.sql import functions as F
 from recolith.functions import paths as pa
 from recolith.functions import rules, values
 from recolith.functions import text as tx
+from recolith.plans import catalog
+from tests.conftest import SF
 
 
 def one(spark, expr, *args):
@@ -128,3 +133,15 @@ def test_proposal(spark):
 def test_retry_ladder(spark):
     df = spark.sql("SELECT false AS l, false AS a, 3 AS r, timestamp'2024-01-02' AS ready, timestamp'2024-01-01' AS now, false AS d")
     assert df.select(rules.retry_decision(*[F.col(c) for c in ("l", "a", "r", "ready", "now", "d")])).first()[0] == "cooldown"
+
+
+def test_every_document_is_normalised(spark, tmp_path):
+    def plain(x):
+        x = unicodedata.normalize("NFKD", x or "").encode("ascii", "ignore").decode().casefold().replace("&", " and ")
+        return " ".join(re.sub(r"[^a-z0-9]+", " ", re.sub(r"\b(feat|featuring|ft)\.?\b", " feat ", x)).split())
+
+    texts = [None, "", "plain ASCII & more", "Café Ünïted ft. Ａ１", "ﬁne x featuring y", "日本", "ß straße", "a_feat b\n\tc", "Ⅳ ½ é" * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), SF):
+        want = {r["doc_id"]: hashlib.md5(plain(r["text"]).encode()).hexdigest() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        assert {r["doc_id"]: r["digest"] for r in catalog.QUERIES["text_compact_documents"](spark, folder).collect()} == want
