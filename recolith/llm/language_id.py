@@ -8,8 +8,8 @@ share. All three levels, and how far declarations agree with texts, are
 grouped sums of text posteriors; a page's own part is taken out of the sums
 that it is judged by, so a host of one page falls back to its suffix.
 
-Trigram models are fitted on labelled documents: the ``SAMPLE_ROWS`` with the
-smallest hash of their id, spread over languages. Everything else covers all
+Trigram models are fitted on labelled documents: of each language the
+``SAMPLE_ROWS`` with the smallest hash of their id. Everything else covers all
 pages. Sums are made per task before they move; rows that join them are
 narrow, and AQE may split a host that holds a third of the pages.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recolith.llm import textops as tx
@@ -72,8 +72,12 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities of trigram slots by language."""
     rows = docs.where("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.lower(F.trim("lang")).alias("lang"), "text")
-    few = rows.select("id").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample_rows)
-    got = rows.join(F.broadcast(few), "id").select("lang", "text").mapInArrow(_train, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).toPandas()
+    ids = rows.select("lang", "id").distinct().withColumn("k", F.xxhash64("id", F.lit(1)))
+    share = F.lit(2.0 * sample_rows) / F.col("n")
+    # Twice as many as wanted by a bound on the hash, then exactly: no task sees more of a language.
+    near = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.col("k") / F.lit(2.0**64) + 0.5 <= share)
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "id"))).where(F.col("r") <= sample_rows).select("lang", "id")
+    got = rows.join(F.broadcast(few), ["lang", "id"]).select("lang", "text").mapInArrow(_train, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).toPandas()
     langs = sorted(got["lang"].unique().tolist())
     c = np.zeros((len(langs), SLOTS))
     c[[langs.index(x) for x in got["lang"]], got["slot"].to_numpy(np.int64)] = got["c"].to_numpy(float)

@@ -232,6 +232,11 @@ def test_language_id(spark):
     assert got.count() == pages.count() and got.where("lang = declared").count() > 0.9 * pages.count()
 
 
+def test_rare_languages_have_models(spark):
+    docs = docs_of(spark, ["the house and the river"] * 400 + ["das haus und der fluss"]).withColumn("lang", F.when(F.col("doc_id") < 400, "en").otherwise("de"))
+    assert language_id.fit_languages(docs, sample_rows=10)[0] == ["de", "en"]
+
+
 def test_language_evidence(spark):
     docs = docs_of(spark, ["the house and the river", "das haus und der fluss"] * 20).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
     text = {"en": "the house and the river " * 3, "de": "das haus und der fluss " * 3}
