@@ -122,6 +122,18 @@ def test_lm_decisions_are_probabilities():
     assert (bits > 0).all() and bits[0] > bits[1]
 
 
+def test_lm_start_is_fitted_on_all_slices():
+    m = lm_score.Model(np.array([5, 9], np.uint64), np.array([3, 1]), np.array([2, 2]), {})
+    shared = type("Shared", (), {"value": m.pack()})
+    none = pa.array([None, None], pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("together", pa.int64())])))
+
+    def fit(second):
+        b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a " * (1 << 19), second]), none], names=["k", "text", "more"])
+        return next(lm_score._fit(shared)([b])).to_pylist()
+
+    assert fit("some words of a second slice " * 50) != fit("1 22 333 4444 55555 " * 50)
+
+
 def test_lm_odd_rows(spark):
     df = docs_of(spark, odd_texts())
     got = {r["doc_id"]: r for r in lm_score.lm_scores(df.unionByName(docs_of(spark, ["a b"], ids=[None]))).collect()}
