@@ -8,19 +8,21 @@ sequence, so splitting bytes and splitting characters agree.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: Bytes that are taken apart at once; temporaries are some hundred times as large at most.
 SLICE_BYTES = 4 << 20
-_CHUNK = 1 << 18
 _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPAN = 64
-_R = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, size=_SPAN * 256, dtype=np.uint64)
+_LONG = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << (8 * m)) - 1 for m in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,29 +84,38 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = _WS) -> tuple[np.
     return starts, ends, np.searchsorted(starts, off)
 
 
+def windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number; zeros follow the end."""
+    pad = np.zeros(len(data) + 8, np.uint8)
+    pad[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", pad, strides=(1,))
+
+
+def block(win: np.ndarray, starts: np.ndarray, sizes: np.ndarray, i: int) -> np.ndarray:
+    """Bytes ``8 * i`` to ``8 * i + 7`` of each span as a number; zero beyond its end."""
+    left = np.clip(sizes - 8 * i, 0, 8)
+    return win[np.minimum(starts + 8 * i, len(win) - 1)] & _MASK[left]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are in order and do not overlap.
+    """A 64-bit hash of each byte span.
 
-    Tabulation hashing: the sum over the span of a random 64-bit number for
-    (position, byte); two different spans collide with chance 2**-64.
+    A chain of finalisers over the length and the span's blocks of eight
+    bytes: spans of one length that differ in a single block never collide,
+    others like random numbers. Spans of more than ``_LONG`` bytes, of which
+    a text can hold few, get a cryptographic digest.
     """
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
-        a, b = starts[i], ends[j - 1]
-        s = starts[i:j] - a
-        d = data[a:b]
-        pos = np.arange(b - a, dtype=np.int64) - np.repeat(s, np.diff(np.append(s, b - a)))
-        val = np.empty(b - a + 1, np.uint64)
-        val[-1] = 0
-        val[:-1] = _R[((pos & (_SPAN - 1)) << 8) | d]
-        if (ends[i:j] - starts[i:j]).max() > _SPAN:
-            val[:-1] *= ((pos >> 6) * 2 + 1).astype(np.uint64)
-        cuts = np.empty(2 * (j - i), np.int64)
-        cuts[0::2], cuts[1::2] = s, ends[i:j] - a
-        out[i:j] = np.add.reduceat(val, cuts)[0::2]
-        i = j
+    sizes = ends - starts
+    win = windows(data)
+    out = mix(block(win, starts, sizes, 0) + sizes.astype(np.uint64) * _STEP)
+    own = np.flatnonzero((sizes > 8) & (sizes <= _LONG))
+    i = 1
+    while len(own):
+        out[own] = mix(out[own] * _STEP + block(win, starts[own], sizes[own], i))
+        i += 1
+        own = own[sizes[own] > 8 * i]
+    for j in np.flatnonzero(sizes > _LONG).tolist():
+        out[j] = int.from_bytes(hashlib.blake2b(data[starts[j] : ends[j]], digest_size=8).digest(), "little")
     return out
 
 
@@ -115,9 +126,6 @@ def word_hashes(data: np.ndarray, off: np.ndarray, sep: np.ndarray = _WS) -> tup
     return span_hashes(data, starts, ends), first
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its k-word shingles.
 
