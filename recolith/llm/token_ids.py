@@ -37,14 +37,18 @@ from recolith.scratch import new_path
 
 SEGMENT = 1 << 20
 END_ID = 2
-KEEP = 2_500_000
+KEEP = 2_000_000
+#: Pieces of more bytes are not kept for later slices.
+LONG = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
     """Tokenizes columns piece by piece with the tokenizers library.
 
-    Ids of pieces are kept by hash in two sorted tables, a large one and a
-    recent one that is merged into it now and then; at ``KEEP`` pieces both
+    Ids of pieces are kept: those of up to 16 bytes with their bytes, found by
+    hash in two sorted tables, a large one and a recent one that is merged
+    into it now and then; longer ones by their bytes. At ``KEEP`` pieces all
     start afresh, so memory is bounded.
     """
 
@@ -62,6 +66,8 @@ class Pieces:
     def reset(self) -> None:
         self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.w0, self.w1, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.long: dict[bytes, int] = {}
 
     def _cuts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of pieces (rows, and each space after a solid character), and what is solid."""
@@ -114,25 +120,33 @@ class Pieces:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         starts, solid = self._cuts(data, off)
         ends = np.append(starts[1:], len(data))
-        uniq, first, inv = np.unique(tx.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.start) > KEEP:
             self.reset()
+        raw, odd = data.tobytes(), np.append(0, np.cumsum(~solid, dtype=np.int32))
+        sizes = ends - starts
+        which = np.empty(len(starts), np.int64)
+        short = np.flatnonzero(sizes <= 16)
+        win = tx.windows(data)
+        w0, w1 = (tx.block(win, starts[short], sizes[short], i) for i in range(2))
+        uniq, first, inv = np.unique(tx.mix(tx.mix(w0 + sizes[short].astype(np.uint64) * _STEP) * _STEP + w1), return_index=True, return_inverse=True)
+        key = (w0[first], w1[first], sizes[short][first])
         place = np.full(len(uniq), -1)
         for h, i in self.tables:
             if len(h):
                 at = np.searchsorted(h, uniq)
                 at[at == len(h)] = 0
                 place = np.where(h[at] == uniq, i[at], place)
-        miss = np.flatnonzero(place < 0)
+        # A hash only finds a piece; its ids are used where all its bytes agree.
+        equal = (w0 == key[0][inv]) & (w1 == key[1][inv]) & (sizes[short] == key[2][inv])
+        kept = place >= 0
+        same = kept.copy()
+        same[kept] = (self.w0[place[kept]] == key[0][kept]) & (self.w1[place[kept]] == key[1][kept]) & (self.size[place[kept]] == key[2][kept])
+        equal &= (same | ~kept)[inv]
+        miss = np.flatnonzero(~kept)
         if len(miss):
-            s, e = starts[first[miss]], ends[first[miss]]
-            odd = np.append(0, np.cumsum(~solid))
-            plain = odd[e] - odd[s] == (data[s] == 32)
-            raw = data.tobytes()
-            ids, lens = self._tokenize([raw[a:b].decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist(), strict=True)], plain)
-            place[miss] = len(self.start) - 1 + np.arange(len(miss))
-            self.start = np.append(self.start, self.start[-1] + np.cumsum(lens))
-            self.flat = np.append(self.flat, ids)
+            at = short[first[miss]]
+            place[miss] = self._keep(raw, starts[at], ends[at], odd, data)
+            self.w0, self.w1, self.size = (np.append(a, k) for a, k in ((self.w0, key[0][miss]), (self.w1, key[1][miss]), (self.size, key[2][miss].astype(np.uint8))))
             (big_h, big_i), (new_h, new_i) = self.tables
             new_h, new_i = np.append(new_h, uniq[miss]), np.append(new_i, place[miss])
             if len(new_h) > 200_000:
@@ -141,13 +155,38 @@ class Pieces:
                 big_h, big_i = big_h[order], big_i[order]
             order = np.argsort(new_h)
             self.tables = [(big_h, big_i), (new_h[order], new_i[order])]
-        which = place[inv]
+        which[short] = place[inv]
+        # Longer pieces, and those whose hash another piece has, are found by their bytes.
+        rest = np.sort(np.append(np.flatnonzero(sizes > 16), short[~equal]))
+        if len(rest):
+            if len(self.long) > KEEP // 16:
+                self.long = {}
+            spans = [raw[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            new = {x: i for x, i in zip(spans, rest.tolist(), strict=True) if x not in self.long}
+            at = np.fromiter(new.values(), np.int64, len(new))
+            found = dict(zip(new, self._keep(raw, starts[at], ends[at], odd, data).tolist(), strict=True))
+            for n in ("w0", "w1", "size"):
+                old = getattr(self, n)
+                setattr(self, n, np.append(old, np.zeros(len(found), old.dtype)))
+            self.long.update((x, i) for x, i in found.items() if len(x) <= LONG)
+            which[rest] = [found[x] if x in found else self.long[x] for x in spans]
         lens = self.start[which + 1] - self.start[which]
         total = np.cumsum(lens)
         ids = self.flat[np.repeat(self.start[which] - (total - lens), lens) + np.arange(total[-1])]
         upto = np.append(0, total)[np.searchsorted(starts, off)]
         return ids, np.diff(upto)
 
+    def _keep(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Tokenize pieces and keep their ids; the places where they are kept."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        plain = odd[ends] - odd[starts] == (data[starts] == 32)
+        ids, lens = self._tokenize([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], plain)
+        place = len(self.start) - 1 + np.arange(len(starts))
+        self.start = np.append(self.start, self.start[-1] + np.cumsum(lens))
+        self.flat = np.append(self.flat, ids)
+        return place
+
 
 _encoder: dict[str, Pieces] = {}
 
@@ -180,7 +219,7 @@ def _pack(path: str, end_id: int):
 
         for b in batches:
             data, off = tx.column_bytes(b.column("text"))
-            for i, j in tx.slices(off, 2 << 20):
+            for i, j in tx.slices(off, 1 << 20):
                 got, m = with_end(*enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i]), end_id)
                 docs += b.column("doc_id").slice(i, j - i).to_pylist()
                 lens += m.tolist()
