@@ -17,7 +17,8 @@ Nulls, empty texts and repeated rows: a null text is empty, and its measures
 are 0; a null site or path is a group of its own. A null label is no label. A
 null ``doc_id`` counts as held out. Repeated rows each get a row and count
 each. An empty table gives an empty table; without labels of both classes the
-evidence is 0.5 for all.
+evidence is 0.5 for all. Texts are read whole, however long, in slices of
+rows. Of an id's rows each different text is trained on once. Texts are read whole, however long, in slices of rows.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in tx.slices(off):
             x = measures(data[off[i] : off[j]], off[i : j + 1] - off[i])
             rest = [b.column(c).slice(i, j - i) for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*(c for c in b.schema.names if c != "text"), "x"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * MEASURES), pa.array(x.ravel()))], names=[*(c for c in b.schema.names if c != "text"), "x"])
 
 
 def _strength(groups: DataFrame, n: str, mean: str, within: str) -> float:
@@ -106,7 +107,8 @@ def quality(docs: DataFrame, labels: DataFrame, site: F.Column | None = None, pa
     rows = cut(rows.mapInArrow(_measure, "doc_id long, site string, path string, x array<double>"), "measures")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     few = known.where(fold(F.col("doc_id"), folds) != 0).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(MAX_ROWS)
-    got = rows.select("doc_id", "x").join(F.broadcast(few), "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id")
+    # Measures stand for the text here: equal ones of an id count once, and the sample is bounded in rows.
+    got = rows.select("doc_id", "x").join(F.broadcast(few), "doc_id").select("doc_id", "y", "x").distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", "x").limit(MAX_ROWS).toPandas()
     w = fit_logistic(np.array(got["x"].tolist()), got["y"].to_numpy(float)) if got["y"].nunique() == 2 else np.zeros(MEASURES + 1)
     z = F.lit(float(w[-1]))
     for i in range(MEASURES):

@@ -14,7 +14,10 @@ Spans of the CRF that overlap no base span are added under the kind ``crf``.
 Nulls, empty texts and repeated rows: a null text is empty and has no spans;
 its digest is that of the empty string. Repeated rows each get a row. An
 empty table gives an empty table. Without base spans in the sample the CRF
-adds nothing. Texts are scanned whole, row by row, without a shuffle.
+adds nothing. Texts are scanned whole, row by row, without a shuffle; places
+in a very long text with many spans come from one running count of its
+characters. Of an id's rows each different text is sampled once, and at most
+``SAMPLE_ROWS`` in all.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recolith.llm import textops as tx
+from recolith.llm.samples import pick_rows
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -48,6 +53,7 @@ _DIGIT = np.array([chr(c).isdigit() and c < 128 for c in range(256)])
 _UPPER = np.array([65 <= c < 91 for c in range(256)])
 _LOW = np.array([97 <= c < 123 for c in range(256)])
 _HEXC = np.array([chr(c) in "0123456789abcdef" for c in range(256)])
+_HEAD = (np.arange(256) & 0xC0) != 0x80  # the first byte of a character
 _LENS = np.array([2, 4, 6, 10, 16, 20, 24, 32, 48])
 #: Sizes of the feature tables: shape, word, shapes and words of neighbours, gap, document.
 SHAPES = 10 * 2 * 2 * 2 * 2 * 2 * 4
@@ -212,13 +218,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not spans or hi == lo:
                     continue
                 y = np.zeros(hi - lo, np.int8)
+                places = np.append(np.flatnonzero(_HEAD[np.frombuffer(raw, np.uint8)]), len(raw)) + o[r]  # byte of each character
                 for s, kind, e in spans:
                     if kind == 0:
                         s = e - len(ASSIGN.match(text, s)[2])
-                    s, e = (int(o[r]) + len(text[:x].encode()) for x in (s, e))
-                    own = np.flatnonzero((t.starts[lo:hi] < e) & (t.ends[lo:hi] > s))
-                    y[own] = I
-                    y[own[:1]] = B
+                    x, z = np.searchsorted(t.ends[lo:hi], places[s], "right"), np.searchsorted(t.starts[lo:hi], places[e], "left")
+                    y[x:z] = I
+                    y[x : min(x + 1, z)] = B
                 hits = np.flatnonzero(y)
                 if not len(hits):
                     continue
@@ -254,8 +260,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_secrets(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes:
     """A packed CRF from the base spans of the ``sample_rows`` rows with the smallest hash of their id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    few = rows.where("id is not null").select("id").distinct().withColumn("k", F.xxhash64("id", F.lit(6))).orderBy("k", "id").limit(sample_rows)
-    got = rows.join(F.broadcast(few), "id").select("k", "text").mapInArrow(_windows, "k long, f binary, y binary").repartition(1).mapInArrow(_fit, "m binary").first()
+    few = rows.where("id is not null").select("id").distinct().withColumn("h", F.xxhash64("id", F.lit(6))).orderBy("h", "id").limit(sample_rows)
+    got = pick_rows(docs, few, {}, sample_rows).select(F.col("h").alias("k"), "text").mapInArrow(_windows, "k long, f binary, y binary").repartition(1).mapInArrow(_fit, "m binary").first()
     return got["m"] if got else Crf().pack()
 
 
@@ -270,11 +276,11 @@ def _scan(shared):
             data, off = tx.column_bytes(b.column("text"))
             for i, j in tx.slices(off):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                chars = np.append(0, np.cumsum(_HEAD[d]))  # code points before a byte
                 spans: list[list] = [[] for _ in range(j - i)]
-                text: dict[int, str] = {}
+                base: dict[int, list[list]] = {}
                 for r in np.flatnonzero(candidates(d, o)).tolist():
-                    text[r] = d[o[r] : o[r + 1]].tobytes().decode("utf-8", "replace")
-                    spans[r] = base_spans(text[r])
+                    spans[r] = base_spans(d[o[r] : o[r + 1]].tobytes().decode("utf-8", "replace"))
                 if m.on:
                     t = Tagged(d, o)
                     tags = m.decode(m.emissions(t.f), t.row)
@@ -282,8 +288,11 @@ def _scan(shared):
                     new = np.append(True, (np.diff(hit) != 1) | (tags[hit[1:]] == B) | (np.diff(t.row[hit]) != 0))[: len(hit)]
                     for part in np.split(hit, np.flatnonzero(new)[1:]) if len(hit) else []:
                         r = int(t.row[part[0]])
-                        s, e = (len(d[o[r] : x].tobytes().decode("utf-8", "replace")) for x in (t.starts[part[0]], t.ends[part[-1]]))
-                        if not any(s < z and x < e for x, k, z in spans[r] if k < 3):
+                        s, e = (int(chars[x] - chars[o[r]]) for x in (t.starts[part[0]], t.ends[part[-1]]))
+                        # Base spans of one kind do not overlap, so of each kind the last that starts before e decides.
+                        if r not in base:
+                            base[r] = [[x for x in spans[r] if x[1] == k] for k in range(3)]
+                        if not any((at := bisect_left(own, (e,))) and own[at - 1][2] > s for own in base[r]):
                             spans[r].append((s, 3, e))
                 cols: list[list] = [[], [], [], [], []]
                 for own in spans:
