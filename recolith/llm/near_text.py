@@ -10,13 +10,18 @@ Small nodes are compared exhaustively; larger ones branch again, and what is
 still large at the last level is compared block by block, so no task holds
 more than two blocks. Independent trees repeat this to the target recall.
 The best candidates of each class are verified on the full shingle sets of
-the texts; where a class has more, all candidates of its nodes that are not
-connected yet are compared exactly inside the node. Links become components.
+the texts; where a class has others (more than ``BEST``, or some that its
+sketch would put into one group with the best), all candidates of its nodes
+that verified links do not connect yet are compared exactly inside the node.
+Only rows with such a candidate get their texts, in blocks bounded by
+shingles. Links become components; only verified links connect.
 
 Recall: a pair of similarity s survives a level with chance about
-1 - exp(-BRANCH * s * q), q being the chance below. At s = 0.8, two levels
-and twelve trees, a pair is missed with a chance under 1e-4; at s = 0.9,
-under 1e-5.
+1 - exp(-BRANCH * s * q), q being the chance below. At exactly s = 0.8 a pair
+is missed in all twelve trees with a chance of about 2e-5 with two levels,
+and 3e-4 where nodes are so large that they branch four times; at s = 0.9
+under 2e-6 and 3e-5. Its sketches agree in less than ``LOW`` of the positions
+with a chance under 1e-6.
 
 Nulls, empty texts and repeated rows: a text without words has the empty set
 and links with nothing; it forms its own component. Rows that share a
@@ -44,9 +49,13 @@ BRANCH = 1.6
 TREES = 12
 LEVELS = 2
 MORE_LEVELS = 2
+#: Classes above which a node branches again, and classes of a block of a node.
 NODE = 4096
+BLOCK = 1024
+#: Shingles of a block whose texts are compared.
+SHINGLES = 2 << 20
 BEST = 3
-LOW = 0.65
+LOW = 0.62
 SURE = 0.95
 
 _rng = np.random.Generator(np.random.PCG64(97))
@@ -149,15 +158,41 @@ def _compare_node(cid: np.ndarray, sk: np.ndarray, blk: np.ndarray, within: bool
             continue
         keep = keep[np.argsort(-same[keep], kind="stable")]
         best = keep[0]
+        more = len(keep) > BEST
         if same[best] >= sure:
-            near = label[best]
-            label[label == label[x]] = near
+            # An estimate: what it leaves out is settled exactly where verified links do not connect it.
+            near, found = label[best], len(keep)
+            label[x] = near
             keep = np.append(best, keep[label[keep] != near])
+            more = len(keep) > BEST or len(keep) < found
         for y in keep[:BEST].tolist():
-            a.append(cid[x]), b.append(cid[y]), over.append(len(keep) > BEST)
+            a.append(cid[x]), b.append(cid[y]), over.append(more)
     return a, b, over
 
 
+def _cross_node(tag: np.ndarray, sk: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least_pct: int) -> np.ndarray:
+    """Rows that have a candidate of another tag on the other side."""
+    out, least = np.zeros(len(tag), bool), int(LOW * SKETCH)
+    for x in left.tolist():
+        keep = right[(tag[right] != tag[x]) & (100 * np.minimum(size[right], size[x]) >= least_pct * np.maximum(size[right], size[x]))]
+        keep = keep[(sk[keep] == sk[x]).sum(axis=1) >= least]
+        out[keep] = True
+        out[x] |= len(keep) > 0
+    return out
+
+
+def _cross(least_pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path, bi, bj), t in _by_node(batches):
+            blk = t.column("blk").to_numpy()
+            left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+            some = np.flatnonzero(_cross_node(t.column("tag").to_numpy(), _sketches(t.column("sketch")), t.column("n_shingles").to_numpy(), left, right, least_pct))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), path)), t.column("cid").take(pa.array(some))], names=["path", "cid"])
+
+    return run
+
+
 def _verify_node(cid: np.ndarray, tag: np.ndarray, sk: np.ndarray, sets: list[np.ndarray], nodes: list[set[int]], own: int, blk: np.ndarray, within: bool, least_pct: int) -> tuple[list, list]:
     """Links that join different tags, found by exact comparison of all candidates.
 
@@ -267,13 +302,12 @@ def _verify(k: int, least_pct: int):
 
 
 def _dealt(nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows of the nodes with the facts of their classes, ordered by node.
+    """Rows of the nodes (``path, cid, nb``) with the facts of their classes, ordered by node.
 
-    A node of more than ``NODE`` rows is dealt over pairs of blocks: a class
-    goes to every pair that has its block, so a task never needs the node.
+    A node is dealt over pairs of its ``nb`` blocks: a class goes to every
+    pair that has its block, so a task never needs the node.
     """
-    nb = F.ceil(F.col("n") / NODE).cast("int")
-    rows = nodes.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("cid", "path"), F.col("nb")).cast("int"))
+    rows = nodes.withColumn("blk", F.pmod(F.xxhash64("cid", "path"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("path", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "cid")
     return rows.join(facts, "cid").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
 
@@ -288,7 +322,7 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
     run, schema = _signatures(k)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = cut(base.mapInArrow(run, schema), "sig")
-    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("r")).select("cid", "sketch", "r.doc_id", "r.th"), "cls")
+    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("r")).select("cid", "sketch", "n_shingles", "r.doc_id", "r.th"), "cls")
     light = classes.select("cid", "sketch")
 
     def texts(cids: DataFrame) -> DataFrame:
@@ -310,7 +344,8 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
             break
         paths = big.join(light, "cid").select("path", "cid", "sketch").mapInArrow(_branch, "path long, cid long")
 
-    pairs = _dealt(nodes, light).mapInArrow(_compare, "a long, b long, over boolean")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")
+    pairs = _dealt(nodes.select("path", "cid", blocks), light).mapInArrow(_compare, "a long, b long, over boolean")
     pairs = cut(pairs.groupBy("a", "b").agg(F.max("over").alias("over")), "pairs")
     known = cut(texts(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "texts")
     both = pairs.select("a", "b").join(known.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
@@ -325,9 +360,15 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
     rest = nodes.join(busy, "path", "left_semi").join(comps, "cid", "left").withColumn("tag", F.coalesce("comp", "cid"))
     mixed = rest.groupBy("path").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("path")
     rest = cut(rest.join(mixed, "path", "left_semi").select("path", "cid", "n", "tag"), "rest")
-    facts = rest.groupBy("cid").agg(F.first("tag").alias("tag"), F.collect_set("path").alias("nodes"))
-    facts = facts.join(light, "cid").join(cut(texts(rest.select("cid").distinct()), "texts"), "cid")
-    more = cut(_dealt(rest.select("path", "cid", "n"), facts).mapInArrow(_settle(k, least_pct), "a long, b long"), "links")
+    tags = rest.select("cid", "tag").distinct()
+    facts = tags.join(classes.select("cid", "sketch", "n_shingles"), "cid")
+    open_ = cut(_dealt(rest.select("path", "cid", blocks), facts).mapInArrow(_cross(least_pct), "path long, cid long").distinct().join(classes.select("cid", "n_shingles"), "cid"), "open")
+    if open_.isEmpty():
+        return rows, comps
+    sizes = open_.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / SHINGLES)).cast("int").alias("nb"))
+    facts = open_.groupBy("cid").agg(F.collect_set("path").alias("nodes")).join(tags, "cid")
+    facts = facts.join(light, "cid").join(cut(texts(open_.select("cid").distinct()), "texts"), "cid")
+    more = cut(_dealt(open_.select("path", "cid").join(sizes, "path"), facts).mapInArrow(_settle(k, least_pct), "a long, b long"), "links")
     return rows, _components(links.unionByName(more))
 
 

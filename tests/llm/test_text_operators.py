@@ -95,6 +95,7 @@ def test_near_text_crowded_node(spark, monkeypatch):
             w[i] = f"q{rng.integers(1e9)}"
         texts.append(" ".join(w))
     monkeypatch.setattr(near_text, "NODE", 32)
+    monkeypatch.setattr(near_text, "BLOCK", 32)
     got = {r["doc_id"]: r["component_id"] for r in near_text.near_text_classes(docs_of(spark, texts), k=4).collect()}
     assert got == {i: c for i, (_, c) in brute_classes(list(enumerate(texts)), 4).items()}
 
