@@ -15,7 +15,9 @@ narrow, and AQE may split a host that holds a third of the pages.
 
 Nulls, empty texts and repeated rows: a null ``html`` has no text and no
 declaration, a null or unusual ``url`` has host and suffix ``""``; what is
-missing adds no evidence. Repeated rows each get a row and count each. An
+missing adds no evidence. Very long pages are read whole, in slices of rows. Repeated
+rows each get a row and count each; of an id's rows each different text is
+trained on once, at most ``SAMPLE_ROWS`` texts a language. An
 empty table gives an empty table; without labelled documents every page gets
 the language ``und`` with probability 1.
 """
@@ -45,12 +47,13 @@ def trigram_slots(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     """Row and slot of each trigram of letters, marks and single spaces."""
     data = tx.lower(data)
     data = np.where(tx.NOT_ALNUM[data], np.uint8(32), data)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     n = max(0, len(data) - 2)
-    a, b, c = (data[i : n + i].astype(np.uint64) for i in range(3))
-    ok = (row[:n] == row[2:]) & ((a != 32) | (b != 32)) & ((b != 32) | (c != 32))
-    h = tx.mix((a << np.uint64(16) | b << np.uint64(8) | c) + np.uint64(11)) >> np.uint64(50)
-    return row[:n][ok], h[ok].astype(np.int64)
+    a, b, c = (data[i : n + i] for i in range(3))
+    ok = np.flatnonzero((row[:n] == row[2:]) & ((a != 32) | (b != 32)) & ((b != 32) | (c != 32)))
+    key = a[ok].astype(np.uint32) << np.uint32(16) | b[ok].astype(np.uint32) << np.uint32(8) | c[ok]
+    # 24 bits to 14: an odd factor and the product's leading bits.
+    return row[ok], (key * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int32)
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,12 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list
     # Twice as many as wanted by a bound on the hash, then exactly: no task sees more of a language.
     near = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.col("k") / F.lit(2.0**64) + 0.5 <= share)
     few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "id"))).where(F.col("r") <= sample_rows).select("lang", "id")
-    got = rows.join(F.broadcast(few), ["lang", "id"]).select("lang", "text").mapInArrow(_train, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).toPandas()
+    keyed = rows.withColumn("th", F.xxhash64("text"))
+    # An id with many rows counts each different text once, and a language keeps to its rows.
+    keys = keyed.select("lang", "id", "th").join(F.broadcast(few), ["lang", "id"]).distinct()
+    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(1)), "id", "th"))).where(F.col("r") <= sample_rows).drop("r")
+    texts = keyed.join(F.broadcast(keys), ["lang", "id", "th"]).dropDuplicates(["lang", "id", "th"])
+    got = texts.select("lang", "text").mapInArrow(_train, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).toPandas()
     langs = sorted(got["lang"].unique().tolist())
     c = np.zeros((len(langs), SLOTS))
     c[[langs.index(x) for x in got["lang"]], got["slot"].to_numpy(np.int64)] = got["c"].to_numpy(float)
@@ -99,12 +107,14 @@ def _read(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         for b in batches:
-            html = b.column("html").to_pylist()
-            declared = [(m[1].lower() if x and (m := _LANG.search(x)) else None) for x in html]
-            text = pa.array([_DROP.sub(" ", x) if x else "" for x in html], pa.string())
-            data, off = tx.column_bytes(text)
-            like = np.concatenate([text_posteriors(data[off[i] : off[j]], off[i : j + 1] - off[i], logs) for i, j in tx.slices(off)]) if b.num_rows else np.zeros((0, len(logs)))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(declared, pa.string()), pa.array(like.tolist(), pa.list_(pa.float64()))], names=["page_id", "url", "declared", "loglike"])
+            raw, at = tx.column_bytes(b.column("html"))
+            for i, j in tx.slices(at):
+                html = [raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
+                declared = [m[1].lower() if (m := _LANG.search(x)) else None for x in html]
+                data, off = tx.column_bytes(pa.array([_DROP.sub(" ", x) for x in html], pa.large_string()))
+                like = text_posteriors(data, off, logs)
+                like = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * len(logs)), pa.array(like.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("page_id").slice(i, j - i), b.column("url").slice(i, j - i), pa.array(declared, pa.string()), like], names=["page_id", "url", "declared", "loglike"])
 
     return run
 
