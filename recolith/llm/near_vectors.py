@@ -1,23 +1,29 @@
 """Embedding near-dedup by a random-projection tree forest.
 
 Equal vectors of a label collapse into classes with a count. Every tree
-splits the classes of a label again and again: a node draws a direction from
-the seed, the median of its projections (a grouped aggregate) cuts it, and
-classes within ``SPILL`` of the cut go to both sides. Splitting stops at ``LEAF`` classes or
-``DEPTH`` levels; leaves are compared exhaustively in double precision, a leaf
-over ``BLOCK`` classes by pairs of blocks, so no task holds more than two
-blocks. Projections count in units of the standard deviation by which two
-vectors at the threshold differ along a random direction, sqrt(2 - 2c) /
+splits the classes of a label again and again: a node draws ``TRIES``
+directions from the seed and takes the one along which fewest classes lie
+near the middle; the median of its projections (a grouped aggregate) cuts the
+node, and classes within ``SPILL`` of the cut go to both sides. A node of at
+most ``LEAF`` classes is a leaf. Where every direction would send most
+classes to both sides, the node draws new directions at the next level, up
+to ``RETRIES`` times; then its classes are copies of each other as far as
+directions can tell, and it is a leaf as it is: beyond ``TIGHT`` a split
+would multiply rows faster than it saves comparisons. Leaves are compared
+exhaustively in double precision, one over ``BLOCK`` classes by pairs of
+blocks, so no task holds more than two blocks. Depth has no limit: a split
+leaves each side with about two thirds of the node at most.
+
+Projections count in units of the standard deviation by which two vectors at
+the threshold differ along a random direction, sqrt(2 - 2c) /
 sqrt(dimension). With a spill of 0.8 on each side such a pair is lost at a
-node with a chance of about 0.4 % in 64 dimensions, so 5 % in a tree of 14
-levels and under 1e-5 in all four trees; closer pairs far less often. The
-spill makes rows grow by an eighth a level, as the input to the power 1.2. A
-node most of which lies within the spill cannot be split by this direction
-and becomes a leaf as it is.
+node with a chance of about 0.4 % in 64 dimensions, so under 5 % in a tree of
+twelve levels and under 1e-5 in all four trees; closer pairs far less often.
 
-Links are not emitted pair by pair. A class knows its leaves; a pair is
-counted in the smallest leaf that both share, so counts are exact sums, and
-a leaf emits one edge a class to the root of its part for the components.
+Links are not emitted pair by pair. A class knows its leaves; a pair found
+near is counted in the smallest leaf that both share, so counts are exact
+sums, and a leaf emits one edge a class to the root of its part for the
+components.
 
 Nulls, ties and repeated rows: a vector that is null, all zero, or holds a
 null or non-finite component, and one with a null label, links with nothing
@@ -33,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +49,18 @@ from recolith.operators.graph import connected_components
 from recolith.scratch import cut, drop
 
 TREES = 4
-LEAF = 2048
-BLOCK = 2048
-DEPTH = 14
+LEAF = 64
+BLOCK = 1024
+TRIES, RETRIES = 3, 2
 SPILL = 0.8
+#: Share of a node within the spill from which on a direction does not split it.
+TIGHT = 0.35
 LEAST = 0.98
 
 
-def _direction(node: int, dim: int) -> np.ndarray:
-    v = np.random.Generator(np.random.PCG64(node & (2**63 - 1))).standard_normal(dim)
-    return v / np.linalg.norm(v)
+def _directions(seed: int, dim: int) -> np.ndarray:
+    v = np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, TRIES))
+    return v / np.linalg.norm(v, axis=0)
 
 
 def _matrices(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -65,16 +74,20 @@ def _matrices(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _project(least: float):
+    """Projections on the directions that a node tries in its ``tries``-th round."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, node = np.zeros(b.num_rows), b.column("node").to_numpy()
+            p, node, tries = np.zeros((b.num_rows, TRIES)), b.column("node").to_numpy(), b.column("tries").to_numpy()
             for rows, x in _matrices(b.column("vec")):
                 unit = np.sqrt(x.shape[1] / max(2 - 2 * least, 1e-12))
-                order = np.argsort(node[rows], kind="stable")
-                uniq, first = np.unique(node[rows][order], return_index=True)
+                seed = mix(node[rows].view(np.uint64) + tries[rows].astype(np.uint64))
+                order = np.argsort(seed, kind="stable")
+                uniq, first = np.unique(seed[order], return_index=True)
                 for n, part in zip(uniq.tolist(), np.split(order, first[1:]), strict=True):
-                    p[rows[part]] = x[part] @ _direction(n, x.shape[1]) * unit
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("cid", "g", "node")] + [pa.array(p)], names=["cid", "g", "node", "p"])
+                    p[rows[part]] = x[part] @ _directions(n, x.shape[1]) * unit
+            cols = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TRIES), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("cid", "g", "node", "tries")] + [cols], names=["cid", "g", "node", "tries", "p"])
 
     return run
 
@@ -82,29 +95,57 @@ def _project(least: float):
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors as bytes of doubles; null where the vector cannot link."""
     for b in batches:
-        out = []
-        for v in b.column("embedding").to_pylist():
-            u = None
-            if v and None not in v:
-                x = np.array(v, np.float64)
-                n = np.sqrt(x @ x)
-                if np.isfinite(x).all() and n > 0 and np.isfinite(n):
-                    u = (x / n).tobytes()
-            out.append(u)
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
-
-
-def _leaf(x: np.ndarray, n: np.ndarray, shared: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        col = b.column("embedding")
+        flat = col.flatten()
+        size = np.array(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
+        x = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        some = np.flatnonzero(size)
+        norm = np.zeros(len(size))
+        if len(some):
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm[some] = np.sqrt(np.add.reduceat(x * x, (ends - size)[some]))
+        ok = np.isfinite(norm) & (norm > 0)
+        own = np.repeat(ok, size)
+        unit = (x / np.repeat(np.where(ok, norm, 1), size))[own]
+        off = np.append(0, np.cumsum(np.where(ok, size, 0))).astype(np.int32) * 8
+        valid = pa.py_buffer(np.packbits(ok, bitorder="little").tobytes())
+        out = pa.Array.from_buffers(pa.binary(), len(size), [valid, pa.py_buffer(off.tobytes()), pa.py_buffer(unit.astype("<f8").tobytes())])
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), out], names=["vec_id", "label", "vec"])
+
+
+def _shared(keys: np.ndarray, first: np.ndarray, leaf: np.ndarray, n_leaves: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether classes a and b, pair by pair, share one of the leaves listed for them.
+
+    ``leaf[first[i]:first[i + 1]]`` are those of class i and ``keys`` all
+    (class, leaf) as sorted numbers; memory is bounded by chunks of pairs.
+    """
+    out = np.zeros(len(a), bool)
+    n = np.diff(first)[a]
+    upto, i = np.cumsum(n), 0
+    while i < len(a) and len(keys):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + (1 << 20), "right")))
+        m = n[i:j]
+        at = np.repeat(first[a[i:j]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        key = np.repeat(b[i:j], m) * n_leaves + leaf[at]
+        place = np.searchsorted(keys, key)
+        place[place == len(keys)] = 0
+        out[i:j] = np.bincount(np.repeat(np.arange(j - i), m), keys[place] == key, j - i) > 0
+        i = j
+    return out
+
+
+def _leaf(x: np.ndarray, n: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray, int], left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each class that belong to this leaf, and the root of its part of the leaf.
 
-    ``shared`` marks, for each class, the smaller leaves that it is in: a pair
-    that meets in one of them is counted there. Pairs are of a left and a
-    right class (the same ones within a block).
+    ``lists`` has the smaller leaves of each class: a pair that meets in one
+    of them is counted there. Pairs are of a left and a right class (the same
+    ones within a block).
     """
     links, root = np.zeros(len(x), np.int64), np.arange(len(x))
     within = left is right
-    for i in range(0, len(left), 512):
-        part = left[i : i + 512]
+    for i in range(0, len(left), 256):
+        part = left[i : i + 256]
         near = x[part] @ x[right].T >= least
         if within:
             near[np.arange(len(part)), np.arange(i, i + len(part))] = False
@@ -113,10 +154,12 @@ def _leaf(x: np.ndarray, n: np.ndarray, shared: np.ndarray, left: np.ndarray, ri
             low = own.min()
             if (own != low).any():
                 root[np.isin(root, own)] = low
-        count = near & (shared[part] @ shared[right].T == 0)
-        links[part] += count @ n[right]
+        a, b = np.nonzero(near)
+        a, b = part[a], right[b]
+        count = ~_shared(*lists, a, b)
+        links += np.bincount(a[count], n[b[count]], len(x)).astype(np.int64)
         if not within:
-            links[right] += n[part] @ count
+            links += np.bincount(b[count], n[a[count]], len(x)).astype(np.int64)
     return links, root
 
 
@@ -124,18 +167,20 @@ def _compare(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (own, bi, bj), t in _by_node(batches):
             cid, n, blk = t.column("cid").to_numpy(), t.column("n").to_numpy(), t.column("blk").to_numpy()
-            at = np.array([len(v) for v in t.column("leaves")])
+            at = pc.list_value_length(t.column("leaves")).to_numpy()
             flat, row = t.column("leaves").flatten().to_numpy(), np.repeat(np.arange(len(cid)), at)
             flat, row = flat[flat < own], row[flat < own]
             uniq, inv = np.unique(flat, return_inverse=True)
             for rows, x in _matrices(t.column("vec")):
                 if len(rows) < 2:
                     continue
-                shared = np.zeros((len(cid), len(uniq)), np.float32)
-                shared[row, inv] = 1
+                new = np.full(len(cid), -1)
+                new[rows] = np.arange(len(rows))
+                keys = np.sort(new[row[new[row] >= 0]] * max(len(uniq), 1) + inv[new[row] >= 0])
+                lists = (keys, np.searchsorted(keys, np.arange(len(rows) + 1) * max(len(uniq), 1)), keys % max(len(uniq), 1), max(len(uniq), 1))
                 left = np.flatnonzero(blk[rows] == bi)
                 right = left if bi == bj else np.flatnonzero(blk[rows] == bj)
-                links, root = _leaf(x, n[rows], shared[rows], left, right, least)
+                links, root = _leaf(x, n[rows], lists, left, right, least)
                 own_cid = cid[rows]
                 some, apart = links > 0, root != np.arange(len(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(own_cid[some], own_cid[apart])), pa.array(np.append(np.zeros(some.sum(), np.int64), own_cid[root[apart]]), mask=np.append(np.ones(some.sum(), bool), np.zeros(apart.sum(), bool))), pa.array(np.append(links[some], np.zeros(apart.sum(), np.int64)))], names=["a", "b", "n"])
@@ -158,27 +203,30 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, l
     vec = classes.select("cid", "vec")
 
     roots = F.explode(F.array(*[F.lit(int(mix(np.array([t + 1], np.uint64)).view(np.int64)[0])) for t in range(trees)]))
-    nodes = cut(classes.select("cid", "g", roots.alias("node")), "nodes")
+    nodes = cut(classes.select("cid", "g", roots.alias("node"), F.lit(0).alias("tries")), "nodes")
     leaves = None
-    for level in range(DEPTH + 1):
+    while True:
         sizes = nodes.groupBy("g", "node").agg(F.count("*").alias("size"))
-        if level == DEPTH:
-            leaves = nodes if leaves is None else leaves.unionByName(nodes)
-            break
         sized = nodes.join(sizes, ["g", "node"])
-        done = cut(sized.where(F.col("size") <= leaf).select("cid", "g", "node"), "leaves")
+        done = sized.where((F.col("size") <= leaf) | (F.col("tries") > RETRIES)).select("cid", "g", "node")
         leaves = done if leaves is None else leaves.unionByName(done)
-        big = sized.where(F.col("size") > leaf)
+        big = sized.where((F.col("size") > leaf) & (F.col("tries") <= RETRIES))
         if big.isEmpty():
             break
-        p = cut(big.join(vec, "cid").select("cid", "g", "node", "vec").mapInArrow(_project(least), "cid long, g long, node long, p double"), "proj")
-        cuts = p.groupBy("g", "node").agg(F.percentile_approx("p", [0.2, 0.5, 0.8], 1000).alias("q"))
-        p = p.join(cuts, ["g", "node"]).withColumns({"low": F.col("q")[0], "mid": F.col("q")[1], "high": F.col("q")[2]})
-        tight = (F.col("low") >= F.col("mid") - SPILL) & (F.col("high") <= F.col("mid") + SPILL)
-        leaves = leaves.unionByName(cut(p.where(tight).select("cid", "g", "node"), "leaves"))
-        sides = F.filter(F.array(F.when(F.col("p") <= F.col("mid") + SPILL, F.lit(0)), F.when(F.col("p") > F.col("mid") - SPILL, F.lit(1))), lambda x: x.isNotNull())
-        drop(nodes)
-        nodes = cut(p.where(~tight).select("cid", "g", "node", F.explode(sides).alias("side")).select("cid", "g", F.xxhash64("node", "side").alias("node")), "nodes")
+        p = cut(big.join(vec, "cid").select("cid", "g", "node", "tries", "vec").mapInArrow(_project(least), "cid long, g long, node long, tries int, p array<double>"), "proj")
+        mids = p.groupBy("g", "node").agg(*[F.percentile_approx(F.col("p")[i], 0.5, 1000).alias(f"m{i}") for i in range(TRIES)])
+        p = p.join(mids, ["g", "node"])
+        near = [F.avg((F.abs(F.col("p")[i] - F.col(f"m{i}")) <= SPILL).cast("double")) for i in range(TRIES)]
+        best = p.groupBy("g", "node").agg(*[x.alias(f"s{i}") for i, x in enumerate(near)])
+        best = best.select("g", "node", F.array_min(F.array(*[F.struct(F.col(f"s{i}").alias("share"), F.lit(i).alias("i")) for i in range(TRIES)])).alias("best"))
+        p = p.join(best, ["g", "node"])
+        x, mid = F.element_at("p", F.col("best.i") + 1), F.element_at(F.array(*[F.col(f"m{i}") for i in range(TRIES)]), F.col("best.i") + 1)
+        sides = F.filter(F.array(F.when(x <= mid + SPILL, F.lit(0)), F.when(x > mid - SPILL, F.lit(1))), lambda v: v.isNotNull())
+        sides = F.when(F.col("best.share") >= TIGHT, F.array(F.lit(-1))).otherwise(sides)
+        step = p.select("cid", "g", "node", "tries", F.explode(sides).alias("side"))
+        stays = F.col("side") == -1
+        nodes = cut(step.select("cid", "g", F.when(stays, F.col("node")).otherwise(F.xxhash64("node", "side")).alias("node"), F.when(stays, F.col("tries") + 1).otherwise(0).alias("tries")), "nodes")
+        drop(p)
 
     at = leaves.select("cid", F.xxhash64("g", "node").alias("leaf"))
     own = at.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))

@@ -44,6 +44,27 @@ def test_rans_blocks_and_damage():
         rans.decode(raw[:10])
 
 
+def test_pieces_that_differ_in_far_blocks():
+    texts = ["a" * 64 + "b" * 128 + "a" * 64, "b" * 64 + "a" * 128 + "b" * 64, *("x" * n + y + "z" * 20 for n in (3, 100, 193, 1000) for y in "pq"), "", "ab cd"]
+    enc, tok = token_ids.Pieces(PATH), Tokenizer.from_file(PATH)
+    data, off = tx.column_bytes(pa.array(texts))
+    h, first = tx.word_hashes(data, off)
+    assert len(set(h.tolist())) == sum(np.diff(first)) == len(texts) + 0
+    for _ in range(2):
+        ids, lens = enc.encode(data, off)
+        assert ids.tolist() == [i for x in texts for i in tok.encode(x, add_special_tokens=False).ids]
+
+
+def test_pieces_with_one_hash(monkeypatch):
+    """Pieces whose hashes collide are told apart by their bytes."""
+    monkeypatch.setattr(token_ids.tx, "mix", lambda x: x & np.uint64(3))
+    texts = ["the cat and the dog", "one two three four five", "the cat two"]
+    enc, tok = token_ids.Pieces(PATH), Tokenizer.from_file(PATH)
+    for _ in range(2):
+        ids, _ = enc.encode(*tx.column_bytes(pa.array(texts)))
+        assert ids.tolist() == [i for x in texts for i in tok.encode(x, add_special_tokens=False).ids]
+
+
 @given(st.lists(st.text(alphabet="ab'sé \n\t  　\x85\x1c!1日", max_size=25), min_size=1, max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_pieces_equal_the_tokenizer(texts):
@@ -232,6 +253,32 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     assert near_vectors.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_near_vectors_recall_with_splits(spark, monkeypatch):
+    """Planted pairs in 64 dimensions at the threshold and above, through several splits."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(700):
+        v = rng.normal(size=64)
+        v /= np.linalg.norm(v)
+        rows.append((2 * i, v.tolist(), i % 2))
+        w = rng.normal(size=64)
+        w -= (w @ v) * v
+        c = 0.9801 if i % 2 else rng.uniform(0.9801, 1)
+        rows.append((2 * i + 1, (c * v + math.sqrt(1 - c * c) * w / np.linalg.norm(w)).tolist(), i % 2))
+    base = rng.normal(size=64)
+    rows += [(2000 + i, (base + 0.06 * rng.normal(size=64)).tolist(), 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    depth = []
+    run = near_vectors._project
+    monkeypatch.setattr(near_vectors, "_project", lambda least: depth.append(1) or run(least))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df).collect()}
+    want = {i: (n, c) for i, n, c in brute_vectors(rows)}
+    assert len(depth) >= 4
+    assert sum(n for n, _ in got.values()) >= 0.999 * sum(n for n, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i] == want[i] for i in want) >= 0.999 * len(want)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     langs, logs = language_id.fit_languages(docs)
