@@ -114,7 +114,8 @@ def free_name(target: Column, order: list[Column], style: str, taken: Column | N
 
 def signature(path, size, mtime_ns, window) -> Column:
     """PA09."""
-    return F.struct(compare_key(path).alias("path"), F.col(size).cast("long").alias("size"), F.col(mtime_ns).cast("long").alias("mtime_ns"), F.col(window).cast("long").alias("window"))
+    number = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
+    return F.struct(compare_key(path).alias("path"), number(size).alias("size"), number(mtime_ns).alias("mtime_ns"), number(window).alias("window"))
 
 
 def conversion(c) -> Column:

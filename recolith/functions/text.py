@@ -175,7 +175,7 @@ def playlist_uuid(c) -> Column:
 def artist_parts(c) -> Column:
     """TX18: all parts."""
     parts = F.split(_text(c), r"(?i)\s*(?:,|&|\+|\bx\b|\bfeat\.?\b|\bft\.?\b)\s*")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def primary_artist(c) -> Column:

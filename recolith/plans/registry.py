@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from recolith.plans import more as _more  # noqa: F401  (registers its queries)
+from recolith.plans import scalars as _scalars  # noqa: F401
 from recolith.plans.catalog import QUERIES
 from recolith.plans.catalog import SQL as ORACLE_SQL
 
