@@ -1,4 +1,4 @@
-"""Graphs and hierarchies (GH01, GH03, GH04, GH07 of the survey)."""
+"""Graphs and hierarchies (GH01, GH03, GH04 of the survey)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from recolith.scratch import cut, drop
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+    """What a round leaves: rows and two sums of hashes, in 64 bits that wrap by hand."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first())
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -50,18 +51,35 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return vertices.join(cur.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def tree_paths(nodes: DataFrame, row_id: str, parent: str, name: str, root: str = "root", depth: int = 32) -> DataFrame:
-    """GH03, GH04: path of names from the top to each node.
+def tree_paths(nodes: DataFrame, row_id: str, parent: str, name: str, root: str = "root", max_rounds: int = 40) -> DataFrame:
+    """GH03, GH04: path of names from the top to each node, and its depth.
 
-    A recursive query; it stops at a missing parent, and at ``depth`` levels,
-    so a cycle ends too (its nodes hang on no root and get no path).
+    Pointer doubling: each round joins a node's chain with the chain of the
+    ancestor where it ends, so rounds grow with the logarithm of the depth,
+    which has no limit. A chain ends at a missing parent or the root mark.
+    Pointers are doubled alone first: nodes whose pointer has not ended after
+    as many steps as there are nodes are on or below a cycle and get no path.
     """
-    spark = nodes.sparkSession
-    nodes.select(F.col(row_id).cast("string").alias("id"), F.col(parent).cast("string").alias("up"), F.col(name).alias("name")).createOrReplaceTempView("__tree")
-    return spark.sql(f"""
-        WITH RECURSIVE t(id, parts, depth) AS (
-          SELECT n.id, array(n.name), 1 FROM __tree n
-          WHERE n.up IS NULL OR n.up = '{root}' OR NOT EXISTS (SELECT 1 FROM __tree p WHERE p.id = n.up)
-          UNION ALL
-          SELECT c.id, array_append(t.parts, c.name), t.depth + 1 FROM __tree c JOIN t ON c.up = t.id WHERE t.depth < {depth})
-        SELECT id AS {row_id}, parts, depth FROM t""")
+    cur = nodes.select(F.col(row_id).cast("string").alias("id"), F.when(F.col(parent).cast("string") != root, F.col(parent).cast("string")).alias("up"), F.array(F.col(name)).alias("parts"))
+    known = cur.select(F.col("id").alias("up")).distinct().withColumn("__here", F.lit(True))
+    cur = cut(cur.join(known, "up", "left").select("id", F.when(F.col("__here"), F.col("up")).alias("up"), "parts"), "tree")
+
+    def double(rows: DataFrame, rounds: int, with_parts: bool) -> DataFrame:
+        for _ in range(rounds):
+            if rows.where("up is not null").isEmpty():
+                break
+            above = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), *([F.col("parts").alias("more")] if with_parts else []))
+            step = rows.join(above, "up", "left").select("id", F.col("next").alias("up"), *([F.concat(F.coalesce("more", F.array().cast("array<string>")), "parts").alias("parts")] if with_parts else []))
+            new = cut(step, "tree")
+            if with_parts or rows is not cur:
+                drop(rows)
+            rows = new
+        return rows
+
+    rounds = min(max_rounds, cur.count().bit_length() + 1)
+    ends = double(cur.select("id", "up"), rounds, False)
+    lost = ends.where("up is not null").select("id")
+    good = cut(cur.join(lost, "id", "left_anti"), "tree")
+    out = double(good, rounds, True)
+    drop(cur)
+    return out.select(F.col("id").alias(row_id), "parts", F.size("parts").alias("depth"))

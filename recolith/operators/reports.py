@@ -84,13 +84,15 @@ def best_candidate(cands: DataFrame, item: str, confidence: str, identity: str,
 
 
 def limit_with_status(df: DataFrame, exists: Column, duplicate: Column, order: Sequence[Column], limit: int) -> DataFrame:
-    """PF23, SL12: one status a row; candidates beyond the limit stay, marked.
-
-    The limit is a batch size, so candidates are ranked together; only they are.
-    """
+    """PF23, SL12: one status a row; candidates beyond the limit stay, marked. ``order`` is ascending."""
     df = df.withColumn("status", F.when(exists, "already_in_db").when(duplicate, "duplicate_delete_candidate").otherwise("candidate"))
-    rank = F.row_number().over(Window.partitionBy("status").orderBy(*order))
-    return df.withColumn("status", F.when((F.col("status") == "candidate") & (rank > limit), "over_limit").otherwise(F.col("status")))
+    # The limit's last candidate is a top-k; all rows are then compared with it, so no task sees them together.
+    # ``order`` must tell rows apart, or rows equal to the last candidate all stay.
+    keys = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)])
+    first = df.where("status = 'candidate'").select(keys.alias("k")).orderBy("k").limit(limit)
+    last = first.agg(F.count("*").alias("__n"), F.max("k").alias("__last"))
+    beyond = (F.col("status") == "candidate") & (F.col("__n") == limit) & (keys > F.col("__last")) if limit else F.col("status") == "candidate"
+    return df.crossJoin(F.broadcast(last)).withColumn("status", F.when(beyond, "over_limit").otherwise(F.col("status"))).drop("__n", "__last")
 
 
 ORDERS: dict[str, list[str]] = {
