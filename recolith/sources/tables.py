@@ -49,9 +49,14 @@ def m3u(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
     return df.distinct() if distinct else df
 
 
+def _place() -> Column:
+    """Order of rows read: by file, by place of the split in it, by row of the split, however splits are dealt."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+
+
 def cache(spark: SparkSession, path: str, schema_tag: str | None, key: Sequence[str], schema: str) -> DataFrame:
     """SC21, SC22: a JSON lines cache; malformed lines go, ok rows of the schema stay, the last of a key wins."""
-    df = spark.read.schema(schema).json(path, mode="DROPMALFORMED").withColumn("__o", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    df = spark.read.schema(schema).json(path, mode="DROPMALFORMED").withColumn("__o", _place())
     if schema_tag is not None:
         df = df.where((F.col("schema") == schema_tag) & (F.col("status") == "ok"))
     rest = [c for c in df.columns if c not in (*key, "__o")]
@@ -61,10 +66,10 @@ def cache(spark: SparkSession, path: str, schema_tag: str | None, key: Sequence[
 def event_log(spark: SparkSession, *paths: str) -> DataFrame:
     """SC23, SC24: tagging events of one or many logs, with an order within a file.
 
-    The order is the place in the file (a line number of Spark's reader grows
-    with the offset in a file).
+    ``ordinal`` is a row's place: its file, the start of its split and its
+    number there.
     """
-    df = spark.read.schema(EVENT).json(list(paths), mode="DROPMALFORMED").withColumn("ordinal", F.monotonically_increasing_id())
+    df = spark.read.schema(EVENT).json(list(paths), mode="DROPMALFORMED").withColumn("ordinal", _place())
     ev = df.where((F.col("action") == "taggingProgress") & F.col("status.platform").isNotNull() & F.col("status.status.path").isNotNull())
     return ev.select("ts", F.col("status.platform").alias("platform"), F.col("status.status.path").alias("path"), F.lower("status.status.path").alias("path_key"), F.col("status.status.status").alias("status"), F.col("status.status.message").alias("message"), F.col("status.status.accuracy").alias("accuracy"), F.col("status.status.usedShazam").alias("used_shazam"), "ordinal")
 
