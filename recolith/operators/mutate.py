@@ -122,19 +122,51 @@ def append_sequence(df: DataFrame, existing_max: Column, order: Sequence[Column]
     return df.withColumn(name, F.coalesce(existing_max, F.lit(0)) + F.row_number().over(Window.orderBy(*order)))
 
 
-def rekey(nodes: DataFrame, links: DataFrame, row_id: str, parent: str, link_key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_missing(rows: DataFrame, wanted: DataFrame, refs: DataFrame, row_id: str, path: str) -> DataFrame:
+    """DM05, the plan: what becomes of rows whose file is missing.
+
+    ``wanted`` has the rows' ids with the ``target`` where their file is now,
+    or null; ``refs`` counts what refers to a row.
+    """
+    from recolith.functions.rules import missing_action
+
+    n = rows.groupBy(F.col(path).alias("target")).agg(F.count("*").alias("__n"), F.min(row_id).alias("target_id"))
+    out = wanted.join(n, "target", "left").join(refs.select(row_id, "refs"), row_id, "left")
+    action = missing_action(F.col("target"), F.coalesce("__n", F.lit(0)), F.coalesce("refs", F.lit(0)))
+    return out.select(row_id, "target", "target_id", action.alias("action"))
+
+
+def apply_missing(rows: DataFrame, plan: DataFrame, row_id: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """DM05, applied: the rows that stay, with new paths, and the id map of merged rows for ``repoint``."""
+    id_map = plan.where("action = 'auto_relink_merge'").select(F.col(row_id).alias("old_id"), F.col("target_id").alias("new_id"))
+    gone = plan.where("action IN ('auto_relink_merge', 'auto_delete_unreferenced_missing')").select(row_id)
+    moved = plan.where("action = 'auto_relink_only'").select(row_id, F.col("target").alias("__t"))
+    after = rows.join(gone, row_id, "left_anti").join(moved, row_id, "left").withColumn(path, F.coalesce("__t", path)).drop("__t")
+    return after, id_map
+
+
+def rekey(nodes: DataFrame, links: DataFrame, row_id: str, parent: str, link_key: str, rounds: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
     """GH06, GH07: ids that are not numbers get numbers from a hash; parents and links follow.
 
-    Returns the id map, the nodes and the links. A hash that is taken moves on
-    by one until it is free (checked on the few ids that change).
+    Returns the id map, the nodes and the links. A hash that is taken by a
+    node or by an earlier id of the map is drawn again with the next salt,
+    until all are free; each round looks only at ids that clash.
     """
-    bad = nodes.where(~F.col(row_id).rlike("^[0-9]+$")).select(F.col(row_id).alias("old_id"))
-    new = (F.pmod(F.xxhash64("old_id"), F.lit(2**31 - 1)) + 1).cast("string")
-    id_map = bad.withColumn("new_id", new)
-    taken = id_map.join(nodes.select(F.col(row_id).alias("new_id")), "new_id", "left_semi").unionByName(id_map.groupBy("new_id").agg(F.count("*").alias("n"), F.max("old_id").alias("old_id")).where("n > 1").select("new_id", "old_id"))
-    if not taken.isEmpty():
-        salted = (F.pmod(F.xxhash64("old_id", F.lit(1)), F.lit(2**31 - 1)) + 1).cast("string")
-        id_map = id_map.join(taken.select("old_id", F.lit(1).alias("t")).distinct(), "old_id", "left").select("old_id", F.when(F.col("t").isNotNull(), salted).otherwise(F.col("new_id")).alias("new_id"))
+    from recolith.scratch import cut
+
+    names = nodes.select(F.col(row_id).alias("old_id")).distinct()
+    numbers = names.where(F.col("old_id").rlike("^[0-9]+$")).select(F.col("old_id").alias("new_id"))
+    todo, id_map = names.where(~F.col("old_id").rlike("^[0-9]+$")), None
+    for salt in range(rounds):
+        drawn = todo.withColumn("new_id", (F.pmod(F.xxhash64("old_id", F.lit(salt)), F.lit(2**31 - 1)) + 1).cast("string"))
+        used = numbers if id_map is None else numbers.union(id_map.select("new_id"))
+        free = drawn.join(used, "new_id", "left_anti").groupBy("new_id").agg(F.min("old_id").alias("old_id")).select("old_id", "new_id")
+        id_map = cut(free if id_map is None else id_map.unionByName(free), "rekey")
+        todo = names.where(~F.col("old_id").rlike("^[0-9]+$")).join(id_map, "old_id", "left_anti")
+        if todo.isEmpty():
+            break
+    else:
+        raise RuntimeError("no unused ids found")
     return id_map, repoint(repoint(nodes, id_map, row_id), id_map, parent), repoint(links, id_map, link_key)
 
 

@@ -188,16 +188,18 @@ def coverage_minus_existing_top3(spark, d):
 
 
 @query("""
-WITH r AS (SELECT p_partkey, p_name || '/' || p_brand || '/' || p_size AS path, p_brand || p_size AS stem FROM part WHERE p_partkey % 2 = 0),
-l AS (SELECT p_partkey AS old_id, p_name || '/' || p_brand || '/' || p_size AS path, p_brand || p_size AS stem FROM part),
+WITH r AS (SELECT p_partkey, p_name || '/' || p_brand || '/' || p_size AS path, p_brand || p_size AS stem FROM part),
+l AS (SELECT p_partkey AS old_id, p_name || '/' || p_brand || '/' || (p_size * 7 % 50 + 1) AS path, p_brand || (p_size * 7 % 50 + 1) AS stem FROM part),
 e AS (SELECT path, count(*) AS n, min(p_partkey) AS id FROM r GROUP BY 1), s AS (SELECT stem, count(*) AS n, min(p_partkey) AS id FROM r GROUP BY 1)
 SELECT l.old_id, CASE WHEN e.n = 1 THEN 'exact' WHEN s.n = 1 THEN 'unique_fallback' WHEN e.n > 1 OR s.n > 1 THEN 'ambiguous' ELSE 'not_found' END AS status,
   CASE WHEN e.n = 1 THEN e.id WHEN s.n = 1 THEN s.id END AS match_id
 FROM l LEFT JOIN e ON l.path = e.path LEFT JOIN s ON l.stem = s.stem""")
 def unique_fallback_join(spark, d):
-    """JN28, JN13: the even parts are the library that all parts are looked up in."""
+    """JN28, JN13: parts looked up among all parts under another size: some are there, some share a stem, some are not."""
     p = t(spark, d, "part").withColumn("path", F.concat_ws("/", "p_name", "p_brand", F.col("p_size").cast("string"))).withColumn("stem", F.concat("p_brand", F.col("p_size").cast("string")))
-    out = matching.unique_fallback_join(p.select(F.col("p_partkey").alias("old_id"), "path", "stem"), p.where("p_partkey % 2 = 0"), "path", "stem", "p_partkey")
+    size = (F.col("p_size") * 7 % 50 + 1).cast("string")
+    wanted = p.select(F.col("p_partkey").alias("old_id"), F.concat_ws("/", "p_name", "p_brand", size).alias("path"), F.concat("p_brand", size).alias("stem"))
+    out = matching.unique_fallback_join(wanted, p, "path", "stem", "p_partkey")
     return out.select("old_id", "status", "match_id")
 
 
@@ -226,13 +228,13 @@ def attempt_ordinals(spark, d):
 
 
 @query("""
-WITH r AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+/[^/?#]+)', 1) FROM pages WHERE page_id % 2 = 0),
+WITH r AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+/[^/?#]+)', 1) FROM pages),
 p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages)
 SELECT p.page_id, arg_max(r.root, length(r.root)) AS root FROM p LEFT JOIN r ON r.root <> '' AND (p.path = r.root OR starts_with(p.path, r.root || '/')) GROUP BY 1""")
 def longest_prefix_root(spark, d):
     """JN29, JN06."""
     p = t(spark, d, "pages")
-    roots = p.select(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("root")).union(p.where("page_id % 2 = 0").select(F.regexp_extract("url", "^([a-z]+://[^/?#]+/[^/?#]+)", 1))).where("root <> ''").distinct()
+    roots = p.select(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("root")).union(p.select(F.regexp_extract("url", "^([a-z]+://[^/?#]+/[^/?#]+)", 1))).where("root <> ''").distinct()
     return matching.longest_root(p.select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("path")), "path", roots, "root").select("page_id", "root")
 
 
@@ -246,26 +248,6 @@ def candidate_targets(spark, d):
     return matching.select_target(c, "row", "target", F.col("near"))
 
 
-@query("""
-WITH tok AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)) AS w FROM documents),
-k AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)) AS w FROM benchmark),
-df AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM k) GROUP BY 1),
-x AS (SELECT item_id, w FROM (SELECT item_id, unnest(w) AS w FROM k) JOIN df USING (w) WHERE n <= 3),
-y AS (SELECT doc_id, unnest(w) AS w FROM tok),
-p AS (SELECT x.item_id, y.doc_id, count(*) AS shared FROM x JOIN y ON x.w = y.w GROUP BY 1, 2)
-SELECT item_id, doc_id, shared, least(35, 15 + 10 * shared)::BIGINT AS artist_part, CASE WHEN shared >= 2 THEN 55 + least(35, 15 + 10 * shared) ELSE 0 END::BIGINT AS score,
-  CASE WHEN shared >= 2 AND 55 + least(35, 15 + 10 * shared) >= 70 THEN 'solid' ELSE 'missing' END AS status FROM p""")
-def token_score_match(spark, d):
-    """NU09, TX08, SO08, PF11: shared rare words of benchmark items and documents."""
-    w = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: F.length(x) >= 4))
-    items = t(spark, d, "benchmark").select("item_id", F.explode(w(F.col("text"))).alias("w"))
-    rare = items.groupBy("w").agg(F.count("*").alias("n")).where("n <= 3").select("w")
-    docs = t(spark, d, "documents").select("doc_id", F.explode(w(F.col("text"))).alias("w"))
-    p = items.join(rare, "w").join(docs, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    score = values.match_score(F.col("shared") >= 2, F.lit(False), F.lit(False), F.col("shared"), F.lit(1))
-    return p.select("item_id", "doc_id", "shared", F.least(F.lit(35), 15 + 10 * F.col("shared")).cast("long").alias("artist_part"), score.cast("long").alias("score"), values.match_status(score).alias("status"))
-
-
 @query("""
 SELECT s.p_partkey AS source_id, t.target_id, substr(s.p_name, 1, length(s.p_name) - 4) AS base
 FROM (SELECT p_partkey, p_name || ' (S)' AS p_name FROM part) s JOIN (SELECT p_name AS base, max(p_partkey) AS target_id FROM part GROUP BY 1) t ON t.base = substr(s.p_name, 1, length(s.p_name) - 4)""")
@@ -508,38 +490,28 @@ def _sign_codes():
 
 @query("""
 WITH e AS (SELECT vec_id, label, list_transform(range(0, 2), lambda i: list_sum(list_transform(range(0, 32), lambda j: CASE WHEN embedding[i * 32 + j + 1] > 0 THEN (1::BIGINT << j) ELSE 0 END))::BIGINT) AS c FROM embeddings),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.c[1], b.c[1])) + bit_count(xor(a.c[2], b.c[2])) AS bits FROM e a JOIN e b ON a.label = b.label AND a.c[1] % 64 = b.c[1] % 64 AND a.vec_id < b.vec_id)
-SELECT a, b, round(1 - bits / 64.0, 6) AS similarity FROM p""")
-def hamming_similarity(spark, d):
-    """SI02 on sign bits of embeddings, only within a label and its low six bits; ``hamming_similarity_labels`` has all pairs."""
-    e = t(spark, d, "embeddings").select("vec_id", "label", _sign_codes().alias("c")).withColumn("k", F.col("c")[0] % 64)
-    b = e.select(F.col("vec_id").alias("b"), "label", "k", F.col("c").alias("cb"))
-    p = e.select(F.col("vec_id").alias("a"), "label", "k", "c").join(b, ["label", "k"]).where("a < b")
-    return p.select("a", "b", F.round(similarity.fingerprint_similarity(F.col("c"), F.col("cb"), F.lit(0))["similarity"], 6).alias("similarity"))
-
-
-@query("""
-WITH e AS (SELECT vec_id, label, list_transform(range(0, 2), lambda i: list_sum(list_transform(range(0, 32), lambda j: CASE WHEN embedding[i * 32 + j + 1] > 0 THEN (1::BIGINT << j) ELSE 0 END))::BIGINT) AS c FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(1 - (bit_count(xor(a.c[1], b.c[1])) + bit_count(xor(a.c[2], b.c[2]))) / 64.0, 6) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id""")
-def hamming_similarity_labels(spark, d, blocks=8):
-    """SI02 on sign bits of embeddings: all pairs of a label, each pair of its blocks in a task of its own."""
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.c[1], b.c[1])) + bit_count(xor(a.c[2], b.c[2])) AS bits FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT a, min(bits::BIGINT * 1000000000 + b) % 1000000000 AS nearest, round(1 - min(bits) / 64.0, 6) AS similarity, count(*) AS n_compared FROM p GROUP BY 1""")
+def hamming_similarity(spark, d, blocks=8):
+    """SI02 on sign bits of embeddings: each vector's nearest of its label; each pair of a label's blocks is a task of its own."""
     e = t(spark, d, "embeddings").select("vec_id", "label", _sign_codes().alias("c")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
     a = e.select(F.col("vec_id").alias("a"), "label", "c", F.col("own").alias("i"), other.alias("j"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("c").alias("cb"), F.col("own").alias("j"), other.alias("i"))
-    p = a.join(b, ["label", "i", "j"]).where("a < b")
-    return p.select("a", "b", F.round(similarity.fingerprint_similarity(F.col("c"), F.col("cb"), F.lit(0))["similarity"], 6).alias("similarity"))
+    p = a.join(b, ["label", "i", "j"]).where("a <> b").withColumn("s", similarity.fingerprint_similarity(F.col("c"), F.col("cb"), F.lit(0))["similarity"])
+    best = p.groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("x"), F.count("*").alias("n_compared"))
+    return best.select("a", (-F.col("x.b")).alias("nearest"), F.round("x.s", 6).alias("similarity"), "n_compared")
 
 
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (
-    SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM documents UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY substr(text, 1, 60)) FROM documents) WHERE a <> b),
+    SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM documents UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, n_chars) FROM documents) WHERE a <> b),
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r(node, c) AS (SELECT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def components(spark, d):
-    """GH01: documents that share their text or its opening."""
-    x = t(spark, d, "documents").select("doc_id", F.md5("text").alias("t"), F.substring("text", 1, 60).alias("h"))
+    """GH01: documents that share their text, or language and length."""
+    x = t(spark, d, "documents").select("doc_id", F.md5("text").alias("t"), F.struct("lang", "n_chars").alias("h"))
     edge = lambda k: x.join(x.groupBy(k).agg(F.min("doc_id").alias("b")), k).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     return graph.connected_components(edge("t").union(edge("h")).distinct(), "a", "b")
 

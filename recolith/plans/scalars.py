@@ -282,3 +282,27 @@ def midi_meanings(spark, d):
     i = (F.col("event_id") % 6 + 1).cast("int")
     m = rules.midi(F.element_at(F.array(*[F.lit(x) for x in (128, 144, 176, 150, 182, 240)]), i), F.element_at(F.array(*[F.lit(x) for x in (11, 12, 4, 20, 23, 2)]), i), (F.col("user_id") % 3).cast("int"))
     return t(spark, d, "events").select("event_id", m.alias("m")).select("event_id", "m.*")
+
+
+_LOOSE = _alnum(_feat(rf"regexp_replace({_BARE}, '\b({WORDS})\b', ' ', 'g')"), "")
+
+
+@query(rf"""
+WITH l AS (SELECT p_name, min(p_partkey) AS local_id, min(p_brand) AS artist, {_alnum(_feat("lower(p_name)"), "")} AS key FROM part GROUP BY p_name),
+tok AS (SELECT p_partkey, {_alnum(_feat(f"lower({TITLE})"), "")} AS whole, {_LOOSE} AS loose, list_filter(list_distinct(string_split({_MATCH}, ' ')), lambda x: x NOT IN ('', 'and', 'the', 'feat', 'ft', 'featuring', 'vs', 'x')) AS r FROM part),
+p AS (SELECT tok.p_partkey, local_id, whole = key AS same, len(list_intersect(r, string_split(trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')), ' '))) AS shared, len(r) AS n FROM tok JOIN l ON key IN (whole, loose)),
+s AS (SELECT *, CASE WHEN same THEN 55 ELSE 45 END + CASE WHEN shared > 0 THEN least(35, 15 + 10 * shared) WHEN n = 0 THEN 5 ELSE 0 END AS score FROM p)
+SELECT p_partkey, local_id, shared::BIGINT AS shared, score::BIGINT AS score, CASE WHEN score >= 70 THEN 'solid' WHEN score >= 55 THEN 'review' ELSE 'missing' END AS status FROM s""")
+def token_score_match(spark, d):
+    """NU09, TX08, SO08, PF11, SI08: titles against a catalogue of one row a name, by title keys and shared artist tokens.
+
+    The catalogue has one row a key, so a popular title multiplies nothing.
+    """
+    p = t(spark, d, "part")
+    local = p.groupBy("p_name").agg(F.min("p_partkey").alias("local_id"), F.min("p_brand").alias("artist")).select(tx.compact_key(F.col("p_name")).alias("key"), "local_id", tx.artist_tokens(F.col("artist")).alias("own"))
+    s, a = F.expr(TITLE), F.expr(ARTIST)
+    wanted = p.select("p_partkey", tx.compact_key(s).alias("whole"), tx.loose_title_key(s, master=False).alias("loose"), tx.artist_tokens(a).alias("r"))
+    pairs = wanted.withColumn("key", F.explode(F.array_distinct(F.array("whole", "loose")))).join(local, "key")
+    shared = F.size(F.array_intersect("r", "own"))
+    score = values.match_score(F.col("key") == F.col("whole"), F.col("key") == F.col("loose"), F.lit(False), shared, F.size("r"))
+    return pairs.select("p_partkey", "local_id", shared.cast("long").alias("shared"), score.cast("long").alias("score"), values.match_status(score).alias("status"))
