@@ -101,15 +101,19 @@ def test_hamming(spark):
     assert got == [(3, 1.0, 1.0), (1, 0.0, 1 - 1 / 32)]
 
 
-def test_hamming_has_all_pairs_of_a_label(spark, tmp_path):
+def test_hamming_compares_all_pairs_of_a_label(spark, tmp_path):
     draw = random.Random(3)
     v = [[draw.choice([-1.0, 1.0]) for _ in range(64)] for _ in range(40)]
     v += [[-x if i == k else x for i, x in enumerate(v[k])] for k in range(12)]  # one sign apart, also among the first six
     rows = [(i, x, i % 2) for i, x in enumerate(v)] + [(90, v[0], None)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["a"], r["b"]): r["similarity"] for r in catalog.QUERIES["hamming_similarity_labels"](spark, str(tmp_path)).collect()}
-    same = {(a, b): round(sum((x > 0) == (y > 0) for x, y in zip(v[a], v[b], strict=True)) / 64, 6) for a in range(52) for b in range(a + 1, 52) if a % 2 == b % 2}
-    assert got == same and got[0, 40] == round(63 / 64, 6)
+    got = {r["a"]: (r["nearest"], r["similarity"], r["n_compared"]) for r in catalog.QUERIES["hamming_similarity"](spark, str(tmp_path)).collect()}
+    equal = lambda a, b: sum((x > 0) == (y > 0) for x, y in zip(v[a], v[b], strict=True))
+    for a in range(52):
+        others = [b for b in range(52) if b != a and a % 2 == b % 2]
+        near = min(others, key=lambda b: (-equal(a, b), b))
+        assert got[a] == (near, round(equal(a, near) / 64, 6), len(others))
+    assert got[0][:2] == (40, round(63 / 64, 6)) and 90 not in got
 
 
 def test_candidate_scores(spark):
