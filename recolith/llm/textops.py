@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are taken apart at once; temporaries are some hundred times as large at most.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
 _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -7,8 +7,9 @@ learning rate per coordinate and L1 sets most weights to zero, so what is
 left is a short list that every executor gets.
 
 The model is fitted in one task on a bounded sample of labelled rows: the
-``max_per_class`` rows of each class with the smallest hash of their id.
-Everything else is row-wise, so scoring needs no shuffle.
+``max_per_class`` rows of each class with the smallest hash of their id, each
+different text of an id once. Everything else is row-wise, so scoring needs no
+shuffle; texts are read whole, however long, slice by slice.
 
 Nulls, empty texts and repeated rows: a null text is empty; an empty text has
 no features and gets the score of the intercept. A null label is no label. A
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recolith.llm import textops as tx
+from recolith.llm.samples import pick_rows
 
 MAX_PER_CLASS = 6000
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.0
@@ -35,6 +37,8 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.0
 POSITIVE = 3.0
 EPOCHS = 6
 MIN_DOCS = 8
+#: Bits of a feature that the scorer's first filter looks at.
+_LOW = np.uint32((1 << 22) - 1)
 _SALTS = [np.uint64(x) for x in (0x51, 0xA3, 0xC5, 0xE9)]
 
 
@@ -116,39 +120,51 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_per_cla
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("label"))
     known = known.where(fold(F.col("__id"), folds) != 0).withColumn("h", F.xxhash64("__id", F.lit(5)))
     few = known.where("label = 0").orderBy("h", "__id").limit(max_per_class).union(known.where("label = 1").orderBy("h", "__id").limit(max_per_class))
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(few), "__id").select("h", "label", "text")
+    rows = pick_rows(docs, few.withColumnRenamed("__id", "id"), {"label": [0, 1]}, max_per_class).select("h", "label", "text")
     got = rows.mapInArrow(_extract, "h long, label int, ids binary").repartition(1).mapInArrow(_train, "id long, w double").toPandas().sort_values("id")
     if not len(got):
         return np.zeros(0, np.uint32), np.zeros(0), -40.0
     return got["id"].to_numpy()[1:].astype(np.uint32), got["w"].to_numpy()[1:], float(got["w"].iloc[0])
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str = "score") -> DataFrame:
-    """``docs`` with the score added as ``column``; one pass, no shuffle."""
+def _scores(text: pa.Array, model: tuple[np.ndarray, np.ndarray, float], seen: np.ndarray) -> np.ndarray:
     ids, w, bias = model
-    seen = np.zeros(1 << 22, bool)
-    seen[ids & np.uint32((1 << 22) - 1)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((ids, w, bias, np.packbits(seen)))
+    score = np.full(len(text), bias)
+    for i, j, row, f in features(text):
+        hit = seen[f & _LOW]
+        row, f = row[hit], f[hit]
+        at = np.searchsorted(ids, f)
+        at[at == len(ids)] = 0
+        ok = ids[at] == f if len(ids) else np.zeros(len(f), bool)
+        pair = np.unique(row[ok].astype(np.int64) << 32 | at[ok])
+        score[i:j] += np.bincount(pair >> 32, w[pair & (2**32 - 1)], j - i)
+    return 1 / (1 + np.exp(-np.clip(score, -700, 700)))
+
+
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str | None, threshold: float | None) -> DataFrame:
+    """``docs`` with the score as ``column``, or the rows under ``threshold``; the text travels once, at its place."""
+    seen = np.zeros(int(_LOW) + 1, bool)
+    seen[model[0] & _LOW] = True
+    shared = docs.sparkSession.sparkContext.broadcast((*model, np.packbits(seen)))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, w, bias, bits = shared.value
+        *model, bits = shared.value
         seen = np.unpackbits(bits).astype(bool)
         for b in batches:
-            score = np.full(b.num_rows, bias)
-            for i, j, row, f in features(b.column("__text")):
-                hit = seen[f & np.uint32((1 << 22) - 1)]
-                row, f = row[hit], f[hit]
-                at = np.searchsorted(ids, f)
-                at[at == len(ids)] = 0
-                ok = ids[at] == f if len(ids) else np.zeros(len(f), bool)
-                pair = np.unique(row[ok].astype(np.int64) << 32 | at[ok])
-                score[i:j] += np.bincount(pair >> 32, w[pair & (2**32 - 1)], j - i)
-            score = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], column])
-
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__text")).mapInArrow(run, schema)
+            score = _scores(b.column(at), model, seen)
+            if column is None:
+                yield b.filter(pa.array(score < threshold))
+            else:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, column])
+
+    more = [] if column is None else [T.StructField(column, T.DoubleType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+
+
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str = "score") -> DataFrame:
+    """``docs`` with the score added as ``column``, a name that ``docs`` does not have; one pass, no shuffle."""
+    return _scored(docs, model, column, None)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -158,5 +174,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose score is under ``threshold``, with the columns of ``docs``."""
-    return score_toxicity(docs, fit_toxicity(docs, labels, folds), "__score").where(F.col("__score") < threshold).drop("__score")
+    """Rows of ``docs`` whose score is under ``threshold``, with the columns of ``docs``, whatever their names."""
+    return _scored(docs, fit_toxicity(docs, labels, folds), None, threshold)
