@@ -73,16 +73,29 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_ftrl(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature ids with non-zero weights, the weights and the intercept."""
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    uniq, inv, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    use = seen >= MIN_DOCS
-    new = np.cumsum(use) - 1
-    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    z, n = np.zeros(int(use.sum()) + 1), np.zeros(int(use.sum()) + 1)
+    """Feature ids with non-zero weights, the weights and the intercept.
+
+    ``docs`` are sorted distinct features of each document; the list is used
+    up. Features of fewer than ``MIN_DOCS`` documents are left out first, one
+    eighth of the features at a time, so little beside the sample is held.
+    """
+    kept = [np.zeros(0, np.uint32)]
+    for part in range(8):
+        low, high = part << 29, (part + 1) << 29
+        some = np.concatenate([np.zeros(0, np.uint32), *(d[np.searchsorted(d, low) : np.searchsorted(d, high)] for d in docs)])
+        some.sort()
+        first = np.flatnonzero(np.append(True, some[1:] != some[:-1])[: len(some)])
+        kept.append(some[first[np.diff(np.append(first, len(some))) >= MIN_DOCS]])
+    feature = np.concatenate(kept)
+    z, n = np.zeros(len(feature) + 1), np.zeros(len(feature) + 1)
     l1 = np.full(len(z), L1)
     l1[-1] = 0  # the intercept
-    rows = [np.append(new[x[use[x]]], len(z) - 1) for x in (inv[at[i] : at[i + 1]] for i in range(len(docs)))]
+    rows = []
+    for i in range(len(docs)):
+        at = np.searchsorted(feature, docs[i])
+        at[at == len(feature)] = 0
+        rows.append(np.append(at[feature[at] == docs[i]] if len(feature) else at, len(feature)).astype(np.int32))
+        docs[i] = kept[0]
 
     def weights(f: np.ndarray | slice) -> np.ndarray:
         zf = z[f]
@@ -99,7 +112,7 @@ def fit_ftrl(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
             n[f] += g * g
     w = weights(slice(None))
     keep = np.flatnonzero(w[:-1])
-    return uniq[use][keep], w[keep], float(w[-1])
+    return feature[keep], w[keep], float(w[-1])
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +120,9 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     y = np.array([x[1] for x in got], float)
     if len(set(y.tolist())) < 2:
         return
-    ids, w, bias = fit_ftrl([np.frombuffer(x[2], np.uint32) for x in got], y)
+    sample = [np.frombuffer(x[2], np.uint32) for x in got]
+    del got
+    ids, w, bias = fit_ftrl(sample, y)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(ids.astype(np.int64), -1)), pa.array(np.append(w, bias))], names=["id", "w"])
 
 
