@@ -37,7 +37,7 @@ from recolith.scratch import new_path
 
 SEGMENT = 1 << 20
 END_ID = 2
-KEEP = 2_000_000
+KEEP = 600_000
 #: Pieces of more bytes are not kept for later slices.
 LONG = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +83,18 @@ class Pieces:
         cut[off[:-1][off[:-1] < off[1:]]] = True
         return np.flatnonzero(cut), solid
 
+    def _ids(self, texts: list[str], chars: int = 1 << 16) -> Iterator[list[int]]:
+        """Ids of texts; few go to the library at once, as its results are many times their size."""
+        batch: list[str] = []
+        held = 0
+        for i, x in enumerate(texts):
+            batch.append(x)
+            held += len(x) + 64
+            if held > chars or i == len(texts) - 1:
+                for e in self.tok.encode_batch_fast(batch, add_special_tokens=False):
+                    yield e.ids
+                batch, held = [], 0
+
     def _tokenize(self, texts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces and their lengths.
 
@@ -96,14 +108,14 @@ class Pieces:
         alone = np.setdiff1d(np.arange(len(texts)), joined)
         if len(joined):
             lines = ["\n".join([texts[i] for i in joined[k : k + 512].tolist()]) for k in range(0, len(joined), 512)]
-            ids = np.concatenate([np.array([*e.ids, self.line], np.uint32) for e in self.tok.encode_batch(lines, add_special_tokens=False)])
+            ids = np.concatenate([np.array([*ids, self.line], np.uint32) for ids in self._ids(lines)])
             ends = np.flatnonzero(ids == self.line)
             if len(ends) != len(joined):
                 raise RuntimeError("pieces and line ends do not agree")
             lens[joined] = np.diff(np.append(-1, ends)) - 1
             parts[0] = ids[ids != self.line]
         if len(alone):
-            got = [e.ids for e in self.tok.encode_batch([texts[i] for i in alone.tolist()], add_special_tokens=False)]
+            got = list(self._ids([texts[i] for i in alone.tolist()]))
             lens[alone] = [len(x) for x in got]
             parts[1] = np.array([x for ids in got for x in ids], np.uint32)
         order = np.append(joined, alone)
