@@ -10,9 +10,10 @@ Small nodes are compared exhaustively; larger ones branch again, and what is
 still large at the last level is compared block by block, so no task holds
 more than two blocks. Independent trees repeat this to the target recall.
 The best candidates of each class are verified on the full shingle sets of
-the texts; where a class has others (more than ``BEST``, or some that its
-sketch would put into one group with the best), all candidates of its nodes
-that verified links do not connect yet are compared exactly inside the node.
+the texts. Candidates whose sketches agree almost wholly stand for their
+group, on trial: where verification refutes such a pair, or a class has more
+than ``BEST`` candidates, all candidates of its nodes that verified links do
+not connect yet are compared exactly inside the node.
 Only rows with such a candidate get their texts, in blocks bounded by
 shingles. Links become components; only verified links connect.
 
@@ -138,16 +139,17 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(cid[rows])], names=["path", "cid"])
 
 
-def _compare_node(cid: np.ndarray, sk: np.ndarray, blk: np.ndarray, within: bool) -> tuple[list, list, list]:
+def _compare_node(cid: np.ndarray, sk: np.ndarray, blk: np.ndarray, within: bool) -> tuple[list, list, list, list]:
     """The ``BEST`` candidates of each class among the earlier classes of its node.
 
     ``blk`` (0 or 1) marks the block of each row; pairs of different blocks
-    only, unless ``within``. Returns a, b and whether a has more candidates.
+    only, unless ``within``. Returns a, b, whether a has more candidates, and
+    whether the pair stands for others that it left out.
     """
     order = np.lexsort((cid, blk))
     cid, sk, blk = cid[order], sk[order], blk[order]
     label = np.arange(len(cid))
-    a, b, over = [], [], []
+    a, b, over, on_trial = [], [], [], []
     least, sure = int(LOW * SKETCH), int(SURE * SKETCH)
     split = int(np.searchsorted(blk, 1))
     for x in range(1 if within else split, len(cid)):
@@ -158,16 +160,15 @@ def _compare_node(cid: np.ndarray, sk: np.ndarray, blk: np.ndarray, within: bool
             continue
         keep = keep[np.argsort(-same[keep], kind="stable")]
         best = keep[0]
-        more = len(keep) > BEST
-        if same[best] >= sure:
-            # An estimate: what it leaves out is settled exactly where verified links do not connect it.
-            near, found = label[best], len(keep)
+        trial = same[best] >= sure
+        if trial:
+            # An estimate: if verification refutes it, the node is settled exactly.
+            near = label[best]
             label[x] = near
             keep = np.append(best, keep[label[keep] != near])
-            more = len(keep) > BEST or len(keep) < found
         for y in keep[:BEST].tolist():
-            a.append(cid[x]), b.append(cid[y]), over.append(more)
-    return a, b, over
+            a.append(cid[x]), b.append(cid[y]), over.append(len(keep) > BEST), on_trial.append(bool(trial and y == best))
+    return a, b, over, on_trial
 
 
 def _cross_node(tag: np.ndarray, sk: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least_pct: int) -> np.ndarray:
@@ -256,9 +257,9 @@ def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (_, bi, bj), t in _by_node(batches):
-        a, b, over = _compare_node(t.column("cid").to_numpy(), _sketches(t.column("sketch")), (t.column("blk").to_numpy() != bi).astype(np.int8), bi == bj)
+        a, b, over, on_trial = _compare_node(t.column("cid").to_numpy(), _sketches(t.column("sketch")), (t.column("blk").to_numpy() != bi).astype(np.int8), bi == bj)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(over, pa.bool_())], names=["a", "b", "over"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(over, pa.bool_()), pa.array(on_trial, pa.bool_())], names=["a", "b", "over", "on_trial"])
 
 
 def _settle(k: int, least_pct: int):
@@ -345,18 +346,20 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
         paths = big.join(light, "cid").select("path", "cid", "sketch").mapInArrow(_branch, "path long, cid long")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")
-    pairs = _dealt(nodes.select("path", "cid", blocks), light).mapInArrow(_compare, "a long, b long, over boolean")
-    pairs = cut(pairs.groupBy("a", "b").agg(F.max("over").alias("over")), "pairs")
+    pairs = _dealt(nodes.select("path", "cid", blocks), light).mapInArrow(_compare, "a long, b long, over boolean, on_trial boolean")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.max("over").alias("over"), F.max("on_trial").alias("on_trial")), "pairs")
     known = cut(texts(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "texts")
     both = pairs.select("a", "b").join(known.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(known.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     links = cut(both.mapInArrow(_verify(k, least_pct), "a long, b long"), "links")
     drop(known)
     comps = _components(links)
-    if pairs.where("over").isEmpty():
+    refuted = pairs.where("on_trial").join(links, ["a", "b"], "left_anti")
+    crowded = cut(pairs.where("over").select("a").union(refuted.select("a")).distinct(), "crowded")
+    if crowded.isEmpty():
         return rows, comps
     # Classes with more candidates than were tried: settle their nodes by exact comparison.
-    busy = nodes.join(pairs.where("over").select(F.col("a").alias("cid")).distinct(), "cid", "left_semi").select("path").distinct()
+    busy = nodes.join(crowded.select(F.col("a").alias("cid")), "cid", "left_semi").select("path").distinct()
     rest = nodes.join(busy, "path", "left_semi").join(comps, "cid", "left").withColumn("tag", F.coalesce("comp", "cid"))
     mixed = rest.groupBy("path").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("path")
     rest = cut(rest.join(mixed, "path", "left_semi").select("path", "cid", "n", "tag"), "rest")
