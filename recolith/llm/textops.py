@@ -133,8 +133,8 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarr
     shingle; a row without words has the empty set.
     """
     rolled = hashes.copy()
-    for i in range(1, k):
-        rolled[: len(hashes) - i] = rolled[: len(hashes) - i] * _STEP + hashes[i:] if len(hashes) > i else rolled[:0]
+    for i in range(1, min(k, len(hashes))):
+        rolled[: len(hashes) - i] = rolled[: len(hashes) - i] * _STEP + hashes[i:]
     rolled = mix(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

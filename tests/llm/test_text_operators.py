@@ -231,3 +231,73 @@ def test_toxicity_odd_rows(spark):
     none = toxicity.toxicity(df, labels.where("toxic = 5"))
     assert none.where("score < 1e-9").count() == len(texts)
     assert toxicity.toxicity(df.where("doc_id < 0"), labels).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["__score", "__text", "score", "kept", "component_id", "size", "r", "__k"]
+    docs = docs_of(spark, ["a clean text of some words", "another clean text", None, ""])
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    labels = spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "another clean text")], "item_id long, text string")
+    for out in (toxicity.drop_toxic(docs, labels), decontaminate.drop_contaminated(docs, bench), near_text.drop_near_text(docs), mixing.mix_sources(docs)):
+        assert out.columns == docs.columns
+        assert all(r[n] == i for r in out.collect() for i, n in enumerate(names))
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {0, 2, 3}
+
+
+def test_short_items_are_whole_words():
+    texts = ["Say  Hello\nworld, x!", "xx hello worlds", "hello world", "é hello world", "ahello world"]
+    index = decontaminate.Index([(7, "hello world"), (8, "x"), (9, " "), (10, "12345678901234567890")])
+    got = {(r, index.ids[i], e, p) for r, i, e, p in index.matches(*tx.column_bytes(pa.array([*texts, "a 12345678901234567890."])))}
+    assert got == {(0, 7, 0, 4), (0, 8, 0, 17), (2, 7, 0, 0), (3, 7, 0, 3), (5, 10, 0, 2)}
+
+
+def test_repetitive_texts_against_alignment():
+    rng = np.random.default_rng(4)
+    for item, texts in (("ab" * 30, ["ab" * 200, "ab" * 25 + "x" + "ab" * 4, "ba" * 60, "b" * 100]), ("a" * 50, ["a" * 49 + "b", "a" * 2000, ("a" * 9 + "b") * 30, "a" * 45])):
+        texts = [*texts, "".join(rng.choice(list("ab"), 300))]
+        index = decontaminate.Index([(1, item)])
+        got = {r: e for r, _, e, _ in index.matches(*tx.column_bytes(pa.array(texts)))}
+        assert got == {i: e for i, x in enumerate(texts) if (e := edits(item, x)) <= int(decontaminate.RATE * len(item))}
+
+
+def test_ftrl_against_plain_steps(monkeypatch):
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(0, 40, 12)).astype(np.uint32) * np.uint32(97_000_000) for _ in range(60)]
+    y = np.array([float(d[0] < 2e8) for d in docs])
+    monkeypatch.setattr(toxicity, "L1", 0.3)
+    ids, w, bias = toxicity.fit_ftrl([d.copy() for d in docs], y, epochs=2)
+    seen = Counter(x for d in docs for x in d.tolist())
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        l1 = 0 if f == -1 else 0.3
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA)
+
+    for e in range(2):
+        for i in np.random.Generator(np.random.PCG64(e)).permutation(len(docs)):
+            f = [*(x for x in docs[i].tolist() if seen[x] >= toxicity.MIN_DOCS), -1]
+            own = [weight(x) for x in f]
+            g = (1 / (1 + np.exp(-sum(own))) - y[i]) * (toxicity.POSITIVE if y[i] else 1)
+            for x, v in zip(f, own, strict=True):
+                z[x] += g - ((n[x] + g * g) ** 0.5 - n[x] ** 0.5) / toxicity.ALPHA * v
+                n[x] += g * g
+    want = {f: weight(f) for f in seen if seen[f] >= toxicity.MIN_DOCS and weight(f)}
+    assert want and dict(zip(ids.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(weight(-1))
+
+
+def test_samples_are_bounded_in_rows(spark):
+    from recolith.llm.samples import pick_rows
+
+    docs = docs_of(spark, [f"text {i % 3}" for i in range(60)] + ["other"], ids=[1] * 60 + [2])
+    few = spark.createDataFrame([(1, 10, 0), (2, 11, 1)], "id long, h long, label int")
+    assert Counter(r["id"] for r in pick_rows(docs, few, {"label": [0, 1]}, 10).collect()) == Counter({1: 3, 2: 1})
+    assert pick_rows(docs, few, {"label": [0, 1]}, 2).count() == 3 and pick_rows(docs, few, {}, 2).count() == 2
+
+
+def test_slices_of_few_words_have_sets():
+    for n in range(7):
+        h = np.arange(10, 10 + n, dtype=np.uint64)
+        got = tx.shingle_sets(h, np.array([0, n]), 5)
+        assert len(got) == 1 and len(got[0]) == (max(1, n - 4) if n else 0)
