@@ -1,4 +1,4 @@
-"""Paths (PA01-PA10, PF02, PF41, WN17, SO09) as column expressions."""
+"""Paths (PA01-PA07, PA09, PA10, PF02, PF41, WN17, SO09) as column expressions."""
 
 from __future__ import annotations
 

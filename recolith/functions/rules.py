@@ -1,4 +1,4 @@
-"""Classifiers and decision ladders (PF03-PF11, PF15-PF28, C1-C4, C11, C12)."""
+"""Classifiers and decision ladders (PF03-PF08, PF10, PF15, PF16, PF20, PF22, PF25, PF26, PF28, PF42, ST08)."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def reasons(**checks: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
 
 
-# Codec ranks of the duplicate audit (all others rank 1), scores of extensions and advice by kind of group.
+# Codec ranks of the duplicate audit (all others rank 1) and scores of extensions.
 CODEC_RANK = {"flac": 5, "alac": 5, "pcm_s16le": 5, "pcm_s24le": 5, "pcm_s32le": 5, "pcm_f32le": 5, "wavpack": 5, "ape": 4}
 EXTENSION_SCORE = {".flac": 60, ".alac": 55, ".m4a": 45, ".aif": 40, ".aiff": 40, ".wav": 35, ".mp3": 30, ".opus": 25, ".ogg": 20}
 
@@ -61,6 +61,7 @@ def cd_quality(codec: Column, rate: Column, bits: Column) -> Column:
     return F.coalesce((rate == 44100) & (bits == 16) & codec.isin("flac", "alac", "pcm_s16le", "pcm_s16be"), F.lit(False))
 
 
+# Advice sentences.
 ADVICE_SAME = "Conserver le meilleur candidat qualite, fusionner les metadonnees/playlists, puis supprimer ou mettre en quarantaine les doublons seulement apres validation."
 ADVICE_CLOSE = "Verifier l'audio ou Chromaprint avant suppression; si c'est le meme morceau, garder le meilleur candidat qualite."
 ADVICE_OTHER = "Ne pas supprimer automatiquement; si l'audio ou l'arrangement est different, renommer le titre avec une variante explicite, par exemple '(alt)' ou le nom du mix."

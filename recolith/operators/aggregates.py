@@ -1,4 +1,4 @@
-"""Counts, coverage and sets (AG07-AG24, SO01-SO08, SL)."""
+"""Counts, coverage and sets (AG07-AG11, AG15, AG16, AG18-AG20, AG22, SO01-SO05, SC38, SL04, WN14)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Joins of two catalogues (JN01-JN30, WN05, SI07-SI09)."""
+"""Joins of two catalogues (JN01-JN06, JN10-JN13, JN15, JN16, JN28-JN30, PF17, PF39, WN05, WN09, SI07)."""
 
 from __future__ import annotations
 

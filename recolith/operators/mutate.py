@@ -1,4 +1,4 @@
-"""Plans, their application and their proof (DM01-DM20, GH05-GH08, SO04-SO05).
+"""Plans, their application and their proof (DM01-DM09, DM11, DM12, DM16, DM18, DM19, GH05-GH08, SO03-SO05).
 
 A mutation is a plan (a DataFrame), an application (a new version of a table)
 and a verification (a DataFrame of what is wrong, empty if nothing is). No

@@ -1,4 +1,4 @@
-"""Text tables, logs, exports and their writers (SC13-SC41, SK01-SK17)."""
+"""Text tables, logs, exports and their writers (SC13-SC26, SC28, SC30-SC34, SC36, SC37, SC39, SC40, SK01-SK07, SK10, SK12, SK13)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Streaming folds of event logs (ST05-ST10, AG22)."""
+"""Streaming folds of event logs (ST05-ST07, ST09, NU06, AG22, SL11)."""
 
 from __future__ import annotations
 
