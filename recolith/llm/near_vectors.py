@@ -228,7 +228,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, l
         nodes = cut(step.select("cid", "g", F.when(stays, F.col("node")).otherwise(F.xxhash64("node", "side")).alias("node"), F.when(stays, F.col("tries") + 1).otherwise(0).alias("tries")), "nodes")
         drop(p)
 
-    at = leaves.select("cid", F.xxhash64("g", "node").alias("leaf"))
+    at = cut(leaves.select("cid", F.xxhash64("g", "node").alias("leaf")), "leaves")
     own = at.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     sizes = at.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     deal = at.join(sizes, "leaf").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("cid", "leaf"), F.col("nb")).cast("int"))
