@@ -359,10 +359,11 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
     if crowded.isEmpty():
         return rows, comps
     # Classes with more candidates than were tried: settle their nodes by exact comparison.
-    busy = nodes.join(crowded.select(F.col("a").alias("cid")), "cid", "left_semi").select("path").distinct()
-    rest = nodes.join(busy, "path", "left_semi").join(comps, "cid", "left").withColumn("tag", F.coalesce("comp", "cid"))
-    mixed = rest.groupBy("path").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("path")
-    rest = cut(rest.join(mixed, "path", "left_semi").select("path", "cid", "n", "tag"), "rest")
+    marks = classes.select("cid").join(comps, "cid", "left").join(crowded.select(F.col("a").alias("cid"), F.lit(True).alias("crowded")), "cid", "left")
+    marked = nodes.join(marks.select("cid", F.coalesce("comp", "cid").alias("tag"), "crowded"), "cid")
+    # One pass over the nodes finds those to settle: a crowded class in it, and more than one component.
+    unsettled = marked.groupBy("path").agg(F.min("tag").alias("x"), F.max("tag").alias("y"), F.max("crowded").alias("crowded")).where("crowded and x <> y").select("path")
+    rest = cut(marked.join(unsettled, "path", "left_semi").select("path", "cid", "n", "tag"), "rest")
     tags = rest.select("cid", "tag").distinct()
     facts = tags.join(classes.select("cid", "sketch", "n_shingles"), "cid")
     open_ = cut(_dealt(rest.select("path", "cid", blocks), facts).mapInArrow(_cross(least_pct), "path long, cid long").distinct().join(classes.select("cid", "n_shingles"), "cid"), "open")
