@@ -77,6 +77,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.merkle import merkle_manifest
+
+    return merkle_manifest(_read(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recolith.llm.resample import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -88,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_near_text": op9_near_text,
     "op10_token_ids": op10_token_ids,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_resample": op13_resample,
 }
 
 _MIX = r"""
@@ -137,7 +151,73 @@ k AS (SELECT n, min(c) AS component_id FROM r GROUP BY 1)
 SELECT k.n AS doc_id, z.n AS n_shingles, k.component_id, k.n = k.component_id AS kept FROM k JOIN z ON z.doc_id = k.n
 """
 
+# DuckDB has no CRC; a table of 256 entries from the polynomial, then one step a byte.
+_CRC = r"""
+crc(t) AS (SELECT list(list_reduce([i::UBIGINT] || [x::UBIGINT for x in range(8)], lambda a, x: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY i) FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the CRC of a text, over the table ``crc``."""
+    codes = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::UBIGINT)"
+    return f"xor(list_reduce([4294967295::UBIGINT] || {codes}, lambda a, x: xor(t[(xor(a, x) & 255)::INT + 1], a >> 8)), 4294967295::UBIGINT)"
+
+
+_field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+_MERKLE = f"""
+WITH RECURSIVE {_CRC.strip()},
+d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS sk,
+             sha256(concat({", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))})) AS leaf,
+             coalesce({_crc("doc_id::VARCHAR")} % 2 = 0, false) AS hit,
+             sha256(concat({", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))}, {_field("replace(text, chr(10), '')")})) AS other
+      FROM documents, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+s(lvl, sk, pos, node, n) AS (
+  SELECT 0, sk, p, leaf, count(*) OVER (PARTITION BY sk) FROM r UNION ALL
+  SELECT lvl + 1, sk, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 2) // 3 FROM s WHERE n > 1 GROUP BY lvl, sk, pos // 3),
+h AS (SELECT sk, lvl AS height, node AS subroot FROM s WHERE n = 1),
+u(lvl, pos, node, n) AS (
+  SELECT 0, row_number() OVER (ORDER BY sk) - 1, subroot, count(*) OVER () FROM h UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY lvl, pos // 3),
+k AS (SELECT *, row_number() OVER (ORDER BY sk) - 1 AS at FROM h),
+a AS (SELECT lvl, sk, pos, node, n FROM s WHERE n > 1 UNION ALL
+      SELECT u.lvl + 1000, NULL, u.pos, u.node, u.n FROM u WHERE u.n > 1),
+sib AS (
+  SELECT x.lvl, x.sk, x.pos, coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS lft, coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS rgt
+  FROM a x JOIN a y ON x.lvl = y.lvl AND x.sk IS NOT DISTINCT FROM y.sk AND x.pos // 3 = y.pos // 3 GROUP BY 1, 2, 3),
+path AS (
+  SELECT r.sk, r.p, sib.lvl, lft, rgt FROM r JOIN sib ON sib.sk = r.sk AND sib.pos = r.p // (3 ** sib.lvl)::BIGINT UNION ALL
+  SELECT r.sk, r.p, sib.lvl, lft, rgt FROM r JOIN k ON k.sk = r.sk JOIN sib ON sib.sk IS NULL AND sib.pos = k.at // (3 ** (sib.lvl - 1000))::BIGINT),
+g AS (SELECT sk, p, sha256(string_agg(lft || rgt, '' ORDER BY lvl)) AS proof, list({{'l': lft, 'r': rgt}} ORDER BY lvl) AS steps FROM path GROUP BY 1, 2),
+f(sk, p, i, hash) AS (
+  SELECT sk, p, 0, CASE WHEN hit THEN other ELSE leaf END FROM r UNION ALL
+  SELECT f.sk, f.p, i + 1, sha256(g.steps[i + 1].l || hash || g.steps[i + 1].r) FROM f JOIN g ON g.sk = f.sk AND g.p = f.p WHERE i < len(g.steps)),
+e AS (SELECT sk, p, arg_max(hash, i) AS folded FROM f GROUP BY 1, 2)
+SELECT r.doc_id, r.leaf, h.subroot, (SELECT node FROM u WHERE n = 1) AS root, coalesce(g.proof, sha256('')) AS proof_sha256, e.folded AS folded_root, e.folded = (SELECT node FROM u WHERE n = 1) AS verified
+FROM r JOIN h ON h.sk = r.sk JOIN e ON e.sk = r.sk AND e.p = r.p LEFT JOIN g ON g.sk = r.sk AND g.p = r.p
+"""
+
+_RESAMPLE = rf"""
+WITH {_CRC.strip()},
+w AS (SELECT kind, id, row_number() OVER () AS rid, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+      FROM (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark)),
+f AS (SELECT kind, rid, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+v AS (SELECT g, {_crc("g")} % 10000 AS b FROM (SELECT DISTINCT g FROM f), crc),
+x AS (SELECT f.kind, f.rid, v.b, count(*) AS n FROM f JOIN v ON v.g = f.g GROUP BY 1, 2, 3),
+c AS (SELECT b, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM x GROUP BY 1),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM c),
+gain AS (SELECT b, floor(1000 * ln((c.t + 1) * (z.s + 10000) / ((c.s + 1) * (z.t + 10000))))::BIGINT AS gain FROM c, z),
+m AS (SELECT rid, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM x JOIN gain ON gain.b = x.b WHERE kind = 0 GROUP BY 1),
+o AS (SELECT w.id AS doc_id, len(w.w) >= 20 AS ok, coalesce(m.n, 0) AS n_features, coalesce(m.weight, 0) AS weight,
+             coalesce(m.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM w LEFT JOIN m ON m.rid = w.rid WHERE kind = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY ok) AS k FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN ok AND r <= 25 * k // 100 THEN r END AS rank FROM q
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": _MERKLE,
+    "op13_resample": _RESAMPLE,
     "op7_mix_sources": _MIX,
     "op8_near_vectors": _VECTORS,
     "op9_near_text": _TEXTS,
