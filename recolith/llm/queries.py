@@ -77,6 +77,14 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from recolith.llm.nearest import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recolith.llm.merkle import merkle_manifest
 
@@ -100,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_near_text": op9_near_text,
     "op10_token_ids": op10_token_ids,
+    "op11_nearest": op11_nearest,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_resample": op13_resample,
 }
