@@ -125,10 +125,18 @@ def json_object(c: Column) -> Column:
     return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
 
 
+def one_of_key(entries: Column, last: bool = False) -> Column:
+    """A map of (key, value) entries; of entries with one key the first (or last) stays, whatever the session's policy."""
+    keys = entries["key"]
+    own = (lambda e, i: F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - i) if last else (lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.map_from_entries(F.filter(entries, own))
+
+
 def merge_tags(first: Column, second: Column) -> Column:
-    """HB06: maps on folded keys without blanks; the first map wins (needs LAST_WIN)."""
-    tidy = lambda m: F.map_filter(F.transform_values(F.transform_keys(m, lambda k, _: F.lower(F.trim(k))), lambda _, v: F.trim(v)), lambda k, v: (k != "") & (v != "") & v.isNotNull())
-    return F.map_concat(tidy(second), tidy(first))
+    """HB06: maps on folded keys without blanks; the first map wins, and of its keys that fold alike the first."""
+    fold = lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), F.trim(e["value"]).alias("value"))
+    tidy = F.filter(F.transform(F.concat(F.map_entries(first), F.map_entries(second)), fold), lambda e: (e["key"] != "") & (e["value"] != "") & e["value"].isNotNull())
+    return one_of_key(tidy)
 
 
 def pick_tag(tags: Column, keys: list[str]) -> Column:
@@ -143,9 +151,9 @@ def shingles(a: Column, size: int, step: int) -> Column:
 
 
 def merge_json(left: Column, right: Column) -> Column:
-    """HB08: two JSON objects as maps of JSON texts; the right wins (needs LAST_WIN)."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
-    return F.to_json(F.map_concat(as_map(left), as_map(right)))
+    """HB08: two JSON objects as maps of JSON texts; the right wins, and of a repeated key the last."""
+    entries = lambda c: F.coalesce(F.map_entries(F.from_json(c, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
+    return F.to_json(one_of_key(F.concat(entries(left), entries(right)), last=True))
 
 
 def changed(old: Column, new: Column, text: bool = True) -> Column:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import json
 import re
 import unicodedata
 
@@ -123,6 +124,18 @@ def test_tags_and_json(spark):
     assert r["s"] == {"Client_Secret": "<present>", "token": "", "u": "v"}
 
 
+def test_maps_need_no_session_policy(spark):
+    df = spark.sql("""SELECT map('A', '1', ' a ', '2', 'B', ' ') AS m, map('b', '3', 'A', '4') AS n, '{"x":"1","y":"2","x":"3"}' AS j, '{"y":"9","z":null}' AS k, CAST(NULL AS STRING) AS o""")
+    for policy in ("EXCEPTION", "LAST_WIN"):
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+        try:
+            r = df.select(values.merge_tags(F.col("m"), F.col("n")).alias("t"), values.merge_json(F.col("j"), F.col("k")).alias("a"), values.merge_json(F.col("o"), F.col("k")).alias("b"), values.merge_json(F.col("j"), F.col("o")).alias("c")).first()
+        finally:
+            spark.conf.unset("spark.sql.mapKeyDedupPolicy")
+        assert r["t"] == {"a": "1", "b": "3"}
+        assert [json.loads(r[c]) for c in "abc"] == [{"x": "3", "y": "9"}, {"y": "9"}, {"x": "3", "y": "2"}] or [json.loads(r[c]) for c in "abc"] == [{"x": "3", "y": "9", "z": None}, {"y": "9", "z": None}, {"x": "3", "y": "2"}]
+
+
 def test_proposal(spark):
     df = spark.createDataFrame([(True, "high", False, False, 1), (True, "low", False, False, 1), (False, None, True, True, 1), (False, None, False, True, 3)], "c boolean, l string, e boolean, n boolean, a int")
     got = [tuple(r["p"]) for r in df.select(rules.proposal(F.col("c"), F.col("l"), F.col("e"), F.col("n"), F.col("a")).alias("p")).collect()]
