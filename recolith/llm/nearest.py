@@ -15,7 +15,9 @@ A query searches the lists whose distance is within a ratio of that of its
 ``BASE``-th nearest list. The ratio is measured, not guessed: ``PILOTS``
 queries are compared with every vector, and the ratio is the one that reaches
 ``TARGET`` of their true neighbours, so tables with little structure search
-more lists and clustered ones few. A query that finds too few candidates
+more lists and clustered ones few. The ``BASE`` nearest lists are searched
+first; from the others only candidates come back that are no worse than the
+last of the ``k + 1`` found there. A query that finds too few candidates
 searches all lists.
 
 Bounds: the sample has at most ``SAMPLE`` vectors and ``SAMPLE_BYTES``, and
@@ -207,7 +209,7 @@ def _post(graph: Graph):
 
 
 def _probe(graph: Graph, ratio: float, width: int):
-    """The lists that each query class searches: ``list, cid, vec``."""
+    """The lists that each query class searches: ``list, cid, vec``, and whether it is one of the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +219,7 @@ def _probe(graph: Graph, ratio: float, width: int):
                 base = d[:, min(BASE, d.shape[1]) - 1 : min(BASE, d.shape[1])]
                 row, col = np.nonzero(d <= ratio * ratio * base)
                 out = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), out.column("cid"), out.column("vec")], names=["list", "cid", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), out.column("cid"), out.column("vec"), pa.array(col < BASE)], names=["list", "cid", "vec", "near"])
 
     return run
 
@@ -227,14 +229,14 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.cumsum(q * x, axis=1)[:, -1]
 
 
-def _top(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a row of ``q`` and one of its ``k`` nearest rows of ``x`` (and ties), with their products."""
+def _top(q: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row of ``q`` and one of its ``k`` nearest rows of ``x`` (and ties), with their products; none below the row's bound."""
     rows, cols = [], []
     slack = 1e-9 * np.sqrt((x * x).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1))
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ x.T
         least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        a, b = np.nonzero(s >= (least - slack[i : i + 256])[:, None])
+        a, b = np.nonzero(s >= (np.maximum(least, bound[i : i + 256]) - slack[i : i + 256])[:, None])
         rows.append(a + i)
         cols.append(b)
     a, b = np.concatenate(rows), np.concatenate(cols)
@@ -251,7 +253,7 @@ def _compare(dim: int, k: int):
             asked, posted = t.filter(asks), t.filter(pc.invert(asks))
             if not asked.num_rows or not posted.num_rows:
                 continue
-            a, b, score = _top(_rows(asked.column("vec"), dim), _rows(posted.column("vec"), dim), k + 1)
+            a, b, score = _top(_rows(asked.column("vec"), dim), _rows(posted.column("vec"), dim), k + 1, asked.column("bound").to_numpy())
             ids = posted.column("ids")
             size = pc.list_value_length(ids).to_numpy()
             flat, first = ids.flatten().to_numpy(), np.append(0, np.cumsum(size))
@@ -304,18 +306,21 @@ def _tune(graph: Graph, pilots: list, classes: DataFrame, posts: DataFrame, k: i
 
 
 def _meet(posts: DataFrame, asks: DataFrame, dim: int, k: int) -> DataFrame:
-    """The ``k + 1`` best ids of each query class over the lists where it meets them: ``cid, hits``, best first."""
+    """Of each list a query class searches its ``k + 1`` best ids, none below ``bound``: ``cid, vec_id, score``."""
     p = posts.groupBy("list").agg(F.count("*").alias("np"))
     sizes = F.broadcast(p.join(F.broadcast(asks.groupBy("list").agg(F.count("*").alias("na"))), "list"))  # a row a list
     blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
     own = lambda n, most: F.pmod(F.xxhash64("cid", "list"), blocks(n, most)).cast("int")
     other = lambda n, most: F.explode(F.sequence(F.lit(0), blocks(n, most) - 1))
-    none = F.lit(None).cast("array<bigint>")
-    a = posts.join(sizes, "list").select(F.col("list").cast("long").alias("path"), own("np", POSTED).alias("bi"), other("na", ASKED).alias("bj"), "cid", "vec", "ids")
-    b = asks.join(sizes, "list").select(F.col("list").cast("long").alias("path"), other("np", POSTED).alias("bi"), own("na", ASKED).alias("bj"), "cid", "vec", none.alias("ids"))
+    a = posts.join(sizes, "list").select(F.col("list").cast("long").alias("path"), own("np", POSTED).alias("bi"), other("na", ASKED).alias("bj"), "cid", "vec", "ids", F.lit(0.0).alias("bound"))
+    b = asks.join(sizes, "list").select(F.col("list").cast("long").alias("path"), other("np", POSTED).alias("bi"), own("na", ASKED).alias("bj"), "cid", "vec", F.lit(None).cast("array<bigint>").alias("ids"), "bound")
     dealt = a.unionByName(b).repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
-    found = dealt.mapInArrow(_compare(dim, k), "cid long, vec_id long, score double").repartition("cid")
-    best = found.groupBy("cid", "vec_id").agg(F.max("score").alias("score"))
+    return dealt.mapInArrow(_compare(dim, k), "cid long, vec_id long, score double")
+
+
+def _best_hits(found: DataFrame, k: int) -> DataFrame:
+    """The ``k + 1`` best ids of each query class: ``cid, hits``, best first."""
+    best = found.repartition("cid").groupBy("cid", "vec_id").agg(F.max("score").alias("score"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     return best.groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))), lambda x: F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score"))).alias("hits"))
 
@@ -358,13 +363,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, per_list: int = LI
         share = F.pmod(draw, F.lit(1 << 30)) < F.lit(int(min(1.0, 4 * PILOTS / asked) * (1 << 30)))
         pilots = queries.where(share).orderBy(draw, "cid").limit(PILOTS).collect() or queries.limit(PILOTS).collect()
     ratio, width = _tune(graph, pilots, one, posts, k) if pilots else (1.0, BASE)
-    probes = cut(queries.mapInArrow(_probe(graph, ratio, width), "list int, cid long, vec binary"), "probes")
-    top = cut(_meet(posts, probes, dim, k), "top")
+    probes = cut(queries.mapInArrow(_probe(graph, ratio, width), "list int, cid long, vec binary, near boolean"), "probes")
+    free = F.lit(float("-inf"))
+    top = cut(_best_hits(_meet(posts, probes.where("near").withColumn("bound", free), dim, k), k), "near")
+    worst = top.select("cid", F.get("hits", F.lit(k))["score"].alias("bound"))
+    others = probes.where("not near").join(worst, "cid", "left").withColumn("bound", F.coalesce("bound", free))
+    top = cut(_best_hits(top.select("cid", F.inline("hits")).unionByName(_meet(posts, others, dim, k)), k), "top")
     few = queries.join(top.where(F.size("hits") > k).select("cid"), "cid", "left_anti")
     if len(graph.centres) > 1 and not few.isEmpty():
         # Too few candidates in the lists searched: these queries search every list.
-        everywhere = few.select(F.explode(F.sequence(F.lit(0), F.lit(len(graph.centres) - 1))).alias("list"), "cid", "vec")
-        more = cut(_meet(posts, cut(everywhere, "probes"), dim, k), "top")
+        everywhere = few.select(F.explode(F.sequence(F.lit(0), F.lit(len(graph.centres) - 1))).alias("list"), "cid", "vec", free.alias("bound"))
+        more = cut(_best_hits(_meet(posts, cut(everywhere, "probes"), dim, k), k), "top")
         top = top.where(F.size("hits") > k).unionByName(more)
 
     own = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "cid").distinct().join(top, "cid")
