@@ -6,6 +6,7 @@ from recolith.plans import actions as _actions  # noqa: F401
 from recolith.plans import more as _more  # noqa: F401  (registers its queries)
 from recolith.plans import scalars as _scalars  # noqa: F401
 from recolith.plans import tables as _tables  # noqa: F401
+from recolith.plans import versions as _versions  # noqa: F401
 from recolith.plans.catalog import QUERIES
 from recolith.plans.catalog import SQL as ORACLE_SQL
 
