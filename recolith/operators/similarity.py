@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recolith.functions.values import overlap_bounds, shingles
+from recolith.scratch import cut
 
 
 def fingerprint_similarity(a: Column, b: Column, offset: Column) -> Column:
@@ -22,34 +24,78 @@ def fingerprint_similarity(a: Column, b: Column, offset: Column) -> Column:
     return F.struct(o["n"].alias("overlap"), (equal / n).alias("exact_rate"), (1 - bits / (n * 32.0)).alias("similarity"))
 
 
+def postings(entries: DataFrame, entry: str, codes: str, size: int = 4, step: int = 8) -> DataFrame:
+    """HB07, SI01: the shingles of entries as 64-bit hashes with their places: ``k, e, p``."""
+    flat = entries.select(F.col(entry).alias("e"), F.explode(shingles(F.col(codes), size, step)).alias("s"))
+    return flat.select(F.xxhash64("s.shingle").alias("k"), "e", F.col("s.pos").alias("p"))
+
+
+def few_of_each(post: DataFrame, by: Sequence[str], most: int) -> DataFrame:
+    """No more than ``most`` postings of each key, the first ones; Spark drops the others before the shuffle."""
+    return post.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("e", "p"))).where(F.col("__r") <= most).drop("__r")
+
+
+def _within(x: Column) -> Column:
+    """Pairs of a list of postings: ``a, b, offset``, the smaller entry first."""
+    return F.flatten(F.transform(x, lambda u: F.transform(F.filter(x, lambda v: v["e"] > u["e"]), lambda v: F.struct(u["e"].alias("a"), v["e"].alias("b"), (v["p"] - u["p"]).alias("offset")))))
+
+
+def _between(x: Column, y: Column) -> Column:
+    """Pairs of a posting of either list."""
+    swap = lambda u, v: u["e"] > v["e"]
+    return F.flatten(F.transform(x, lambda u: F.transform(F.filter(y, lambda v: v["e"] != u["e"]), lambda v: F.struct(F.least(u["e"], v["e"]).alias("a"), F.greatest(u["e"], v["e"]).alias("b"), F.when(swap(u, v), u["p"] - v["p"]).otherwise(v["p"] - u["p"]).alias("offset")))))
+
+
+def copy_links(entries: DataFrame, entry: str, digest: Column) -> DataFrame:
+    """Equal entries: each with the first of its group, ``a, b``; these links stand for all pairs of the group."""
+    e = entries.select(F.col(entry).alias("e"), digest.alias("h"))
+    first = e.groupBy("h").agg(F.min("e").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
+    return e.join(first, "h").where("e <> a").select("a", F.col("e").alias("b"))
+
+
+def code_digest(codes: str) -> Column:
+    return F.xxhash64(codes, F.size(codes))
+
+
 def offset_votes(entries: DataFrame, entry: str, codes: str, size: int = 4, step: int = 8, cap: int = 50, bonus: int = 3) -> DataFrame:
     """SI01, votes: how often pairs of entries share a shingle at each offset.
 
     The cap on postings is part of the meaning: shingles of more postings are
-    ignored, and it bounds the pairs of a shingle. Postings are counted
-    before any pair is made. Equal arrays get ``bonus`` votes at offset 0.
+    ignored. At most ``cap + 1`` postings of a shingle are kept, enough to
+    know that it is over the cap; they are grouped by one shuffle and pairs
+    are made inside the group. Equal arrays get ``bonus`` votes at offset 0.
+    Entries are read once, and once more for the bonus.
     """
-    flat = entries.select(F.col(entry).alias("e"), F.explode(shingles(F.col(codes), size, step)).alias("s")).select("e", F.col("s.shingle").alias("k"), F.col("s.pos").alias("p"))
-    kept = flat.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("k")
-    post = flat.join(kept, "k")
-    x, y = (post.select("k", F.col("e").alias(f"e{i}"), F.col("p").alias(f"p{i}")) for i in "ab")
-    votes = x.join(y, "k").where("ea < eb").groupBy(F.col("ea").alias("a"), F.col("eb").alias("b"), (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("n"))
-    # Equal arrays: each with the first of its group; their links stand for all pairs of the group.
-    same = entries.select(F.col(entry).alias("e"), F.xxhash64(codes, F.size(codes)).alias("h")).withColumn("first", F.min("e").over(Window.partitionBy("h")))
-    exact = same.where("e <> first").select(F.col("first").alias("a"), F.col("e").alias("b"), F.lit(0).alias("offset"), F.lit(bonus).cast("long").alias("n"))
-    return votes.unionByName(exact).groupBy("a", "b", "offset").agg(F.sum("n").alias("votes"))
+    few = few_of_each(postings(entries, entry, codes, size, step), ["k"], cap + 1)
+    groups = few.groupBy("k").agg(F.collect_list(F.struct("e", "p")).alias("x")).where(F.size("x").between(2, cap))
+    votes = groups.select(F.inline(_within(F.col("x")))).groupBy("a", "b", "offset").agg(F.count("*").alias("votes"))
+    if not bonus:
+        return votes
+    exact = copy_links(entries, entry, code_digest(codes)).select("a", "b", F.lit(0).alias("offset"), F.lit(bonus).cast("long").alias("votes"))
+    return votes.unionByName(exact).groupBy("a", "b", "offset").agg(F.sum("votes").alias("votes"))
+
+
+def best_overlaps(entries: DataFrame, entry: str, codes: str, votes: DataFrame, least_votes: int = 3, least_similarity: float = 0.88, least_overlap: int = 80, offsets: int = 5) -> DataFrame:
+    """SI01, SI02: pairs by the best of their offsets with most votes, if overlap and equal bits are enough."""
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset"))
+    tried = votes.where(F.col("votes") >= least_votes).withColumn("r", rank).where(F.col("r") <= offsets)
+    # One row a pair, and only entries that are in one: codes move once a pair and side.
+    tried = cut(tried.groupBy("a", "b").agg(F.collect_list(F.struct("r", "offset", "votes")).alias("tries")), "tried")
+    wanted = tried.select(F.col("a").alias("e")).union(tried.select("b")).distinct()
+    some = entries.select(F.col(entry).alias("e"), F.col(codes).alias("f")).join(wanted, "e", "left_semi")
+    side = lambda i: some.select(F.col("e").alias(i), F.col("f").alias(f"f{i}"))
+    seen = tried.join(side("a"), "a").join(side("b"), "b")
+    tries = F.transform("tries", lambda x: F.struct(fingerprint_similarity(F.col("fa"), F.col("fb"), x["offset"]).alias("c"), x.alias("x")))
+    good = F.filter(tries, lambda y: (y["c"]["overlap"] >= least_overlap) & (y["c"]["similarity"] >= least_similarity))
+    best = F.array_min(F.transform(good, lambda y: F.struct((-y["c"]["similarity"]).alias("s"), y["x"]["r"].alias("r"), y.alias("y"))))["y"]
+    return seen.select("a", "b", best.alias("y")).where("y is not null").select("a", "b", "y.x.offset", "y.x.votes", "y.c.overlap", "y.c.exact_rate", "y.c.similarity")
 
 
 def overlap_pairs(entries: DataFrame, entry: str, codes: str, size: int = 4, step: int = 8, cap: int = 50, least_votes: int = 3, least_similarity: float = 0.88, least_overlap: int = 80, offsets: int = 5) -> DataFrame:
     """SI01: pairs whose best offset has enough overlap and equal bits."""
+    entries = cut(entries.select(entry, codes), "entries", compression="zstd")
     votes = offset_votes(entries, entry, codes, size, step, cap, least_votes)
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset"))
-    tried = votes.withColumn("r", rank).where((F.col("r") <= offsets) & (F.col("votes") >= least_votes))
-    side = lambda i: entries.select(F.col(entry).alias(i), F.col(codes).alias(f"f{i}"))
-    seen = tried.join(side("a"), "a").join(side("b"), "b").withColumn("c", fingerprint_similarity(F.col("fa"), F.col("fb"), F.col("offset")))
-    good = seen.where((F.col("c.overlap") >= least_overlap) & (F.col("c.similarity") >= least_similarity))
-    best = F.min_by(F.struct("offset", "votes", "c"), F.struct((-F.col("c.similarity")).alias("s"), F.col("r")))
-    return good.groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.offset", "x.votes", "x.c.overlap", "x.c.exact_rate", "x.c.similarity")
+    return best_overlaps(entries, entry, codes, votes, least_votes, least_similarity, least_overlap, offsets)
 
 
 def labelled_groups(components: DataFrame, path: Column) -> DataFrame:
