@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recolith.operators.journal import Journal
+from recolith.operators.overlap_index import OverlapIndex
 from recolith.operators.snapshots import Snapshots
-from recolith.plans.catalog import query, t
+from recolith.plans.catalog import _CODES, _OVERLAPS, _fingerprints, query, t
 from recolith.scratch import new_path
 
 
@@ -55,3 +56,13 @@ def journaled_changes(spark, d):
     journal.recover()
     state = lambda b: journal.states(b).select(F.col("key").alias("doc_id"), F.col("state").alias(f"{b}_state"))
     return table.read().join(state("first"), "doc_id", "left").join(state("second"), "doc_id", "left").select("doc_id", "source", "n", "first_state", "second_state")
+
+
+@query(_CODES + _OVERLAPS)
+def overlap_increments(spark, d):
+    """ST10, SI01, SL01: documents come in three batches; the pairs are those of one run over all."""
+    entries = _fingerprints(spark, d)
+    index = OverlapIndex(spark, new_path(spark, "overlaps"), buckets=_buckets(spark))
+    for i in range(3):
+        index.add(i, entries.where(F.col("doc_id") % 3 == i), "doc_id", "fp")
+    return index.pairs()
