@@ -39,8 +39,67 @@ SLOTS = 1 << 14
 SAMPLE_ROWS = 8000
 TRIGRAMS = 60  # a page's text weighs as much as so many independent trigrams at most
 HOST, SUFFIX = 5.0, 20.0  # pages that the level above counts for
-_DROP = re.compile(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""")
+#: Languages told apart, the most frequent ones; documents of others are one language, ``und``.
+LANGUAGES = 200
+#: Rows of all languages' samples together.
+SAMPLE_ALL = 400_000
+_OPEN = {kind: re.compile(rb"(?i)<" + kind + rb"\b") for kind in (b"script", b"style")}
+_CLOSE = {kind: re.compile(rb"(?i)</" + kind + rb"\s*>") for kind in (b"script", b"style")}
+_HTML = re.compile(rb"(?i)<html\b")
+_LANG = re.compile(rb"""(?i)\blang\s*=\s*["']?([a-z]{2,3})""")
+
+
+class _Ends:
+    """Where the next closing mark ends, for places that only grow; each byte is looked at once, and not at all when none is left."""
+
+    def __init__(self, found: Iterator[int]):
+        self.found, self.next = found, -1
+
+    def after(self, at: int) -> int | None:
+        while self.next is not None and self.next <= at:
+            self.next = next(self.found, None)
+        return self.next
+
+
+def _each(html: bytes, mark: bytes) -> Iterator[int]:
+    at = html.find(mark)
+    while at >= 0:
+        yield at + len(mark)
+        at = html.find(mark, at + 1)
+
+
+def page_text(html: bytes) -> bytes:
+    """The page without scripts, styles, comments and tags, in one pass.
+
+    What is never closed loses only its tag, and a ``<`` without any ``>``
+    after it is text.
+    """
+    tags, comments = _Ends(_each(html, b">")), _Ends(_each(html, b"-->"))
+    blocks = {kind: _Ends(m.end() for m in _CLOSE[kind].finditer(html)) for kind in _OPEN}
+    out, text, at = [], 0, html.find(b"<")
+    while at >= 0:
+        end = None
+        for kind, opens in _OPEN.items():
+            if m := opens.match(html, at):
+                end = blocks[kind].after(m.end() + len(kind) + 2)
+        if html.startswith(b"<!--", at):
+            end = comments.after(at + 6)
+        end = tags.after(at) if end is None else end
+        if end is None:
+            break
+        out.append(html[text:at])
+        text, at = end, html.find(b"<", end)
+    out.append(html[text:])
+    return b" ".join(out)
+
+
+def declared_language(html: bytes) -> str | None:
+    """The language that the first ``<html`` tag declares."""
+    if not (m := _HTML.search(html)):
+        return None
+    end = html.find(b">", m.end())
+    found = _LANG.search(html[m.end() : end if end >= 0 else len(html)])
+    return found[1].decode().lower() if found else None
 
 
 def trigram_slots(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +134,10 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities of trigram slots by language."""
     rows = docs.where("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.lower(F.trim("lang")).alias("lang"), "text")
+    often = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    if len(often) == LANGUAGES:
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin(often), F.col("lang")).otherwise("und"))
+    sample_rows = max(1, min(sample_rows, SAMPLE_ALL // max(len(often) + 1, 1)))
     ids = rows.select("lang", "id").distinct().withColumn("k", F.xxhash64("id", F.lit(1)))
     share = F.lit(2.0 * sample_rows) / F.col("n")
     # Twice as many as wanted by a bound on the hash, then exactly: no task sees more of a language.
@@ -109,9 +172,9 @@ def _read(shared):
         for b in batches:
             raw, at = tx.column_bytes(b.column("html"))
             for i, j in tx.slices(at):
-                html = [raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
-                declared = [m[1].lower() if (m := _LANG.search(x)) else None for x in html]
-                data, off = tx.column_bytes(pa.array([_DROP.sub(" ", x) for x in html], pa.large_string()))
+                html = [raw[x:y].tobytes() for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
+                declared, texts = [declared_language(x) for x in html], [page_text(x) for x in html]
+                data, off = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts]))
                 like = text_posteriors(data, off, logs)
                 like = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * len(logs)), pa.array(like.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("page_id").slice(i, j - i), b.column("url").slice(i, j - i), pa.array(declared, pa.string()), like], names=["page_id", "url", "declared", "loglike"])

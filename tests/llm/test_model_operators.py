@@ -330,3 +330,41 @@ def test_quality_shrinks_sparse_sites(spark):
     assert got[0]["predicted"] == 1 and got[60]["predicted"] == 0 and got[120]["predicted"] == 1
     assert quality.quality(df.where("doc_id < 0"), labels).count() == 0
     assert {r["evidence"] for r in quality.quality(df, labels.where("quality = 1")).collect()} == {0.5}
+
+
+def test_pages_that_are_never_closed():
+    """One pass over the page, whatever it opens; the same text as a plain pattern on small pages."""
+    import random
+    import time
+
+    plain = re.compile(rb"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>")
+    parts = [b"<script>", b"<SCRIPT a=1>", b"</script>", b"</script  >", b"<style>", b"</style>", b"<!--", b"-->", b"<b>", b"<", b">", b"x", b" ", b"<!-->", b"<scripty>", b"--", b"</script", b"<script"]
+    rng = random.Random(1)
+    for _ in range(5000):
+        page = b"".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert language_id.page_text(page) == plain.sub(b" ", page)
+    for mark in (b"<!--", b"<script>", b"<html ", b"<style ", b"<", b"</script ", b"<html lang", b"<!-->", b"<script></script "):
+        began = time.process_time()
+        page = mark * (4_000_000 // len(mark))
+        language_id.page_text(page)
+        assert language_id.declared_language(page) is None or mark == b"<html lang"
+        assert time.process_time() - began < 10
+    assert language_id.declared_language(b'<!doctype x><HTML a="1" LANG = "de-AT">x<html lang=fr>') == "de"
+    assert language_id.declared_language(b"<html><p lang=en>") is None
+
+
+def test_more_languages_than_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    texts = [(i, x, lang) for lang, x in (("de", "der die das und"), ("en", "the of and to"), ("fr", "le la les et")) for i in range(30)]
+    rare = [(1000 + i, "qqq zzz xxx", f"x{i}") for i in range(200)]
+    langs, logs = language_id.fit_languages(spark.createDataFrame(texts + rare, "doc_id long, text string, lang string"))
+    assert langs == ["de", "en", "fr", "und"] and logs.shape == (4, language_id.SLOTS)
+
+
+def test_lm_fit_of_one_id(spark):
+    """Many rows of one id do not multiply in the sample."""
+    rows = spark.createDataFrame([(7, f"a b c {i % 5}") for i in range(400)] + [(i, "d e f") for i in range(20, 40)], "doc_id long, text string")
+    got = lm_score.lm_scores(rows).collect()
+    assert len(got) == 420 and all(r["score"] < 0 for r in got)
+    same = {r["score"] for r in got if r["doc_id"] == 7}
+    assert len(same) <= 5
