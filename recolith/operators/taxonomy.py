@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recolith.functions.text import spaced, taxonomy_key
+from recolith.scratch import cut
 
 ENTRY = "struct<name:string,parent:string,djBuckets:array<string>,aliases:array<string>,description:string>"
 SCHEMA = f"version string, djBuckets array<{ENTRY}>, djSubBuckets array<{ENTRY}>, strictGenres array<{ENTRY}>, subgenres array<{ENTRY}>"
@@ -53,7 +54,35 @@ def memberships(classified: DataFrame, row_id: str, least: int = 12) -> DataFram
     return out.join(enough, ["layer", "name"])
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct runs of ``size`` characters."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(df: DataFrame, name: str, patterns: DataFrame, pattern: str, gram: int = 3) -> DataFrame:
+    """PF18: rows whose name contains any of many patterns, without regard to case.
+
+    A pattern is looked up by the rarest of its runs of ``gram`` characters
+    (all of it, if it is shorter) among the names, an equi-join, and only what
+    shares that run is compared. Different names are looked up once. An empty
+    pattern is in every name; null names and patterns match nothing.
+    """
+    q = patterns.select(F.lower(F.col(pattern)).alias("q")).where("q is not null").distinct()
+    names = df.select(F.lower(F.col(name)).alias("n")).where("n is not null").distinct()
+    need = cut(q.where("q <> ''").select("q", F.explode(_grams(F.col("q"), F.least(F.length("q"), F.lit(gram)))).alias("g")), "grams")
+    sizes = [r[0] for r in need.select(F.length("g").alias("k")).distinct().collect()]  # 1 to gram
+    runs = F.flatten(F.array(*[_grams(F.col("n"), F.lit(k)) for k in sizes])) if sizes else F.array().cast("array<string>")
+    has = cut(names.select("n", F.explode(runs).alias("g")).join(need.select("g").distinct(), "g", "left_semi"), "names")
+    often = has.groupBy("g").agg(F.count("*").alias("often"))
+    rare = need.join(often, "g", "left").groupBy("q").agg(F.min_by("g", F.struct(F.coalesce("often", F.lit(0)), "g")).alias("g"))
+    hits = has.join(rare, "g").where(F.contains("n", "q")).select("n")
+    if not q.where("q = ''").isEmpty():
+        hits = names
+    return df.join(hits.distinct(), F.lower(F.col(name)) == F.col("n"), "left_semi")
+
+
 def matching_names(df: DataFrame, name: str, queries: DataFrame, alias_map: DataFrame) -> DataFrame:
-    """PF18: names that contain any query or what it is an alias for; queries are user input, a handful."""
-    q = queries.join(alias_map, "query", "left").select(F.explode(F.array_compact(F.array(F.lower("query"), F.lower("target")))).alias("q")).distinct()
-    return df.join(F.broadcast(q), F.contains(F.lower(F.col(name)), F.col("q")), "left_semi")
+    """PF18: names that contain any query or what it is an alias for."""
+    q = queries.join(alias_map, "query", "left").select(F.explode(F.array_compact(F.array("query", "target"))).alias("q"))
+    return containing(df, name, q, "q")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from recolith.plans import actions as _actions  # noqa: F401
 from recolith.plans import captures as _captures  # noqa: F401
+from recolith.plans import lookups as _lookups  # noqa: F401
 from recolith.plans import more as _more  # noqa: F401  (registers its queries)
 from recolith.plans import scalars as _scalars  # noqa: F401
 from recolith.plans import tables as _tables  # noqa: F401

@@ -115,6 +115,18 @@ def table_status(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def existing(spark: SparkSession, names: dict[str, str]) -> DataFrame:
+    """JN25, SC32: tables or views that a name stands for: whether each is there, and its rows; null where it is not.
+
+    Names are configuration, a handful.
+    """
+    there = {k: spark.catalog.tableExists(v) for k, v in names.items()}
+    known = spark.createDataFrame(list(there.items()), "table string, there boolean")
+    found = {k: spark.table(names[k]) for k, ok in there.items() if ok}
+    counts = table_status(found) if found else spark.createDataFrame([], "table string, n_rows long")
+    return known.join(counts, "table", "left")
+
+
 def key_lookup(keys: DataFrame, row_id: str, name: str, variants: Column) -> DataFrame:
     """SC33, SC34: names and their variants to ids; an id's own name beats another's variant."""
     flat = keys.select(row_id, F.posexplode(F.concat(F.array(F.lower(name)), variants)).alias("rank", "variant"))
