@@ -16,6 +16,7 @@ from recolith.functions import rules, values
 from recolith.functions import text as tx
 from recolith.operators import aggregates as ag
 from recolith.operators import dedup, graph, matching, mutate, similarity, taxonomy
+from recolith.operators.nearest_codes import nearest_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -503,15 +504,12 @@ def _sign_codes():
 WITH e AS (SELECT vec_id, label, list_transform(range(0, 2), lambda i: list_sum(list_transform(range(0, 32), lambda j: CASE WHEN embedding[i * 32 + j + 1] > 0 THEN (1::BIGINT << j) ELSE 0 END))::BIGINT) AS c FROM embeddings),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.c[1], b.c[1])) + bit_count(xor(a.c[2], b.c[2])) AS bits FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT a, min(bits::BIGINT * 1000000000 + b) % 1000000000 AS nearest, round(1 - min(bits) / 64.0, 6) AS similarity, count(*) AS n_compared FROM p GROUP BY 1""")
-def hamming_similarity(spark, d, blocks=8):
-    """SI02 on sign bits of embeddings: each vector's nearest of its label; each pair of a label's blocks is a task of its own."""
-    e = t(spark, d, "embeddings").select("vec_id", "label", _sign_codes().alias("c")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-    a = e.select(F.col("vec_id").alias("a"), "label", "c", F.col("own").alias("i"), other.alias("j"))
-    b = e.select(F.col("vec_id").alias("b"), "label", F.col("c").alias("cb"), F.col("own").alias("j"), other.alias("i"))
-    p = a.join(b, ["label", "i", "j"]).where("a <> b").withColumn("s", similarity.fingerprint_similarity(F.col("c"), F.col("cb"), F.lit(0))["similarity"])
-    best = p.groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("b"))).alias("x"), F.count("*").alias("n_compared"))
-    return best.select("a", (-F.col("x.b")).alias("nearest"), F.round("x.s", 6).alias("similarity"), "n_compared")
+def hamming_similarity(spark, d):
+    """SI02 on sign bits of embeddings: each vector's nearest of its label, by bands; ``n_compared`` counts the others, all of which are ruled on."""
+    e = t(spark, d, "embeddings").select("vec_id", "label", _sign_codes().alias("c"))
+    code = F.call_function("shiftleft", F.col("c")[1], F.lit(32)).bitwiseOR(F.col("c")[0])
+    found = nearest_codes(e.select("vec_id", "label", code.alias("code")), "vec_id", "label", "code")
+    return found.select("a", "nearest", F.round(1 - F.col("distance") / 64.0, 6).alias("similarity"), F.col("n_others").alias("n_compared"))
 
 
 @query("""
