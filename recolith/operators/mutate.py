@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recolith.operators.graph import connected_components
+from recolith.operators.ranks import positions
 
 
 def survivors(pairs: DataFrame, loser: str, keeper: str, preference: DataFrame, row_id: str, order: Sequence[Column]) -> DataFrame:
@@ -118,8 +119,8 @@ def insert_all_or_nothing(table: DataFrame, rows: DataFrame, key: str) -> DataFr
 
 
 def append_sequence(df: DataFrame, existing_max: Column, order: Sequence[Column], name: str = "seq") -> DataFrame:
-    """DM12, AG24: numbers after the present maximum; for the few rows of a folder."""
-    return df.withColumn(name, F.coalesce(existing_max, F.lit(0)) + F.row_number().over(Window.orderBy(*order)))
+    """DM12, AG24: numbers after the present maximum, in order."""
+    return positions(df, [], order).withColumn(name, F.coalesce(existing_max, F.lit(0)) + F.col("pos") + 1).drop("pos", "total")
 
 
 def plan_missing(rows: DataFrame, wanted: DataFrame, refs: DataFrame, row_id: str, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recolith.functions.values import overlap_bounds, shingles
+from recolith.operators.ranks import positions
 from recolith.scratch import cut
 
 
@@ -99,13 +100,10 @@ def overlap_pairs(entries: DataFrame, entry: str, codes: str, size: int = 4, ste
 
 
 def labelled_groups(components: DataFrame, path: Column) -> DataFrame:
-    """SL02: groups numbered in the order of their smallest path.
-
-    The ranking is over groups, one row each, not over members.
-    """
+    """SL02: groups numbered in the order of their smallest path, by ranges of it."""
     first = components.groupBy("component").agg(F.min(F.lower(path)).alias("first"))
-    label = F.format_string("group-%04d", F.row_number().over(Window.orderBy("first", "component")))
-    return components.join(first.select("component", label.alias("label")), "component")
+    label = F.format_string("group-%04d", F.col("pos") + 1)
+    return components.join(positions(first, [], [F.col("first"), F.col("component")]).select("component", label.alias("label")), "component")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recolith.operators.ranks import positions
+
 EVENT = "ts string, action string, status struct<platform:string,progress:double,status:struct<path:string,status:string,message:string,accuracy:double,usedShazam:boolean>>"
 EXPORT = "playlists array<struct<name:string,id:long,rows:int,local_rows:int,streaming_rows_ignored:int,missing_content_rows:int,entries:array<struct<content_id:long,title:string,artist:string,folder_path:string,track_no:int>>>>"
 
@@ -152,14 +154,14 @@ def fetch_candidates(wanted: DataFrame, cached: DataFrame, key: str) -> tuple[Da
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    """SK01, SK02: fixed columns; arrays are joined, other nested cells are JSON; for reports."""
+    """SK01, SK02: fixed columns; arrays are joined, other nested cells are JSON. Files follow the order of the rows, each with a header."""
     df = df.select(*columns) if columns else df
     cells = []
     for f in df.schema.fields:
         t = f.dataType.typeName()
         c = F.col(f"`{f.name}`")
         cells.append((F.array_join(c.cast("array<string>"), ";") if t == "array" else F.to_json(c) if t in ("struct", "map", "variant") else c).alias(f.name))
-    df.select(*cells).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*cells).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -169,8 +171,8 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 def m3u_lines(df: DataFrame, path: str, order: Sequence[Column]) -> DataFrame:
     """SK05, SK06: header and paths as numbered lines."""
-    body = df.select((F.row_number().over(Window.orderBy(*order))).alias("n"), F.col(path).alias("value"))
-    return df.sparkSession.createDataFrame([(0, "#EXTM3U")], "n int, value string").unionByName(body).orderBy("n")
+    body = positions(df, [], order).select((F.col("pos") + 1).alias("n"), F.col(path).alias("value"))
+    return df.sparkSession.createDataFrame([(0, "#EXTM3U")], "n long, value string").unionByName(body).orderBy("n")
 
 
 def playlist_files(memberships: DataFrame, playlist: str, path: str, order: str) -> DataFrame:
