@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recolith.operators.ranks import positions
+from recolith.sources.xml_tags import tag_attributes, tags
 
 EVENT = "ts string, action string, status struct<platform:string,progress:double,status:struct<path:string,status:string,message:string,accuracy:double,usedShazam:boolean>>"
 EXPORT = "playlists array<struct<name:string,id:long,rows:int,local_rows:int,streaming_rows_ignored:int,missing_content_rows:int,entries:array<struct<content_id:long,title:string,artist:string,folder_path:string,track_no:int>>>>"
@@ -83,14 +84,9 @@ def playlist_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def playlist_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """SC26: NODE elements of a playlist file at any depth; those without an id are dropped.
-
-    Elements are found by their start tags, so nesting needs no second pass.
-    """
-    tag = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<NODE\b([^>]*)>"), F.lit(1)))
-    attr = lambda n: F.nullif(F.regexp_extract("a", rf'\b{n}="([^"]*)"', 1), F.lit(""))
-    df = spark.read.text(path, wholetext=True).select(tag.alias("a"))
-    return df.select(attr("Id").alias("node_id"), attr("ParentId").alias("parent_id"), attr("Attribute").alias("attribute"), attr("Timestamp").alias("timestamp_raw"), attr("Lib_Type").alias("lib_type"), attr("CheckType").alias("check_type")).where("node_id is not null")
+    """SC26: ``NODE`` tags at any depth of files of any size; tags without ``Id`` are skipped."""
+    names = {"node_id": "Id", "parent_id": "ParentId", "attribute": "Attribute", "timestamp_raw": "Timestamp", "lib_type": "Lib_Type", "check_type": "CheckType"}
+    return tag_attributes(tags(spark, path, "NODE"), names).where("node_id is not null").select(*names)
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
