@@ -87,6 +87,9 @@ def pick_genre(primary: Column, secondary: Column) -> Column:
     return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
 
 
+# The statuses, actions and reasons in the ladders from here on.
+
+
 def recommendation_status(content_id: Column, found: Column, path: Column, genre: Column, review: Column, conf: Column, current: Column, cutoff: str = "medium", include_review: bool = False, include_streaming: bool = False, exclude_tools: bool = True, overwrite: bool = False) -> Column:
     """PF15: one status a row; earlier steps win."""
     rank = {"low": 1, "medium": 2, "high": 3}[cutoff]

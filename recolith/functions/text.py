@@ -123,11 +123,15 @@ def artist_tokens(c) -> Column:
     return F.array_except(F.array_distinct(F.split(match_text(c), " ")), F.array(F.lit(""), *[F.lit(x) for x in ARTIST_STOP]))
 
 
+# Phrases that identity keys leave out.
+_LEFT_OUT = r"(?U)\b(explicit|clean|radio edit|original mix|remaster(?:ed)?|processed_library_root notes?)\b"
+
+
 def identity_text(c, folded: bool = True, drop: bool = True) -> Column:
     """TX09; ``drop`` replaces odd characters by a space before white space collapses, else they vanish after it."""
     if drop:
         s = casefold(_text(c)) if folded else F.lower(_text(c))
-        s = F.regexp_replace(s, r"(?U)\b(explicit|clean|radio edit|original mix|remaster(?:ed)?|processed_library_root notes?)\b", " ")
+        s = F.regexp_replace(s, _LEFT_OUT, " ")
         return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "_+", " "), r"(?U)[^\w\s&'+.-]", " "), r"(?U)\s+", " "))
     s = F.regexp_replace(F.regexp_replace(F.lower(_text(c)), "_+", " "), r"(?U)\s+", " ")
     return F.trim(F.regexp_replace(s, r"(?U)[^\w\s&'+.-]", ""))

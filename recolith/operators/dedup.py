@@ -67,7 +67,7 @@ def blocking_candidates(df: DataFrame, row_id: str, keys: Sequence[Column], leas
 
 
 def top_of_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """WN12, WN13: the first k of each group."""
+    """WN12, WN13: the first k of each group; a task sends no more than k rows of a group to the shuffle (Spark's group limit)."""
     return best_first(df, by, order, "rank").where(F.col("rank") <= k)
 
 

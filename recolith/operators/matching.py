@@ -116,6 +116,7 @@ def classify_missing(df: DataFrame, exists: Column, remapped: Column, name_count
     """PF17: status and advice of each reference that is not plainly there."""
     from recolith.functions.rules import ladder
 
+    # Statuses and their actions.
     status = ladder((exists, "ok"), (remapped, "wrong_drive_letter_local_file_exists"), (name_count == 1, "local_equivalent_found_by_filename"), (missing_root, "blocked_missing_expected_root"), (under_root, "missing_under_existing_root"), default="missing_outside_expected_roots")
     advice = {"ok": "none", "wrong_drive_letter_local_file_exists": "relink_rekordbox_path_to_mounted_drive", "local_equivalent_found_by_filename": "review_relink_before_delete", "blocked_missing_expected_root": "do_not_delete_until_root_verified", "missing_under_existing_root": "rekordbox_delete_candidate", "missing_outside_expected_roots": "manual_review"}
     return df.withColumn("status", status).withColumn("action", F.element_at(F.create_map(*[F.lit(x) for kv in advice.items() for x in kv]), F.col("status")))
