@@ -9,14 +9,16 @@ grouped sums of text posteriors; a page's own part is taken out of the sums
 that it is judged by, so a host of one page falls back to its suffix.
 
 Trigram models are fitted on labelled documents: of each language the
-``SAMPLE_ROWS`` with the smallest hash of their id. Everything else covers all
-pages. Sums are made per task before they move; rows that join them are
+``SAMPLE_ROWS`` with the smallest hash of their id, ``SAMPLE_ALL`` rows in all.
+The ``LANGUAGES`` most frequent ones are told apart; documents of the others
+are one language, ``und``, so a label column of any number of values stays
+bounded. Everything else covers all pages. Sums are made per task before they move; rows that join them are
 narrow, and AQE may split a host that holds a third of the pages.
 
 Nulls, empty texts and repeated rows: a null ``html`` has no text and no
 declaration, a null or unusual ``url`` has host and suffix ``""``; what is
-missing adds no evidence. Very long pages are read whole, in slices of rows. Repeated
-rows each get a row and count each; of an id's rows each different text is
+missing adds no evidence. Pages of any length are read whole, in one pass, also
+where tags, comments or scripts are never closed. Repeated rows each get a row and count each; of an id's rows each different text is
 trained on once, at most ``SAMPLE_ROWS`` texts a language. An
 empty table gives an empty table; without labelled documents every page gets
 the language ``und`` with probability 1.
