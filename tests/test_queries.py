@@ -1,5 +1,7 @@
 """Every registered query of the library against its SQL on the smallest tables."""
 
+import os
+
 import pytest
 
 from recolith.oracle import compare, connect
@@ -22,3 +24,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["scan_inventory", "scan_probe_plan", "scan_roots_first_wins"])
+def test_tables_in_parts(spark, tmp_path, name):
+    """Scans of tables of which some are folders of parts."""
+    for f in os.listdir(SF):
+        if f[0] in "deln":
+            (tmp_path / f).mkdir()
+            for i in range(2):
+                os.symlink(f"{SF}/{f}", tmp_path / f / f"part-{i}.parquet")
+        else:
+            os.symlink(f"{SF}/{f}", tmp_path / f)
+    d = str(tmp_path)
+    assert compare(spark, connect(SF), registry.QUERIES[name], registry.ORACLE_SQL[name], d) == ""
