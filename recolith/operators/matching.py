@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recolith.scratch import cut
+
 
 def multi_key_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keys: Column, right_keys: Column, key_prefix: str = "__") -> DataFrame:
     """JN01: pairs that share any of several keys, each once.
@@ -31,13 +33,60 @@ def preferred_then_global(left: DataFrame, pairs: DataFrame, left_id: str, prefe
     rest = [c for c in pairs.columns if c != left_id]
     order = F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))
     g = pairs.groupBy(left_id).agg(F.min_by(F.when(preferred, F.struct(*rest)), F.when(preferred, order)).alias("p"), F.min_by(F.struct(*rest), order).alias("g"))
+    return _preferred_else_global(left.join(g, left_id, "left"), left_id, rest, score, least)
+
+
+def _preferred_else_global(df: DataFrame, left_id: str, rest: Sequence[str], score: str, least: int) -> DataFrame:
+    """JN02: of the best preferred match ``p`` and the best of all ``g``."""
     use_p = F.coalesce(F.col("p")[score] >= least, F.lit(False))
     use_g = F.coalesce(F.col("g")[score] >= least, F.lit(False))
     pick = F.when(use_p, F.col("p")).when(use_g, F.col("g"))
-    out = left.join(g, left_id, "left").withColumn("bucket", F.when(use_p, "preferred").when(use_g, "global").otherwise("missing"))
+    out = df.withColumn("bucket", F.when(use_p, "preferred").when(use_g, "global").otherwise("missing"))
     return out.select(left_id, "bucket", *[pick[c].alias(c) for c in rest])
 
 
+def best_by_threshold(left: DataFrame, right: DataFrame, group: str, left_value: str, right_value: str, points: str, bonus: int, tie: str, name: str) -> DataFrame:
+    """WN05 without the pairs: each left row's best right row of its group, as ``name``, a struct of ``points`` and ``tie``.
+
+    A right row counts its own points, and ``bonus`` (above 0) where its value
+    is above the left row's; the smallest ``tie`` among equals. Either the best
+    of the rows above or the best of the whole group wins: if the latter is
+    itself above, the former has at least its points. Thresholds and values
+    lie in one order, dealt by ranges; a running best within each range and
+    the best of the ranges before it give the best above each threshold, so
+    work grows with the rows and no group is held in one task.
+    """
+    if bonus <= 0:
+        raise ValueError("the bonus must be above 0")
+    key = F.struct((-F.col(points)).alias("s"), F.col(tie).alias("t"))
+    right = right.where(F.col(group).isNotNull() & F.col(points).isNotNull())
+    groups = right.groupBy(F.col(group).alias("__g")).agg(F.min(key).alias("__all"))
+    values = right.where(F.col(right_value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(right_value).alias("__v")).agg(F.min(key).alias("__k"))
+    asked = left.where(F.col(group).isNotNull() & F.col(left_value).isNotNull()).select(F.col(group).alias("__g"), F.col(left_value).alias("__v")).distinct()
+    # A threshold comes before the values that equal it, which are not above it.
+    both = asked.withColumn("__asked", F.lit(True)).unionByName(values.withColumn("__asked", F.lit(False)), allowMissingColumns=True)
+    by = [F.col("__g"), F.col("__v").desc(), F.col("__asked").desc()]
+    dealt = cut(both.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()), "thresholds")
+    ranges = dealt.groupBy("__g", "__p").agg(F.min("__k").alias("__best"))
+    before = ranges.withColumn("__before", F.min("__best").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).drop("__best")
+    run = F.min("__k").over(Window.partitionBy("__g", "__p").orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    above = dealt.withColumn("__run", run).where("__asked").join(before, ["__g", "__p"]).select("__g", "__v", F.least("__run", "__before").alias("__above"))
+    out = left.join(groups, F.col(group) == F.col("__g"), "left").drop("__g")
+    out = out.join(above, (F.col(group) == F.col("__g")) & (F.col(left_value) == F.col("__v")), "left")
+    scored = lambda k, more: F.when(F.col(k).isNotNull(), F.struct((F.lit(more) - F.col(k)["s"]).alias(points), F.col(k)["t"].alias(tie)))
+    return out.withColumn(name, F.coalesce(scored("__above", bonus), scored("__all", 0))).drop("__g", "__v", "__above", "__all")
+
+
+def preferred_then_global_by_threshold(left: DataFrame, right: DataFrame, left_id: str, preferred: str, everywhere: str, left_value: str, right_value: str, points: str, bonus: int, tie: str, least: int = 55) -> DataFrame:
+    """JN02 for scores of ``best_by_threshold``: the best match of group ``preferred`` if it reaches ``least``, else that of group ``everywhere``, else missing.
+
+    Right rows of a preferred group must be in the same group ``everywhere``.
+    """
+    args = (left_value, right_value, points, bonus, tie)
+    both = best_by_threshold(best_by_threshold(left, right, preferred, *args, "p"), right, everywhere, *args, "g")
+    return _preferred_else_global(both, left_id, [points, tie], points, least)
+
+
 def unique_fallback_join(left: DataFrame, right: DataFrame, exact: str, fallback: str, right_id: str) -> DataFrame:
     """JN28, JN13, JN04: by the exact key, else by the fallback key where it names one row only.
 

@@ -240,3 +240,23 @@ def test_file_operations(spark):
     assert [r["v"] for r in df.collect()] == [[], ["same_path", "destination_exists"], ["extension_changes", "source_missing"]]
     out = mutate.apply_operation(df.withColumns({"file_action_status": F.lit("pending"), "status": F.lit("planned")}), F.col("v"), F.lit(True)).collect()
     assert [(r["file_action_status"], r["status"]) for r in out] == [("done", "succeeded"), ("blocked", "blocked"), ("blocked", "blocked")]
+
+
+def test_best_by_threshold_equals_all_pairs(spark):
+    r = random.Random(3)
+    some = lambda x: None if r.random() < 0.05 else x
+    places = [(n, n // 3) for n in range(9)] + [(None, None)]
+    left = [(i, *r.choice(places), some(r.randint(0, 12) / 2)) for i in range(300)]
+    right = [(i, *r.choice(places[:8]), some(r.randint(0, 12) / 2), some(40 + i % 7)) for i in range(200)]
+    a = spark.createDataFrame(left, "i int, nation int, region int, x double").repartition(3)
+    b = spark.createDataFrame(right, "t int, nation int, region int, v double, points int").repartition(3)
+    want = []
+    for i, n, g, x in left:
+        found = [(-(p + (20 if x is not None and v is not None and v > x else 0)), t, m == n) for t, m, h, v, p in right if g is not None and h == g and p is not None]
+        best = [min((c[:2] for c in found if near in (c[2], None)), default=(0, None)) for near in (True, None)]
+        use = next((k for k in (0, 1) if -best[k][0] >= 55), 2)
+        want.append((i, ("preferred", "global", "missing")[use], (*best, (None, None))[use][1]))
+    got = matching.preferred_then_global_by_threshold(a, b, "i", "nation", "region", "x", "v", "points", 20, "t").select("i", "bucket", "t")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[1] for w in want} == {"preferred", "global", "missing"}
+    with pytest.raises(ValueError):
+        matching.best_by_threshold(a, b, "nation", "x", "v", "points", 0, "t", "p")
