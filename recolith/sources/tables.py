@@ -11,7 +11,7 @@ from recolith.operators.ranks import positions
 from recolith.sources.xml_tags import tag_attributes, tags
 
 EVENT = "ts string, action string, status struct<platform:string,progress:double,status:struct<path:string,status:string,message:string,accuracy:double,usedShazam:boolean>>"
-EXPORT = "playlists array<struct<name:string,id:long,rows:int,local_rows:int,streaming_rows_ignored:int,missing_content_rows:int,entries:array<struct<content_id:long,title:string,artist:string,folder_path:string,track_no:int>>>>"
+EXPORT = "playlists array<struct<name:string,id:long,rows:int,first:long,local_rows:int,streaming_rows_ignored:int,missing_content_rows:int,entries:array<struct<content_id:long,title:string,artist:string,folder_path:string,track_no:int>>>>"
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -77,10 +77,32 @@ def event_log(spark: SparkSession, *paths: str) -> DataFrame:
     return ev.select("ts", F.col("status.platform").alias("platform"), F.col("status.status.path").alias("path"), F.lower("status.status.path").alias("path_key"), F.col("status.status.status").alias("status"), F.col("status.status.message").alias("message"), F.col("status.status.accuracy").alias("accuracy"), F.col("status.status.usedShazam").alias("used_shazam"), "ordinal")
 
 
-def playlist_export(spark: SparkSession, path: str) -> DataFrame:
-    """SC25: one row an entry."""
-    df = spark.read.schema(EXPORT).json(path, multiLine=True).select(F.explode("playlists").alias("p"))
-    return df.select("p.name", "p.id", F.posexplode_outer("p.entries").alias("pos", "e")).select("name", "id", "pos", "e.*")
+def playlist_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SC25: one row an entry.
+
+    An export is one document over many lines; ``lines`` reads one of
+    ``write_playlists``, whose pieces go on where those before them end.
+    """
+    df = spark.read.schema(EXPORT).json(path, multiLine=not lines).select(F.explode("playlists").alias("p"))
+    df = df.select("p.name", "p.id", F.coalesce("p.first", F.lit(0)).alias("first"), F.posexplode_outer("p.entries").alias("pos", "e"))
+    return df.select("name", "id", (F.col("first") + F.col("pos")).alias("pos"), "e.*")
+
+
+def write_playlists(lists: DataFrame, entries: DataFrame, path: str, key: str, order: Sequence[Column], piece: int = 1000) -> None:
+    """SK04: playlists as documents of an export, a line each, with at most ``piece`` entries.
+
+    ``lists`` has ``key``, ``name`` and ``id``; ``entries`` has ``key`` and the
+    fields of an entry, in their order. Lists of one key share its entries,
+    which are numbered and put into pieces before they meet the lists, so no
+    row holds more than a piece. A list without entries is written empty.
+    """
+    fields = F.struct(*[c for c in entries.columns if c != key])
+    numbered = positions(entries.withColumn("__e", fields), [key], order, "__pos", "rows")
+    pieces = numbered.groupBy(key, "rows", (F.col("__pos") - F.col("__pos") % piece).alias("first")).agg(F.array_sort(F.collect_list(F.struct("__pos", "__e"))).alias("x"))
+    pieces = pieces.select(key, "rows", "first", F.transform("x", lambda e: e["__e"]).alias("entries"))
+    out = lists.join(pieces, key, "left").select(F.array(F.struct("name", "id", F.coalesce("rows", F.lit(0)).alias("rows"), "first", F.coalesce("entries", F.expr("array()")).alias("entries"))).alias("playlists"))
+    # Pieces repeat for lists that share entries.
+    out.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def playlist_nodes(spark: SparkSession, path: str) -> DataFrame:

@@ -105,6 +105,17 @@ def test_text_tables(spark, tmp_path):
     assert tables.playlist_export(spark, str(tmp_path / "x.json")).count() == 2
 
 
+def test_playlists_in_pieces(spark, tmp_path):
+    lists = spark.createDataFrame([(1, "a", 7), (1, "b", 8), (2, "none", 9)], "k int, name string, id int")
+    entries = spark.createDataFrame([(1, 100 - i, f"t{i}") for i in range(25)], "k int, content_id long, title string").repartition(4)
+    tables.write_playlists(lists, entries, str(tmp_path / "e"), "k", [F.col("content_id")], piece=10)
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "e")).collect()]
+    assert len(lines) == 7 and max(x.count("content_id") for x in lines) == 10
+    got = sorted((r["name"], r["pos"], r["content_id"], r["title"]) for r in tables.playlist_export(spark, str(tmp_path / "e"), lines=True).where("content_id is not null").collect())
+    assert got == [(n, i, 76 + i, f"t{24 - i}") for n in "ab" for i in range(25)]
+    assert tables.playlist_export(spark, str(tmp_path / "e"), lines=True).where("name = 'none'").count() == 1
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"], {"k": "v"})], "i int, l array<string>, m map<string,string>")
     tables.write_csv(df, str(tmp_path / "o"))
