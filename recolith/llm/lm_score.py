@@ -12,7 +12,7 @@ predictors that look up counts under hashed contexts (no word, one word and
 two words before for the code; orders of the preceding classes, words,
 matches or bytes for the others); their log odds are mixed by weights that a gate
 selects by kind of decision, and the mix is corrected by a bias per gate.
-Weights and biases start from a short fit and adapt online within each text,
+Weights and biases start from a fit and adapt online within each text,
 block by block of ``BLOCK`` tokens, after the block has been scored. The sum
 of bits gives the log10 probability and the bits per byte.
 
@@ -23,19 +23,21 @@ are sent to the executors; counts of all other words are joined by key before
 the texts are scored, so scores do not depend on ``FREQUENT``. The code's
 length and its tables grow with the training bytes, the tables up to
 ``2**MOST_SLOT_BITS`` slots a predictor; beyond that contexts share slots. The
-start of the mixing weights is fitted on all of ``FIT_ROWS`` training texts,
-slice by slice, and is the mean over slices.
+start of the mixing weights is a Newton step from fixed weights, by gate. Each
+task sums slope and curvature over its training texts, all of them, and in a
+second pass what shares of the step cost; each gate takes the best share.
 
 Nulls, empty texts and repeated rows: a null text is empty and has the end
 alone. Rows with a null ``doc_id`` count as held out. Repeated rows are each
-scored, and each counts in training; the fit of the mixing weights takes each
-different text of an id once, ``FIT_ROWS`` rows in all. An empty table gives an empty table;
+scored, and each counts in training. An empty table gives an empty table;
 without training rows N is 0, V is 0 and bases are log10(0.1 / 0.1) a token.
 """
 
 from __future__ import annotations
 
 import io
+import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +46,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recolith.llm import textops as tx
-from recolith.llm.samples import pick_rows
 from recolith.scratch import cut
 
 FREQUENT = 1 << 20
-FIT_ROWS = 300
+#: Decisions that the start of the mixing weights counts as.
+PRIOR = 50
+#: Shares of a step of the fit that are tried.
+STEPS = (0, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
 BLOCK = 64
 RATE, BIAS_RATE = 0.02, 0.03
 ORDERS = 4  # predictors of a decision of either kind
@@ -56,7 +60,8 @@ WORD_SLOTS, BYTE_BITS = 1 << 16, 14
 BYTE_CTX = 1 << BYTE_BITS
 FLUSH = 1 << 20
 #: Bytes of text that are taken apart at once; a decision takes some hundred bytes of memory.
-SLICE = 1 << 19
+SLICE = 1 << 18
+FIT_SLICE = 1 << 17
 END = np.uint64(0x1F83D9ABFB41BD6B)
 _BOUNDS = np.array([2, 3, 4, 6, 8, 11, 15])
 #: Predictors of a bit of a word's code: no word, one word, two words before.
@@ -296,14 +301,25 @@ class Model:
         self.share = np.zeros(17, np.float32)
 
     def pack(self) -> bytes:
+        """All arrays, one after the other, so that executors use them where they lie."""
+        arrays = {k: np.ascontiguousarray(v) for k, v in vars(self).items()}
+        head = json.dumps([(k, v.dtype.str, v.shape) for k, v in arrays.items()]).encode()
         out = io.BytesIO()
-        np.savez(out, h=self.h, c=self.c, cls=self.cls, together=self.together, shape=self.shape, total=self.total, word=self.word, byte=self.byte, code=self.code, w=self.w, bias=self.bias, share=self.share)
+        out.write(struct.pack("<q", len(head)) + head)
+        for v in arrays.values():
+            out.write(bytes(-out.tell() % 64))
+            out.write(v.data if v.size else b"")
         return out.getvalue()
 
     @classmethod
     def unpack(cls, raw: bytes) -> Model:
         m = cls.__new__(cls)
-        m.__dict__.update(np.load(io.BytesIO(raw)))
+        at = 8 + struct.unpack_from("<q", raw)[0]
+        for k, kind, shape in json.loads(raw[8:at]):
+            at += -at % 64
+            n = int(np.prod(shape))
+            setattr(m, k, np.frombuffer(raw, kind, n, at).reshape(shape))
+            at += n * np.dtype(kind).itemsize
         return m
 
     def rows(self, t: Tokens, more: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -400,18 +416,39 @@ class Model:
         bits *= np.float64(1 / np.log(2))
         return bits
 
-    def fit(self, t: Tokens, more: np.ndarray | None = None) -> np.ndarray:
-        """Start of the weights: a few passes of gradient steps over one slice; decisions of each gate."""
+    def _by_gate(self, t: Tokens, more: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Gate, outcomes and predictors (with a last one for the bias) of the decisions of a slice, each gate's together."""
         _, _, _, (_, _, gate, y, x) = self.decisions(t, more, leave_out=True)
-        count = np.bincount(gate, minlength=GATES)
-        n = np.maximum(count, 50)
-        for _ in range(40):
-            z = np.clip(np.einsum("ij,ji->i", self.w[gate], x) + self.bias[gate], -14, 14)
-            err = y - 1 / (1 + np.exp(-z))
-            for o in range(ORDERS):
-                self.w[:, o] += 0.1 * np.bincount(gate, err * x[o], GATES) / n
-            self.bias += 0.5 * np.bincount(gate, err, GATES) / n
-        return count
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        gate, y, x = gate[order], y[order], x[:, order]
+        ends = np.searchsorted(gate, np.arange(GATES + 1))
+        for g, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if i < j:
+                yield g, y[i:j].astype(float), np.vstack([x[:, i:j].astype(float), np.ones((1, j - i))])
+
+    def slopes(self, t: Tokens, more: np.ndarray | None = None) -> np.ndarray:
+        """Of one slice and each gate: the slope of the likelihood in weights and bias, and the curvature."""
+        out = np.zeros((GATES, ORDERS + 1, ORDERS + 2))
+        for g, y, x in self._by_gate(t, more):
+            p = 1 / (1 + np.exp(-np.clip(np.append(self.w[g], self.bias[g]) @ x, -14, 14)))
+            out[g, :, 0] = x @ (y - p)
+            out[g, :, 1:] = (x * (p * (1 - p))) @ x.T
+        return out
+
+    def costs(self, t: Tokens, more: np.ndarray | None, step: np.ndarray) -> np.ndarray:
+        """Of one slice and each gate: what its decisions cost after each of ``STEPS`` of a step."""
+        out = np.zeros((GATES, len(STEPS)))
+        for g, y, x in self._by_gate(t, more):
+            start, more_z = np.append(self.w[g], self.bias[g]) @ x, step[g] @ x
+            for k, share in enumerate(STEPS):
+                z = np.clip(start + share * more_z, -14, 14)
+                out[g, k] = np.log1p(np.exp(np.where(y > 0, -z, z))).sum()
+        return out
+
+
+def newton(total: np.ndarray) -> np.ndarray:
+    """Step of weights and bias of each gate from the sums of ``slopes``; the start counts as ``PRIOR`` even decisions."""
+    return np.stack([np.linalg.solve(m[:, 1:] + PRIOR / 4 * np.eye(ORDERS + 1), m[:, 0]) for m in total])
 
 
 def _more(cols: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -443,21 +480,20 @@ def _others(shared):
     return run
 
 
-def _fit(shared):
+def _fit(shared, step: np.ndarray | None = None):
+    """A task's sums of ``slopes``, or of the ``costs`` of a step, over all its rows, however they are sliced."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        got = sorted((h, x or "") for b in held for h, x in zip(*(b.column(c).to_pylist() for c in ("k", "text")), strict=True))
-        m, more = Model.unpack(shared.value), _more([b.column("more") for b in held])
-        data, off = tx.column_bytes(pa.array([x for _, x in got], pa.string()))
-        start, w, bias, seen = (m.w, m.bias), np.zeros_like(m.w), np.zeros_like(m.bias), np.zeros(GATES)
-        for i, j in tx.slices(off, 1 << 20):
-            m.w, m.bias = (x.copy() for x in start)
-            n = m.fit(Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i]), more)
-            w, bias, seen = w + m.w * n[:, None], bias + m.bias * n, seen + n
-        # The mean over all slices by their decisions; a gate without any keeps its start.
-        m.w = np.where(seen[:, None] > 0, w / np.maximum(seen, 1)[:, None], start[0])
-        m.bias = np.where(seen > 0, bias / np.maximum(seen, 1), start[1])
-        yield pa.RecordBatch.from_arrays([pa.array([m.w.tobytes()], pa.binary()), pa.array([m.bias.tobytes()], pa.binary())], names=["w", "bias"])
+        total, m = 0.0, None
+        for b in batches:
+            m = m or Model.unpack(shared.value)
+            data, off = tx.column_bytes(b.column("text"))
+            more = _more([b.column("more")])
+            for i, j in tx.slices(off, FIT_SLICE):
+                t = Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                total = total + (m.slopes(t, more) if step is None else m.costs(t, more, step))
+        if m is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     return run
 
@@ -517,19 +553,21 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     model = Model(few["h"].view(np.uint64), few["c"], few["kind"].astype(np.int64), tables, few["together"], shape, sums)
     model.share[share["kind"].to_numpy()] = np.log((share["yes"].to_numpy() + 0.5) / (share["no"].to_numpy() + 0.5))
     del few, tables
-    shared, w, bias, frequent = spark.sparkContext.broadcast(model.pack()), model.w, model.bias, spark.sparkContext.broadcast(model.h)
-    del model
-    few = train.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", F.lit(4)).alias("h")).distinct().orderBy("h", "id").limit(FIT_ROWS)
-    start = pick_rows(train, few, {}, FIT_ROWS).select(F.col("h").alias("k"), F.xxhash64("id", "text").alias("key"), "text")
+    shared, frequent = spark.sparkContext.broadcast(model.pack()), spark.sparkContext.broadcast(model.h)
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     others = rows.select(F.col("key").alias("k"), "text").mapInArrow(_others(frequent), "k long, h long").join(words.select("h", "c", "together"), "h")
     others = cut(others.groupBy(F.col("k").alias("key")).agg(F.collect_set(F.struct("h", "c", "together")).alias("more")), "others")
-    start = start.join(others, "key", "left").select("k", "text", "more").repartition(1).mapInArrow(_fit(shared), "w binary, bias binary").first()
-    if start is not None and total:
-        w, bias = np.frombuffer(start["w"]).reshape(GATES, ORDERS), np.frombuffer(start["bias"])
+    joined = rows.join(others, "key", "left").select("doc_id", "text", "more")
+    learn = joined.where(fold != 0).select("text", "more")
+    # Sums of a task are some kilobytes.
+    added = lambda run, *shape: sum((np.frombuffer(r["total"]).reshape(shape) for r in learn.mapInArrow(run, "total binary").toLocalIterator()), np.zeros(shape))
+    step = newton(added(_fit(shared), GATES, ORDERS + 1, ORDERS + 2))
+    best = np.array(STEPS)[added(_fit(shared, step), GATES, len(STEPS)).argmin(axis=1)]
+    w, bias = model.w + best[:, None] * step[:, :ORDERS], model.bias + best * step[:, ORDERS]
+    del model
 
     schema = "doc_id long, n_tokens long, n_known long, base double, bits double, bytes long"
-    out = rows.join(others, "key", "left").select("doc_id", "text", "more").mapInArrow(_score(shared, w, bias), schema)
+    out = joined.mapInArrow(_score(shared, w, bias), schema)
     norm = F.log10(F.lit(float(total)) + F.lit(0.1) * F.lit(float(distinct + 1)))
     return out.select(
         "doc_id",

@@ -155,6 +155,25 @@ def test_lm_start_is_fitted_on_all_slices():
     assert fit("some words of a second slice " * 50) != fit("1 22 333 4444 55555 " * 50)
 
 
+def test_lm_fit_adds_up_over_all_rows():
+    """Sums of tasks and slices are those of all rows together, so that the fit leaves none out."""
+    m = lm_score.Model(np.array([5, 9], np.uint64), np.array([3, 1]), np.array([2, 2]), {})
+    shared = type("Shared", (), {"value": m.pack()})
+    texts = [f"word {i} of {'many ' * (i % 7)} rows {i * i}" for i in range(700)]
+
+    def batch(rows):
+        none = pa.array([None] * len(rows), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("together", pa.int64())])))
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), none], names=["text", "more"])
+
+    add = lambda step, *tasks: sum(np.frombuffer(r["total"]) for task in tasks for b in lm_score._fit(shared, step)(iter(task)) for r in b.to_pylist())
+    steps = np.ones((lm_score.GATES, lm_score.ORDERS + 1))
+    for step in (None, steps):
+        whole = add(step, [batch(texts)])
+        np.testing.assert_allclose(add(step, [batch(texts[:1]), batch(texts[1:400])], [batch(texts[400:])]), whole, rtol=1e-9, atol=1e-9)
+        assert not np.allclose(add(step, [batch(texts[:-1])]), whole, rtol=1e-9, atol=1e-9)
+    assert (lm_score.Model.unpack(m.pack()).code == m.code).all()
+
+
 def test_lm_odd_rows(spark):
     df = docs_of(spark, odd_texts())
     got = {r["doc_id"]: r for r in lm_score.lm_scores(df.unionByName(docs_of(spark, ["a b"], ids=[None]))).collect()}
