@@ -37,19 +37,46 @@ from recolith.scratch import new_path
 
 SEGMENT = 1 << 20
 END_ID = 2
-KEEP = 600_000
+#: Pieces that a worker keeps, and ids of them for each (some 60 bytes a piece in all).
+KEEP, KEEP_IDS = 2_000_000, 8
 #: Pieces of more bytes are not kept for later slices.
 LONG = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Grown:
+    """An array that is appended to, with room to spare so that appending costs what is appended."""
+
+    def __init__(self, kind: type, *first: int):
+        self.room, self.n = np.empty(1 << 12, kind), 0
+        self.add(np.array(first, kind))
+
+    @property
+    def v(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            more = np.empty(max(self.n + len(x), self.n * 3 // 2), self.room.dtype)
+            more[: self.n] = self.v
+            self.room = more
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+def _merged(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted table with more sorted hashes and their places."""
+    at = np.searchsorted(table[0], h)
+    return np.insert(table[0], at, h), np.insert(table[1], at, i)
+
+
 class Pieces:
     """Tokenizes columns piece by piece with the tokenizers library.
 
     Ids of pieces are kept: those of up to 16 bytes with their bytes, found by
     hash in two sorted tables, a large one and a recent one that is merged
-    into it now and then; longer ones by their bytes. At ``KEEP`` pieces all
-    start afresh, so memory is bounded.
+    into it now and then; longer ones by their bytes. At ``KEEP`` pieces, or
+    ``KEEP_IDS`` times as many ids, all start afresh, so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -65,8 +92,8 @@ class Pieces:
 
     def reset(self) -> None:
         self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.w0, self.w1, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.flat, self.start = Grown(np.uint32), Grown(np.int64, 0)
+        self.w0, self.w1, self.size = Grown(np.uint64), Grown(np.uint64), Grown(np.uint8)
         self.long: dict[bytes, int] = {}
 
     def _cuts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,36 +122,41 @@ class Pieces:
                     yield e.ids
                 batch, held = [], 0
 
-    def _tokenize(self, texts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _tokenize(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces and their lengths.
 
         Plain pieces (solid but for a space in front) are joined by line ends,
         which are a token of their own there, and cut apart again at it: the
         library has a cost a call that is far above that of a short piece.
         """
-        lens = np.zeros(len(texts), np.int64)
+        lens = np.zeros(len(starts), np.int64)
         parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * 2
-        joined = np.flatnonzero(plain) if self.line is not None else np.zeros(0, np.int64)
-        alone = np.setdiff1d(np.arange(len(texts)), joined)
+        plain = plain & (self.line is not None)
+        joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
         if len(joined):
-            lines = ["\n".join([texts[i] for i in joined[k : k + 512].tolist()]) for k in range(0, len(joined), 512)]
+            size = ends[joined] - starts[joined] + 1
+            total = np.cumsum(size)
+            text = data[np.minimum(np.repeat(starts[joined] - (total - size), size) + np.arange(total[-1]), len(data) - 1)]
+            text[total - 1] = 10
+            raw, cut = text.tobytes(), np.append(np.append(0, total)[: len(total) : 512], total[-1]).tolist()
+            lines = [raw[a : b - 1].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
             ids = np.concatenate([np.array([*ids, self.line], np.uint32) for ids in self._ids(lines)])
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(joined):
+            at = np.flatnonzero(ids == self.line)
+            if len(at) != len(joined):
                 raise RuntimeError("pieces and line ends do not agree")
-            lens[joined] = np.diff(np.append(-1, ends)) - 1
+            lens[joined] = np.diff(np.append(-1, at)) - 1
             parts[0] = ids[ids != self.line]
         if len(alone):
-            got = list(self._ids([texts[i] for i in alone.tolist()]))
+            got = list(self._ids([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)]))
             lens[alone] = [len(x) for x in got]
             parts[1] = np.array([x for ids in got for x in ids], np.uint32)
         order = np.append(joined, alone)
         flat = np.concatenate(parts)
         at = np.cumsum(lens[order]) - lens[order]
-        begin = np.empty(len(texts), np.int64)
+        begin = np.empty(len(starts), np.int64)
         begin[order] = at
         total = np.cumsum(lens)
-        return flat[np.repeat(begin - (total - lens), lens) + np.arange(total[-1])] if len(texts) else flat, lens
+        return flat[np.repeat(begin - (total - lens), lens) + np.arange(total[-1])], lens
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the number of each row's ids."""
@@ -132,7 +164,7 @@ class Pieces:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         starts, solid = self._cuts(data, off)
         ends = np.append(starts[1:], len(data))
-        if len(self.start) > KEEP:
+        if self.start.n > KEEP or self.flat.n > KEEP_IDS * KEEP:
             self.reset()
         raw, odd = data.tobytes(), np.append(0, np.cumsum(~solid, dtype=np.int32))
         sizes = ends - starts
@@ -152,21 +184,19 @@ class Pieces:
         equal = (w0 == key[0][inv]) & (w1 == key[1][inv]) & (sizes[short] == key[2][inv])
         kept = place >= 0
         same = kept.copy()
-        same[kept] = (self.w0[place[kept]] == key[0][kept]) & (self.w1[place[kept]] == key[1][kept]) & (self.size[place[kept]] == key[2][kept])
+        same[kept] = (self.w0.v[place[kept]] == key[0][kept]) & (self.w1.v[place[kept]] == key[1][kept]) & (self.size.v[place[kept]] == key[2][kept])
         equal &= (same | ~kept)[inv]
         miss = np.flatnonzero(~kept)
         if len(miss):
             at = short[first[miss]]
-            place[miss] = self._keep(raw, starts[at], ends[at], odd, data)
-            self.w0, self.w1, self.size = (np.append(a, k) for a, k in ((self.w0, key[0][miss]), (self.w1, key[1][miss]), (self.size, key[2][miss].astype(np.uint8))))
-            (big_h, big_i), (new_h, new_i) = self.tables
-            new_h, new_i = np.append(new_h, uniq[miss]), np.append(new_i, place[miss])
-            if len(new_h) > 200_000:
-                new_h, new_i, big_h, big_i = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.append(big_h, new_h), np.append(big_i, new_i)
-                order = np.argsort(big_h)
-                big_h, big_i = big_h[order], big_i[order]
-            order = np.argsort(new_h)
-            self.tables = [(big_h, big_i), (new_h[order], new_i[order])]
+            place[miss] = self._keep(starts[at], ends[at], odd, data)
+            for kept_as, k in zip((self.w0, self.w1, self.size), key, strict=True):
+                kept_as.add(k[miss])
+            big, new = self.tables
+            new = _merged(new, uniq[miss], place[miss])
+            if len(new[0]) > 200_000:
+                big, new = _merged(big, *new), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            self.tables = [big, new]
         which[short] = place[inv]
         # Longer pieces, and those whose hash another piece has, are found by their bytes.
         rest = np.sort(np.append(np.flatnonzero(sizes > 16), short[~equal]))
@@ -176,27 +206,27 @@ class Pieces:
             spans = [raw[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
             new = {x: i for x, i in zip(spans, rest.tolist(), strict=True) if x not in self.long}
             at = np.fromiter(new.values(), np.int64, len(new))
-            found = dict(zip(new, self._keep(raw, starts[at], ends[at], odd, data).tolist(), strict=True))
-            for n in ("w0", "w1", "size"):
-                old = getattr(self, n)
-                setattr(self, n, np.append(old, np.zeros(len(found), old.dtype)))
+            found = dict(zip(new, self._keep(starts[at], ends[at], odd, data).tolist(), strict=True))
+            for kept_as in (self.w0, self.w1, self.size):
+                kept_as.add(np.zeros(len(found), np.uint8))
             self.long.update((x, i) for x, i in found.items() if len(x) <= LONG)
             which[rest] = [found[x] if x in found else self.long[x] for x in spans]
-        lens = self.start[which + 1] - self.start[which]
+        begin = self.start.v[which]
+        lens = self.start.v[which + 1] - begin
         total = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.start[which] - (total - lens), lens) + np.arange(total[-1])]
+        ids = self.flat.v[np.repeat(begin - (total - lens), lens) + np.arange(total[-1])]
         upto = np.append(0, total)[np.searchsorted(starts, off)]
         return ids, np.diff(upto)
 
-    def _keep(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, data: np.ndarray) -> np.ndarray:
+    def _keep(self, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Tokenize pieces and keep their ids; the places where they are kept."""
         if not len(starts):
             return np.zeros(0, np.int64)
         plain = odd[ends] - odd[starts] == (data[starts] == 32)
-        ids, lens = self._tokenize([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], plain)
-        place = len(self.start) - 1 + np.arange(len(starts))
-        self.start = np.append(self.start, self.start[-1] + np.cumsum(lens))
-        self.flat = np.append(self.flat, ids)
+        ids, lens = self._tokenize(data, starts, ends, plain)
+        place = self.start.n - 1 + np.arange(len(starts))
+        self.start.add(self.start.v[-1] + np.cumsum(lens))
+        self.flat.add(ids)
         return place
 
 

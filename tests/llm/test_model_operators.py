@@ -55,6 +55,29 @@ def test_pieces_that_differ_in_far_blocks():
         assert ids.tolist() == [i for x in texts for i in tok.encode(x, add_special_tokens=False).ids]
 
 
+def test_pieces_stay_kept(monkeypatch):
+    """A worker's pieces are tokenized once up to the bound, and texts stay right past a bound of ids."""
+    enc, asked = token_ids.Pieces(PATH), []
+    tokenize = enc._tokenize
+    monkeypatch.setattr(enc, "_tokenize", lambda data, starts, *more: asked.append(len(starts)) or tokenize(data, starts, *more))
+    words = np.char.add(" w", np.arange(700_000).astype(str))
+    col = lambda texts: tx.column_bytes(pa.array(texts))
+    for k in range(0, 700_000, 100_000):
+        enc.encode(*col(["".join(words[k : k + 100_000])]))
+    asked.clear()
+    enc.encode(*col(["".join(words[:1000])]))
+    enc.encode(*col(["".join(words[:1000])]))
+    assert sum(asked) == 0
+    monkeypatch.setattr(token_ids, "KEEP", 50)
+    tok = Tokenizer.from_file(PATH)
+    for text in ("".join(words[:300]) + "\nä  ü", "x" * 5000 + " y", "".join(words[200:500])):
+        ids, lens = enc.encode(*col([text, "", text]))
+        want = tok.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want + want and lens.tolist() == [len(want), 0, len(want)]
+    enc.encode(*col(["y"]))
+    assert enc.start.n < 5 and enc.flat.n < 5
+
+
 def test_pieces_with_one_hash(monkeypatch):
     """Pieces whose hashes collide are told apart by their bytes."""
     monkeypatch.setattr(token_ids.tx, "mix", lambda x: x & np.uint64(3))
