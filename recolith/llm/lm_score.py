@@ -62,6 +62,8 @@ FLUSH = 1 << 20
 #: Bytes of text that are taken apart at once; a decision takes some hundred bytes of memory.
 SLICE = 1 << 18
 FIT_SLICE = 1 << 17
+#: Decisions that are summed in single precision.
+SUMS = 1 << 15
 END = np.uint64(0x1F83D9ABFB41BD6B)
 _BOUNDS = np.array([2, 3, 4, 6, 8, 11, 15])
 #: Predictors of a bit of a word's code: no word, one word, two words before.
@@ -273,6 +275,12 @@ def _log_count(c: np.ndarray) -> np.ndarray:
     return np.log(c + 0.4).astype(np.float16)
 
 
+# Numbers of two bytes by their bits, and what such a log count is with one less.
+_VALUE = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
+with np.errstate(over="ignore", invalid="ignore"):
+    _LESS = np.log(np.maximum(np.exp(_VALUE) - 1, 0.4)).astype(np.float32)
+
+
 class Model:
     """What executors get: frequent words and tables of log odds, all of bounded size."""
 
@@ -341,7 +349,7 @@ class Model:
     def decisions(self, t: Tokens, more: np.ndarray | None = None, leave_out: bool = False) -> tuple[dict, np.ndarray, np.ndarray, tuple]:
         """Sequence, counts of words, bits that need no mixing, and all decisions.
 
-        Decisions are row, block, gate, outcome and the predictors' log odds.
+        Decisions are token, gate, outcome and the predictors' log odds.
         With ``leave_out`` a word of the slice does not count itself, so that
         training texts also show how words that were never seen are coded.
         """
@@ -349,7 +357,7 @@ class Model:
         if leave_out:
             c, both = np.maximum(c - 1, 0), np.maximum(both - 1, 1)
         n_rows = len(t.first) - 1
-        tok, gate, y, slots = _word_bits(s)
+        asked, gates, y_above, slots = _word_bits(s)
         word = (s["cls"] != 16) & ~s["match"]
         seen = np.flatnonzero(word & (c > 0))
         # Words of one class and code are told apart by their shares.
@@ -358,56 +366,82 @@ class Model:
         rare = np.flatnonzero(word & (c == 0))
         own = rare - s["row"][rare]
         wd, byte, ctx = _byte_ctx(t, own)
-        node = np.ones(len(byte), np.int64)
+        n_bits = int(self.shape[0])
+        total = len(asked) + len(ask) + n_bits * len(seen) + 8 * len(byte)
+        tok, gate, y, x = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, bool), np.empty((ORDERS, total), np.float32)
+        end = 0
+
+        def put(of: np.ndarray, kind: np.ndarray | int, outcome: np.ndarray) -> np.ndarray:
+            """Place of some more decisions; their predictors."""
+            nonlocal end
+            at, end = slice(end, end + len(of)), end + len(of)
+            tok[at], gate[at], y[at] = of, kind, outcome
+            return x[:, at]
+
+        xs = put(asked, gates, y_above)
+        for o in range(ORDERS):
+            xs[o] = _VALUE[self.word[o].view(np.uint16)[slots[o]]]
         # Whether each of the last three words was one of the training rows.
         known = np.where((c > 0) | (s["cls"] == 16), -1, 1).astype(np.float32)
-        before = [np.where(s["pos"][ask] >= o, known[np.maximum(ask - o, 0)], 0) for o in range(1, ORDERS)]
-        parts_tok, parts_gate, parts_y = [tok, ask], [gate, _FREQ + s["cls"][ask]], [y, c[ask] > 0]
-        parts_x = [np.stack([self.word[o][slots[o]] for o in range(ORDERS)]), np.stack([self.share[s["cls"][ask]], *before])]
+        xs = put(ask, _FREQ + s["cls"][ask], c[ask] > 0)
+        xs[0] = self.share[s["cls"][ask]]
+        for o in range(1, ORDERS):
+            xs[o] = np.where(s["pos"][ask] >= o, known[np.maximum(ask - o, 0)], 0)
+        pairs = [self.code[o].reshape(-1).view(np.uint32) for o in range(CODE_ORDERS)]
+        sign = np.empty(len(seen), np.float32)
         for depth, yb, slots in _code_bits(s, seen, tuple(self.shape.tolist())):
-            x, longest = np.zeros((ORDERS, len(seen)), np.float32), np.zeros(len(seen), np.int32)
+            longest = np.zeros(len(seen), np.uint8)
+            xs = put(seen, 0, yb)
+            xs[CODE_ORDERS:] = 0
+            # A slot's two counts are one number; that of the outcome is its high half for 1.
+            mine_at, other_at = (16 * yb).astype(np.uint32), (16 - 16 * yb).astype(np.uint32)
+            np.subtract(2 * yb, 1, out=sign, casting="unsafe")
             for o in range(CODE_ORDERS):
-                n = self.code[o][slots[o]].astype(np.float32)
-                if leave_out:
-                    n[np.arange(len(seen)), yb] = np.log(np.maximum(np.exp(n[np.arange(len(seen)), yb]) - 1, 0.4))
-                x[o] = n[:, 1] - n[:, 0]
-                longest[(n > -0.9).any(axis=1)] = o
-            parts_tok.append(seen), parts_gate.append(_CODE + 3 * min(depth, 7) + longest), parts_y.append(yb == 1), parts_x.append(x)
+                n = pairs[o].take(slots[o])
+                mine = (_LESS if leave_out else _VALUE).take((n >> mine_at).astype(np.uint16))
+                other = _VALUE.take((n >> other_at).astype(np.uint16))
+                np.multiply(mine - other, sign, out=xs[o])
+                longest[np.maximum(mine, other) > -0.9] = o
+            gate[end - len(seen) : end] = _CODE + 3 * min(depth, 7) + longest
+        node = np.ones(len(byte), np.int64)
+        of = rare[wd]
         for bit in range(7, -1, -1):
             yb = (byte >> bit) & 1
-            parts_tok.append(rare[wd]), parts_gate.append(np.full(len(byte), _BYTE + 7 - bit)), parts_y.append(yb == 1)
-            parts_x.append(np.stack([self.byte[o][ctx[o] * 256 + node] for o in range(ORDERS)]))
+            xs = put(of, _BYTE + 7 - bit, yb)
+            for o in range(ORDERS):
+                xs[o] = _VALUE[self.byte[o].view(np.uint16)[ctx[o] * 256 + node]]
             node = 2 * node + yb
-        tok, gate, y = np.concatenate(parts_tok), np.concatenate(parts_gate), np.concatenate(parts_y).astype(np.float32)
-        x = np.concatenate(parts_x, axis=1).astype(np.float32)
-        return s, c, bits, (s["row"][tok], s["pos"][tok] // BLOCK, gate, y, x)
+        return s, c, bits, (tok, gate, y, x)
 
     def score(self, t: Tokens, more: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
         """Sequence, counts of words, and bits of each row."""
-        s, c, bits, found = self.decisions(t, more)
-        return s, c, bits + self._mix(*found, len(bits))
+        s, c, bits, (tok, gate, y, x) = self.decisions(t, more)
+        return s, c, bits + self._mix(s["row"][tok], (s["pos"] // BLOCK)[tok], gate, y, x, len(bits))
 
     def _mix(self, row: np.ndarray, block: np.ndarray, gate: np.ndarray, y: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
         """Bits of each row; weights of a row change after each of its blocks."""
-        order = np.argsort(block, kind="stable")
-        ends = np.searchsorted(block[order], np.arange(int(block.max()) + 2)) if len(block) else np.zeros(1, np.int64)
+        n_blocks = int(block.max()) + 1 if len(block) else 0
+        # Numbers of two bytes are sorted by radix.
+        order = np.argsort(block.astype(np.uint16) if n_blocks < 1 << 16 else block, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(block, minlength=n_blocks)))
         w = np.tile(self.w.astype(np.float32), (n_rows, 1))
         bias = np.tile(self.bias.astype(np.float32), n_rows)
         bits = np.zeros(n_rows)
-        row, gate, y, x = row[order].astype(np.int32), gate[order], y[order], x[:, order]
+        row, gate, sign, x = row[order].astype(np.int32), gate[order], np.where(y[order], np.float32(1), np.float32(-1)), np.stack([k.take(order) for k in x])
         cells = row * np.int32(GATES) + gate.astype(np.int32)
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if a == b:
                 continue
-            cell, xe, ye = cells[a:b], x[:, a:b], y[a:b]
+            cell, xe, se = cells[a:b], x[:, a:b], sign[a:b]
             z = bias[cell]
             own = w[cell]
             for o in range(ORDERS):
                 z += own[:, o] * xe[o]
             np.clip(z, -14, 14, out=z)
             # The cost of an outcome is softplus of the log odds against it.
-            bits += np.bincount(row[a:b], np.log1p(np.exp(np.where(ye > 0, -z, z))), n_rows)
-            err = ye - 1 / (1 + np.exp(-z))
+            e = np.exp(-se * z)
+            bits += np.bincount(row[a:b], np.log(1 + e), n_rows)
+            err = se * e / (1 + e)
             low, high = int(cell.min()), int(cell.max()) + 1
             cell = cell - low
             for o in range(ORDERS):
@@ -417,32 +451,37 @@ class Model:
         return bits
 
     def _by_gate(self, t: Tokens, more: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Gate, outcomes and predictors (with a last one for the bias) of the decisions of a slice, each gate's together."""
-        _, _, _, (_, _, gate, y, x) = self.decisions(t, more, leave_out=True)
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        gate, y, x = gate[order], y[order], x[:, order]
-        ends = np.searchsorted(gate, np.arange(GATES + 1))
+        """Gate, signs of outcomes and predictors (with a last one for the bias) of the decisions of a slice, each gate's together."""
+        _, _, _, (_, gate, y, x) = self.decisions(t, more, leave_out=True)
+        order = np.argsort(gate, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
+        sign, sorted_x = np.where(y[order], np.float32(1), np.float32(-1)), np.ones((ORDERS + 1, len(order)), np.float32)
+        for o in range(ORDERS):
+            sorted_x[o] = x[o].take(order)
         for g, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-            if i < j:
-                yield g, y[i:j].astype(float), np.vstack([x[:, i:j].astype(float), np.ones((1, j - i))])
+            # Sums of single precision stay short.
+            for k in range(i, j, SUMS):
+                yield g, sign[k : min(j, k + SUMS)], sorted_x[:, k : min(j, k + SUMS)]
 
     def slopes(self, t: Tokens, more: np.ndarray | None = None) -> np.ndarray:
         """Of one slice and each gate: the slope of the likelihood in weights and bias, and the curvature."""
         out = np.zeros((GATES, ORDERS + 1, ORDERS + 2))
-        for g, y, x in self._by_gate(t, more):
-            p = 1 / (1 + np.exp(-np.clip(np.append(self.w[g], self.bias[g]) @ x, -14, 14)))
-            out[g, :, 0] = x @ (y - p)
-            out[g, :, 1:] = (x * (p * (1 - p))) @ x.T
+        start = np.column_stack([self.w, self.bias]).astype(np.float32)
+        for g, sign, x in self._by_gate(t, more):
+            e = np.exp(np.clip(-sign * (start[g] @ x), -14, 14))
+            wrong = e / (1 + e)
+            out[g, :, 0] += x @ (sign * wrong)
+            out[g, :, 1:] += (x * (wrong / (1 + e))) @ x.T
         return out
 
     def costs(self, t: Tokens, more: np.ndarray | None, step: np.ndarray) -> np.ndarray:
         """Of one slice and each gate: what its decisions cost after each of ``STEPS`` of a step."""
         out = np.zeros((GATES, len(STEPS)))
-        for g, y, x in self._by_gate(t, more):
-            start, more_z = np.append(self.w[g], self.bias[g]) @ x, step[g] @ x
+        start, step = np.column_stack([self.w, self.bias]).astype(np.float32), step.astype(np.float32)
+        for g, sign, x in self._by_gate(t, more):
+            z, by = -sign * (start[g] @ x), -sign * (step[g] @ x)
             for k, share in enumerate(STEPS):
-                z = np.clip(start + share * more_z, -14, 14)
-                out[g, k] = np.log1p(np.exp(np.where(y > 0, -z, z))).sum()
+                out[g, k] += np.log(1 + np.exp(np.clip(z + np.float32(share) * by, -14, 14))).sum(dtype=float)
         return out
 
 
@@ -545,7 +584,7 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     few = words.where(F.col("c") >= least).select("h", "c", "kind", "together").toArrow()
     few = {k: few.column(k).to_numpy() for k in few.column_names}
     tables: dict[int, list[tuple[int, bytes]]] = {}
-    for r in counted.where("kind >= 100").groupBy("kind", "h").applyInArrow(_log_odds, "kind short, h long, v binary").toLocalIterator():
+    for r in cut(counted.where("kind >= 100").groupBy("kind", "h").applyInArrow(_log_odds, "kind short, h long, v binary"), "odds").toLocalIterator():
         tables.setdefault(r["kind"], []).append((r["h"], bytes(r["v"])))
     share = words.groupBy("kind").agg(F.sum("c").alias("yes"), F.count_if(F.col("c") <= 1).alias("no")).toPandas()
     sums = np.zeros(17)
@@ -557,10 +596,10 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     others = rows.select(F.col("key").alias("k"), "text").mapInArrow(_others(frequent), "k long, h long").join(words.select("h", "c", "together"), "h")
     others = cut(others.groupBy(F.col("k").alias("key")).agg(F.collect_set(F.struct("h", "c", "together")).alias("more")), "others")
-    joined = rows.join(others, "key", "left").select("doc_id", "text", "more")
+    joined = cut(rows.join(others, "key", "left").select("doc_id", "text", "more"), "joined")  # read three times
     learn = joined.where(fold != 0).select("text", "more")
-    # Sums of a task are some kilobytes.
-    added = lambda run, *shape: sum((np.frombuffer(r["total"]).reshape(shape) for r in learn.mapInArrow(run, "total binary").toLocalIterator()), np.zeros(shape))
+    # Sums of a task are some kilobytes. They are written first: a local iterator runs one task at a time.
+    added = lambda run, *shape: sum((np.frombuffer(r["total"]).reshape(shape) for r in cut(learn.mapInArrow(run, "total binary"), "sums").toLocalIterator()), np.zeros(shape))
     step = newton(added(_fit(shared), GATES, ORDERS + 1, ORDERS + 2))
     best = np.array(STEPS)[added(_fit(shared, step), GATES, len(STEPS)).argmin(axis=1)]
     w, bias = model.w + best[:, None] * step[:, :ORDERS], model.bias + best * step[:, ORDERS]

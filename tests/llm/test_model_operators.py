@@ -410,3 +410,19 @@ def test_lm_fit_of_one_id(spark):
     assert len(got) == 420 and all(r["score"] < 0 for r in got)
     same = {r["score"] for r in got if r["doc_id"] == 7}
     assert len(same) <= 5
+
+
+def test_lm_texts_are_joined_once(spark):
+    """The fit and the scores read texts with their rare words from one table."""
+    out = lm_score.lm_scores(spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x{i}") for i in range(40)], "doc_id long, text string"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 40
+
+
+def test_lm_lookups_equal_the_sums():
+    """Log counts found by their bits, whole and with one less, and in pairs."""
+    c = np.array([0, 1, 2, 9, 70, 5000])
+    n = lm_score._log_count(c)
+    assert np.array_equal(lm_score._VALUE[n.view(np.uint16)], n.astype(np.float32))
+    want = np.log(np.maximum(np.exp(n.astype(np.float64)) - 1, 0.4))
+    assert np.allclose(lm_score._LESS[n.view(np.uint16)], want, atol=1e-5)
