@@ -322,4 +322,4 @@ def _scan(shared, keep: bool, at: int = 1):
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(edits, pa.int32()), pa.array(places, pa.int64())], names=["doc_id", "item_id", "edits", "place"])
 
-    return run
+    return tx.tidy(run)

@@ -322,7 +322,7 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
     """
     run, schema = _signatures(k)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    rows = cut(base.mapInArrow(run, schema), "sig")
+    rows = cut(base.mapInArrow(tx.tidy(run), schema), "sig")
     classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("r")).select("cid", "sketch", "n_shingles", "r.doc_id", "r.th"), "cls")
     light = classes.select("cid", "sketch")
 
@@ -331,7 +331,7 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
         own = classes.select("cid", F.col("doc_id").alias("id"), F.col("th").alias("h")).join(cids, "cid")
         return base.join(own, (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cid", "text").dropDuplicates(["cid"])
 
-    paths = light.mapInArrow(_plant, "path long, cid long")
+    paths = light.mapInArrow(tx.tidy(_plant), "path long, cid long")
     nodes = None
     for level in range(MORE_LEVELS + 1):
         paths = cut(paths, "paths")
@@ -343,15 +343,15 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
         big = met.where(F.col("n") > NODE)
         if level == MORE_LEVELS or big.isEmpty():
             break
-        paths = big.join(light, "cid").select("path", "cid", "sketch").mapInArrow(_branch, "path long, cid long")
+        paths = big.join(light, "cid").select("path", "cid", "sketch").mapInArrow(tx.tidy(_branch), "path long, cid long")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")
-    pairs = _dealt(nodes.select("path", "cid", blocks), light).mapInArrow(_compare, "a long, b long, over boolean, on_trial boolean")
+    pairs = _dealt(nodes.select("path", "cid", blocks), light).mapInArrow(tx.tidy(_compare), "a long, b long, over boolean, on_trial boolean")
     pairs = cut(pairs.groupBy("a", "b").agg(F.max("over").alias("over"), F.max("on_trial").alias("on_trial")), "pairs")
     known = cut(texts(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "texts")
     both = pairs.select("a", "b").join(known.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(known.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    links = cut(both.mapInArrow(_verify(k, least_pct), "a long, b long"), "links")
+    links = cut(both.mapInArrow(tx.tidy(_verify(k, least_pct)), "a long, b long"), "links")
     drop(known)
     comps = _components(links)
     refuted = pairs.where("on_trial").join(links, ["a", "b"], "left_anti")
@@ -366,13 +366,13 @@ def near_text_links(docs: DataFrame, k: int = 5, least_pct: int = 80) -> tuple[D
     rest = cut(marked.join(unsettled, "path", "left_semi").select("path", "cid", "n", "tag"), "rest")
     tags = rest.select("cid", "tag").distinct()
     facts = tags.join(classes.select("cid", "sketch", "n_shingles"), "cid")
-    open_ = cut(_dealt(rest.select("path", "cid", blocks), facts).mapInArrow(_cross(least_pct), "path long, cid long").distinct().join(classes.select("cid", "n_shingles"), "cid"), "open")
+    open_ = cut(_dealt(rest.select("path", "cid", blocks), facts).mapInArrow(tx.tidy(_cross(least_pct)), "path long, cid long").distinct().join(classes.select("cid", "n_shingles"), "cid"), "open")
     if open_.isEmpty():
         return rows, comps
     sizes = open_.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / SHINGLES)).cast("int").alias("nb"))
     facts = open_.groupBy("cid").agg(F.collect_set("path").alias("nodes")).join(tags, "cid")
     facts = facts.join(light, "cid").join(cut(texts(open_.select("cid").distinct()), "texts"), "cid")
-    more = cut(_dealt(open_.select("path", "cid").join(sizes, "path"), facts).mapInArrow(_settle(k, least_pct), "a long, b long"), "links")
+    more = cut(_dealt(open_.select("path", "cid").join(sizes, "path"), facts).mapInArrow(tx.tidy(_settle(k, least_pct)), "a long, b long"), "links")
     return rows, _components(links.unionByName(more))
 
 

@@ -59,6 +59,26 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def tidy(run):
+    """``run`` of a mapInArrow, which gives memory back to the system after each batch.
+
+    Arrow keeps what it has freed for later, as much as the largest batches
+    took, and a worker that waits for its next task would hold it.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                pa.default_memory_pool().release_unused()
+
+        yield from run(given())
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z only, as bytes."""
     return _LOWER[data]

@@ -12,7 +12,7 @@ and a lost task costs one range.
 
 Tokenizing: byte-level pre-tokens never reach across a space that follows a
 solid character, so a text falls into pieces that tokenize alone; a worker
-keeps the ids of the pieces it has seen.
+keeps the ids of the pieces it has seen, and gives other memory back.
 
 Nulls, empty texts and repeated rows: a null text is empty and has the end id
 alone. A null ``doc_id`` comes first. Rows of one ``doc_id`` follow each
@@ -270,10 +270,11 @@ def _pack(path: str, end_id: int):
                 if n >= SEGMENT:
                     yield segment()
                     docs, lens, ids, n, place = [], [], [], 0, place + 1
+            del b, data  # before the next batch comes
         if docs:
             yield segment()
 
-    return run
+    return tx.tidy(run)
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -309,7 +310,7 @@ def read_token_ids(spark, path: str) -> DataFrame:
     starts = index.withColumn("own", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(ranges, "range")
     starts = starts.select("range", "place", (F.col("base") + F.col("own")).alias("start"))
     rows = seg.select("range", "place", "doc_ids", "n_tokens", "segment").join(starts, ["range", "place"])
-    return rows.select("start", "doc_ids", "n_tokens", "segment").mapInArrow(_unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("start", "doc_ids", "n_tokens", "segment").mapInArrow(tx.tidy(_unpack), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark, path: str) -> DataFrame:

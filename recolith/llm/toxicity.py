@@ -136,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_per_cla
     known = known.where(fold(F.col("__id"), folds) != 0).withColumn("h", F.xxhash64("__id", F.lit(5)))
     few = known.where("label = 0").orderBy("h", "__id").limit(max_per_class).union(known.where("label = 1").orderBy("h", "__id").limit(max_per_class))
     rows = pick_rows(docs, few.withColumnRenamed("__id", "id"), {"label": [0, 1]}, max_per_class).select("h", "label", "text")
-    got = rows.mapInArrow(_extract, "h long, label int, ids binary").repartition(1).mapInArrow(_train, "id long, w double").toPandas().sort_values("id")
+    got = rows.mapInArrow(tx.tidy(_extract), "h long, label int, ids binary").repartition(1).mapInArrow(tx.tidy(_train), "id long, w double").toPandas().sort_values("id")
     if not len(got):
         return np.zeros(0, np.uint32), np.zeros(0), -40.0
     return got["id"].to_numpy()[1:].astype(np.uint32), got["w"].to_numpy()[1:], float(got["w"].iloc[0])
@@ -174,7 +174,7 @@ def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, column])
 
     more = [] if column is None else [T.StructField(column, T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(tx.tidy(run), T.StructType([*docs.schema.fields, *more]))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str = "score") -> DataFrame:

@@ -78,6 +78,19 @@ def test_pieces_stay_kept(monkeypatch):
     assert enc.start.n < 5 and enc.flat.n < 5
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """What Arrow holds of freed batches goes back to the system after each batch and at the end of a task."""
+    back = []
+    pool = type("Pool", (), {"release_unused": lambda self: back.append(1)})
+    task = type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": classmethod(lambda cls: 0)})
+    monkeypatch.setattr(token_ids, "TaskContext", task)
+    monkeypatch.setattr(pa, "default_memory_pool", pool)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i, i + 1], "text": ["a b", f"c{i}"]}) for i in (1, 3, 5)]
+    got = [r for b in token_ids._pack(PATH, 2)(iter(batches)) for r in b.to_pylist()]
+    assert [r["doc_ids"] for r in got] == [[1, 2, 3, 4, 5, 6]] and len(back) == 4
+    assert list(tx.tidy(lambda batches: batches)(iter(batches))) == batches and len(back) == 8
+
+
 def test_pieces_with_one_hash(monkeypatch):
     """Pieces whose hashes collide are told apart by their bytes."""
     monkeypatch.setattr(token_ids.tx, "mix", lambda x: x & np.uint64(3))
