@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recolith.llm import textops as tx
-from recolith.scratch import cut
+from recolith.scratch import cut, drop
 
 FREQUENT = 1 << 20
 #: Decisions that the start of the mixing weights counts as.
@@ -584,8 +584,11 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     few = words.where(F.col("c") >= least).select("h", "c", "kind", "together").toArrow()
     few = {k: few.column(k).to_numpy() for k in few.column_names}
     tables: dict[int, list[tuple[int, bytes]]] = {}
-    for r in cut(counted.where("kind >= 100").groupBy("kind", "h").applyInArrow(_log_odds, "kind short, h long, v binary"), "odds").toLocalIterator():
+    odds = cut(counted.where("kind >= 100").groupBy("kind", "h").applyInArrow(_log_odds, "kind short, h long, v binary"), "odds")
+    drop(counted)
+    for r in odds.toLocalIterator():
         tables.setdefault(r["kind"], []).append((r["h"], bytes(r["v"])))
+    drop(odds)
     share = words.groupBy("kind").agg(F.sum("c").alias("yes"), F.count_if(F.col("c") <= 1).alias("no")).toPandas()
     sums = np.zeros(17)
     sums[share["kind"].to_numpy()] = share["yes"].to_numpy()
@@ -594,9 +597,11 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     del few, tables
     shared, frequent = spark.sparkContext.broadcast(model.pack()), spark.sparkContext.broadcast(model.h)
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    others = rows.select(F.col("key").alias("k"), "text").mapInArrow(_others(frequent), "k long, h long").join(words.select("h", "c", "together"), "h")
+    others = rows.select(F.col("key").alias("k"), "text").mapInArrow(_others(frequent), "k long, h long").join(words.where(F.col("c") < least).select("h", "c", "together"), "h")
     others = cut(others.groupBy(F.col("k").alias("key")).agg(F.collect_set(F.struct("h", "c", "together")).alias("more")), "others")
-    joined = cut(rows.join(others, "key", "left").select("doc_id", "text", "more"), "joined")  # read three times
+    joined = cut(rows.join(others, "key", "left").select("doc_id", "text", "more"), "joined", compression="zstd")  # read three times
+    drop(words)
+    drop(others)
     learn = joined.where(fold != 0).select("text", "more")
     # Sums of a task are some kilobytes. They are written first: a local iterator runs one task at a time.
     added = lambda run, *shape: sum((np.frombuffer(r["total"]).reshape(shape) for r in cut(learn.mapInArrow(run, "total binary"), "sums").toLocalIterator()), np.zeros(shape))

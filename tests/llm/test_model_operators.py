@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 
 from recolith.llm import language_id, lm_score, near_vectors, quality, rans, secrets, token_ids
 from recolith.llm import textops as tx
+from recolith.scratch import shared_dir
 from tests.conftest import SF
 from tests.llm.test_text_operators import WORD, docs_of, low, odd_texts
 
@@ -439,3 +441,12 @@ def test_lm_lookups_equal_the_sums():
     assert np.array_equal(lm_score._VALUE[n.view(np.uint16)], n.astype(np.float32))
     want = np.log(np.maximum(np.exp(n.astype(np.float64)) - 1, 0.4))
     assert np.allclose(lm_score._LESS[n.view(np.uint16)], want, atol=1e-5)
+
+
+def test_lm_keeps_only_the_tables_that_are_still_read(spark):
+    """Of its tables on disk, only the texts (and sums of some kilobytes) are left when the scores are computed."""
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "recolith"
+    before = set(folder.glob("*"))
+    out = lm_score.lm_scores(spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x{i}") for i in range(40)], "doc_id long, text string"))
+    assert {p.name.split("-")[0] for p in set(folder.glob("*")) - before} == {"joined", "sums"}
+    assert out.count() == 40
