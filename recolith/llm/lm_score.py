@@ -23,9 +23,11 @@ are sent to the executors; counts of all other words are joined by key before
 the texts are scored, so scores do not depend on ``FREQUENT``. The code's
 length and its tables grow with the training bytes, the tables up to
 ``2**MOST_SLOT_BITS`` slots a predictor; beyond that contexts share slots. The
-start of the mixing weights is a Newton step from fixed weights, by gate. Each
-task sums slope and curvature over its training texts, all of them, and in a
-second pass what shares of the step cost; each gate takes the best share.
+start of the mixing weights is fitted by gate. Each task counts the decisions
+of its training texts, all of them, by gate, outcome and the nearest of
+``LEVELS`` of each predictor; the counts of all tasks are added up, and the
+driver takes Newton steps on them, whose number of cells is fixed. Log odds
+of code bits come from counts in one byte (eight steps to a doubling).
 
 Nulls, empty texts and repeated rows: a null text is empty and has the end
 alone. Rows with a null ``doc_id`` count as held out. Repeated rows are each
@@ -51,8 +53,8 @@ from recolith.scratch import cut, drop
 FREQUENT = 1 << 20
 #: Decisions that the start of the mixing weights counts as.
 PRIOR = 50
-#: Shares of a step of the fit that are tried.
-STEPS = (0, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
+#: Steps of the fit at most, and shares of a step that are tried.
+STEPS, SHARES = 30, (1, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32, 0)
 BLOCK = 64
 RATE, BIAS_RATE = 0.02, 0.03
 ORDERS = 4  # predictors of a decision of either kind
@@ -69,6 +71,11 @@ _BOUNDS = np.array([2, 3, 4, 6, 8, 11, 15])
 #: Predictors of a bit of a word's code: no word, one word, two words before.
 CODE_ORDERS = 3
 MOST_SLOT_BITS = 21
+#: Bits of a code whose slots lie side by side.
+GROUP = 4
+#: Values that stand for predictors while the fit counts decisions.
+LEVELS = np.array([-8, -4, -2, -1, -0.4, 0, 0.4, 1, 2, 4, 8])
+ZERO = 5
 #: Cells of a table that travel in one row.
 CELLS = 1 << 13
 # Gates: 0 end, 1 match, 2-16 shape tree, 17-32 known word (by class), 33-40 bit of a byte, 41-64 bit of a code (by depth and longest context seen).
@@ -82,6 +89,18 @@ def code_shape(train_bytes: int) -> tuple[int, int]:
     return max(8, min(size - 15, 32)), max(16, min(size - 5, MOST_SLOT_BITS))
 
 
+def _paths(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each number of ``k`` bits: nodes on the way down to it, and the bits."""
+    own, depth = np.arange(1 << k)[:, None], np.arange(k)
+    return (1 << depth) | (own >> (k - depth)), ((own >> (k - 1 - depth)) & 1).astype(np.uint8)
+
+
+_PATHS = [_paths(k) for k in range(GROUP + 1)]
+_BYTES = [k.T.copy() for k in _paths(8)]
+#: Of each shape class: gates and outcomes of its decisions.
+_SHAPES = [(_paths(4)[0].astype(np.int32) + _TREE - 1).T.copy(), (_paths(4)[1] == 1).T.copy()]
+
+
 class Tokens:
     """Words of a slice: hash, class and place of each, and each row's first."""
 
@@ -121,42 +140,43 @@ def _sequence(t: Tokens) -> dict[str, np.ndarray]:
     return {"h": h, "cls": cls, "row": row, "pos": pos, "p1": p1, "p2": p2, "c1": c1, "c2": c2, "guess": guess, "match": match, "state": state, "begin": begin}
 
 
-def _word_bits(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Decisions above the words: token, gate, outcome, and slots of the four predictors."""
-    tok = np.arange(len(s["h"]))
-    tok = tok.astype(np.int32)
-    out = [(tok, np.full(len(tok), _END, np.int32), s["cls"] == 16)]
-    word = s["cls"] != 16
-    ask = tok[word & s["guess"]]
-    out.append((ask, np.full(len(ask), _MATCH, np.int32), s["match"][ask]))
-    rest = tok[word & ~s["match"]]
-    own = s["cls"][rest].astype(np.int32)
-    for bit in (3, 2, 1, 0):
-        out.append((rest, (own >> (bit + 1)) + ((16 >> (bit + 1)) + _TREE - 1), (own >> bit) & 1 == 1))
-    tok, gate, y = (np.concatenate(x) for x in zip(*out, strict=True))
-    return tok, gate, y, _word_slots(s, tok, gate)
-
+def _word_bits(s: dict[str, np.ndarray], tok: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Decisions above the words ``tok``: tokens, and their gates, outcomes and slots of the four predictors, a column each.
 
-def _word_slots(s: dict[str, np.ndarray], tok: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    """Slots of a decision: its gate under no context, two classes, the word before, and place with match.
-
-    Each context has 10 bits, the gate the low 6; only the word is hashed.
+    A slot is a decision's gate under no context, two classes, the word
+    before, and place with match. Each context has 10 bits, the gate the low
+    6; only the word is hashed.
     """
     place = np.minimum(np.log2(s["pos"] + 1), 15).astype(np.int32)
     ctx = [np.zeros(len(place), np.int32), (s["c1"] * 32 + s["c2"]).astype(np.int32), (s["p1"] >> np.uint64(54)).astype(np.int32), place * 8 + s["state"].astype(np.int32)]
-    return np.stack([(c[tok] << 6) | gate for c in ctx])
+    cls = s["cls"].take(tok)
+    word = cls != 16
+    asked, rest = word & s["guess"].take(tok), word & ~s["match"].take(tok)
+    ask, cls = tok[asked], cls[rest]
+    for own, gate, y in (
+        (tok, np.full((1, len(tok)), _END, np.int32), ~word[None]),
+        (ask, np.full((1, len(ask)), _MATCH, np.int32), s["match"][ask][None]),
+        (tok[rest], _SHAPES[0].take(cls, axis=1), _SHAPES[1].take(cls, axis=1)),
+    ):
+        yield own, gate, y, [(c.take(own) << 6) | gate for c in ctx]
 
 
 def _code_bits(s: dict[str, np.ndarray], tok: np.ndarray, shape: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """Depth, outcome and slots of each bit of the codes of some words, class known."""
+    """First depth, outcomes and slots of ``GROUP`` bits at a time of the codes of some words, class known.
+
+    A context has one hash for a group; the slots of its nodes differ in the lowest bits, so they lie side by side.
+    """
     bits, slot_bits = shape
     code = (s["h"][tok] >> np.uint64(64 - bits)).astype(np.int64)
     cls = s["cls"][tok].astype(np.uint64)
     one = tx.mix(s["p1"][tok] + (cls + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     base = [tx.mix(cls + np.uint64(77)), one, tx.mix(one + s["p2"][tok] * np.uint64(0xD6E8FEB86659FD93))]
-    for d in range(bits):
+    for d in range(0, bits, GROUP):
+        k = min(GROUP, bits - d)
         node = ((1 << d) | (code >> (bits - d))).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        yield d, (code >> (bits - 1 - d)) & 1, [(((x ^ node) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(64 - slot_bits)).astype(np.int64) for x in base]
+        own = (code >> (bits - d - k)) & ((1 << k) - 1)
+        below, y = _PATHS[k][0].take(own, axis=0), _PATHS[k][1].take(own, axis=0)
+        yield d, y, [(((x ^ node) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(64 - slot_bits)).astype(np.int64)[:, None] ^ below for x in base]
 
 
 def _byte_ctx(t: Tokens, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,12 +242,12 @@ def _count(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> Iterato
             u, first, c = np.unique(t.h, return_index=True, return_counts=True)
             held.append((u, t.cls[first], c))
             s = _sequence(t)
-            _, gate, y, slots = _word_bits(s)
-            for o in range(ORDERS):
-                word_tab[o] += np.bincount(2 * slots[o] + y, minlength=2 * WORD_SLOTS)
+            for _, _, y, slots in _word_bits(s, np.arange(len(s["h"]))):
+                for o in range(ORDERS):
+                    np.add.at(word_tab[o], ((slots[o] << 1) | y).ravel(), 1)
             for _, y, slots in _code_bits(s, np.flatnonzero((s["cls"] != 16) & ~s["match"]), shape):
                 for o in range(CODE_ORDERS):
-                    np.add.at(code_tab[o], 2 * slots[o] + y, np.int32(1))
+                    np.add.at(code_tab[o], ((slots[o] << 1) | y).ravel(), np.int32(1))
             first = np.sort(first)
             _, byte, ctx = _byte_ctx(t, first)
             keys.append((ctx * 256 + byte).astype(np.int32))
@@ -263,7 +283,7 @@ def _log_odds(key: tuple, got: pa.Table) -> pa.Table:
             out[:, pair.shape[1] : 2 * pair.shape[1]] = _stretch(pair[:, :, 0], pair[:, :, 1])
             level = pair.sum(axis=2)
     else:
-        out = _log_count(c)
+        out = _rough(c)
     return pa.table({"kind": pa.array([kind], pa.int16()), "h": pa.array([key[1].as_py()], pa.int64()), "v": pa.array([out.tobytes()], pa.binary())})
 
 
@@ -281,6 +301,33 @@ with np.errstate(over="ignore", invalid="ignore"):
     _LESS = np.log(np.maximum(np.exp(_VALUE) - 1, 0.4)).astype(np.float32)
 
 
+def _rough(c: np.ndarray) -> np.ndarray:
+    """Counts in one byte, eight steps to a doubling; up to 11 they stay exact."""
+    return np.rint(8 * np.log2(c + 1.0)).astype(np.uint8)
+
+
+def _levels(x: np.ndarray) -> np.ndarray:
+    """The nearest of ``LEVELS``, by place."""
+    return np.searchsorted((LEVELS[1:] + LEVELS[:-1]) / 2, x).astype(np.uint8)
+
+
+_COUNTS = 2 ** (np.arange(256) / 8) - 1
+_COUNTS[:29] = np.rint(_COUNTS[:29])
+
+
+def _lookups() -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Log odds, and whether anything was counted, by the two bytes of a slot: as counted; and with one less of the outcome (65,536 further on: 1)."""
+    n = _log_count(_COUNTS).view(np.uint16)
+    whole, less = _VALUE[n], _LESS[n]
+    odds = [whole[:, None] - whole, whole[:, None] - less, less[:, None] - whole]
+    seen = [np.maximum(a[:, None], b) > -0.9 for a, b in ((whole, whole), (whole, less), (less, whole))]
+    return (odds[0].ravel(), seen[0].ravel()), (np.concatenate([x.ravel() for x in odds[1:]]), np.concatenate([x.ravel() for x in seen[1:]]))
+
+
+_WHOLE, _LEFT_OUT = _lookups()
+_VALUE_LEVEL, _LEFT_OUT_LEVEL = _levels(np.nan_to_num(_VALUE)), _levels(_LEFT_OUT[0])
+
+
 class Model:
     """What executors get: frequent words and tables of log odds, all of bounded size."""
 
@@ -292,16 +339,19 @@ class Model:
         self.total = np.bincount(classes, counts, 17) if total is None else total
         self.shape = np.array(shape)
 
-        def filled(kind: int, size: int, empty: float) -> np.ndarray:
-            out = np.full(size, empty, np.float16)
+        # Words by their leading bits, about one each: where those begin.
+        self.first = np.searchsorted(self.h, np.arange(1 << max(8, len(self.h).bit_length()), dtype=np.uint64) << np.uint64(64 - max(8, len(self.h).bit_length()))).astype(np.int32)
+
+        def filled(kind: int, size: int, of: type = np.float16) -> np.ndarray:
+            out = np.zeros(size, of)
             for at, raw in tables.get(kind, []):
-                part = np.frombuffer(raw, np.float16)
+                part = np.frombuffer(raw, of)
                 out[at * len(part) : (at + 1) * len(part)] = part
             return out
 
-        self.word = np.stack([filled(100 + o, WORD_SLOTS, 0) for o in range(ORDERS)])
-        self.byte = np.stack([filled(200 + o, BYTE_CTX * 256, 0) for o in range(ORDERS)])
-        self.code = np.stack([filled(300 + o, 2 << shape[1], np.log(0.4)) for o in range(CODE_ORDERS)]).reshape(CODE_ORDERS, -1, 2)
+        self.word = np.stack([filled(100 + o, WORD_SLOTS) for o in range(ORDERS)])
+        self.byte = np.stack([filled(200 + o, BYTE_CTX * 256) for o in range(ORDERS)])
+        self.code = np.stack([filled(300 + o, 1 << shape[1], np.uint16) for o in range(CODE_ORDERS)])
         self.w = np.full((GATES, ORDERS), 0.4)
         self.w[_FREQ : _FREQ + 16] = [1, 0, 0, 0]
         self.bias = np.zeros(GATES)
@@ -336,20 +386,38 @@ class Model:
         ``more``: hashes, counts and counts of codes of known words that are not frequent.
         """
         s = _sequence(t)
-        u, inv = np.unique(s["h"], return_inverse=True)
-        c, both = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-        for h, n, together in ((self.h, self.c, self.together), more if more is not None else ([], [], [])):
-            if len(h):
-                at = np.searchsorted(h, u)
-                at[at == len(h)] = 0
-                own = h[at] == u
-                c[own], both[own] = n[at[own]], together[at[own]]
-        return s, c[inv], both[inv]
-
-    def decisions(self, t: Tokens, more: np.ndarray | None = None, leave_out: bool = False) -> tuple[dict, np.ndarray, np.ndarray, tuple]:
+        c, both = np.zeros(len(s["h"]), np.int64), np.zeros(len(s["h"]), np.int64)
+        if len(self.h):
+            at = self._find(s["h"])
+            own = self.h.take(at) == s["h"]
+            c[own], both[own] = self.c.take(at[own]), self.together.take(at[own])
+        if more is not None and len(more[0]):
+            rest = np.flatnonzero(c == 0)
+            h, n, together = more
+            at = np.searchsorted(h, s["h"][rest])
+            at[at == len(h)] = 0
+            own = h[at] == s["h"][rest]
+            c[rest[own]], both[rest[own]] = n[at[own]], together[at[own]]
+        return s, c, both
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of the first frequent word that is not below a hash, or of the last."""
+        at = self.first.take((h >> np.uint64(65 - len(self.first).bit_length())).astype(np.int64)).astype(np.int64)
+        last = len(self.h) - 1
+        np.minimum(at, last, out=at)
+        low = np.flatnonzero(self.h.take(at) < h)
+        while len(low := low[at[low] < last]):
+            at[low] += 1
+            low = low[self.h.take(at[low]) < h[low]]
+        return at
+
+    def decisions(self, t: Tokens, more: np.ndarray | None = None, leave_out: bool = False, levels: bool = False) -> tuple[dict, np.ndarray, np.ndarray, list]:
         """Sequence, counts of words, bits that need no mixing, and all decisions.
 
-        Decisions are token, gate, outcome and the predictors' log odds.
+        Decisions are some lists of tokens, each with gates, outcomes and the
+        predictors' log odds, a column a token, or with ``levels`` the nearest
+        levels (of the share of a class any). Tokens are in order of blocks,
+        rows and classes, so that decisions of one gate lie together.
         With ``leave_out`` a word of the slice does not count itself, so that
         training texts also show how words that were never seen are coded.
         """
@@ -357,102 +425,104 @@ class Model:
         if leave_out:
             c, both = np.maximum(c - 1, 0), np.maximum(both - 1, 1)
         n_rows = len(t.first) - 1
-        asked, gates, y_above, slots = _word_bits(s)
+        block = s["block"] = s["pos"] // BLOCK
+        # Numbers of two bytes are sorted by radix.
+        order = np.argsort(s["cls"].astype(np.uint8), kind="stable")
+        for k in (s["row"], block):
+            order = order[np.argsort(k[order].astype(np.uint16 if int(k.max(initial=0)) < 1 << 16 else np.int64), kind="stable")]
+        value = _VALUE_LEVEL if levels else _VALUE
+        out = []
+        for tok, gate, y, slots in _word_bits(s, order):
+            out.append((tok, gate, y, [value.take(self.word[o].view(np.uint16).take(slots[o])) for o in range(ORDERS)]))
         word = (s["cls"] != 16) & ~s["match"]
-        seen = np.flatnonzero(word & (c > 0))
+        ask = order[word[order]]
+        have = c[ask] > 0
+        seen, rare = ask[have], ask[~have]
         # Words of one class and code are told apart by their shares.
         bits = np.bincount(s["row"][seen], np.log2(both[seen] / c[seen]), n_rows).astype(float)
-        ask = np.flatnonzero(word)
-        rare = np.flatnonzero(word & (c == 0))
-        own = rare - s["row"][rare]
-        wd, byte, ctx = _byte_ctx(t, own)
-        n_bits = int(self.shape[0])
-        total = len(asked) + len(ask) + n_bits * len(seen) + 8 * len(byte)
-        tok, gate, y, x = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, bool), np.empty((ORDERS, total), np.float32)
-        end = 0
-
-        def put(of: np.ndarray, kind: np.ndarray | int, outcome: np.ndarray) -> np.ndarray:
-            """Place of some more decisions; their predictors."""
-            nonlocal end
-            at, end = slice(end, end + len(of)), end + len(of)
-            tok[at], gate[at], y[at] = of, kind, outcome
-            return x[:, at]
-
-        xs = put(asked, gates, y_above)
-        for o in range(ORDERS):
-            xs[o] = _VALUE[self.word[o].view(np.uint16)[slots[o]]]
         # Whether each of the last three words was one of the training rows.
         known = np.where((c > 0) | (s["cls"] == 16), -1, 1).astype(np.float32)
-        xs = put(ask, _FREQ + s["cls"][ask], c[ask] > 0)
-        xs[0] = self.share[s["cls"][ask]]
-        for o in range(1, ORDERS):
-            xs[o] = np.where(s["pos"][ask] >= o, known[np.maximum(ask - o, 0)], 0)
-        pairs = [self.code[o].reshape(-1).view(np.uint32) for o in range(CODE_ORDERS)]
-        sign = np.empty(len(seen), np.float32)
+        before = [np.where(s["pos"][ask] >= o, known[np.maximum(ask - o, 0)], 0) for o in range(1, ORDERS)]
+        if levels:
+            x = [np.full(len(ask), ZERO, np.uint8), *((ZERO + 2 * k).astype(np.uint8) for k in before)]
+        else:
+            x = [self.share[s["cls"][ask]], *before]
+        out.append((ask, (_FREQ + s["cls"][ask])[None], have[None], [k[None] for k in x]))
+        odds, counted = _LEFT_OUT if leave_out else _WHOLE
+        if levels:
+            odds = _LEFT_OUT_LEVEL
         for depth, yb, slots in _code_bits(s, seen, tuple(self.shape.tolist())):
-            longest = np.zeros(len(seen), np.uint8)
-            xs = put(seen, 0, yb)
-            xs[CODE_ORDERS:] = 0
-            # A slot's two counts are one number; that of the outcome is its high half for 1.
-            mine_at, other_at = (16 * yb).astype(np.uint32), (16 - 16 * yb).astype(np.uint32)
-            np.subtract(2 * yb, 1, out=sign, casting="unsafe")
+            yb = np.ascontiguousarray(yb.T)
+            longest, x = np.zeros(yb.shape, np.uint8), []
             for o in range(CODE_ORDERS):
-                n = pairs[o].take(slots[o])
-                mine = (_LESS if leave_out else _VALUE).take((n >> mine_at).astype(np.uint16))
-                other = _VALUE.take((n >> other_at).astype(np.uint16))
-                np.multiply(mine - other, sign, out=xs[o])
-                longest[np.maximum(mine, other) > -0.9] = o
-            gate[end - len(seen) : end] = _CODE + 3 * min(depth, 7) + longest
-        node = np.ones(len(byte), np.int64)
-        of = rare[wd]
-        for bit in range(7, -1, -1):
-            yb = (byte >> bit) & 1
-            xs = put(of, _BYTE + 7 - bit, yb)
-            for o in range(ORDERS):
-                xs[o] = _VALUE[self.byte[o].view(np.uint16)[ctx[o] * 256 + node]]
-            node = 2 * node + yb
-        return s, c, bits, (tok, gate, y, x)
+                n = np.ascontiguousarray(self.code[o].take(slots[o]).T)
+                if leave_out:
+                    n = n + (yb.astype(np.int32) << 16)
+                x.append(odds.take(n))
+                if o:
+                    np.maximum(longest, counted.take(n) * np.uint8(o), out=longest)
+            x += [np.full(yb.shape, ZERO if levels else 0, x[0].dtype)] * (ORDERS - CODE_ORDERS)
+            out.append((seen, longest + (_CODE + 3 * np.minimum(np.arange(depth, depth + len(yb)), 7)).astype(np.uint8)[:, None], yb == 1, x))
+        wd, byte, ctx = _byte_ctx(t, rare - s["row"][rare])
+        path, y = _BYTES[0].take(byte, axis=1), _BYTES[1].take(byte, axis=1)
+        x = [value.take(self.byte[o].view(np.uint16).take((ctx[o] * 256) | path)) for o in range(ORDERS)]
+        out.append((rare[wd], np.broadcast_to(np.arange(_BYTE, _BYTE + 8)[:, None], path.shape), y == 1, x))
+        return s, c, bits, out
 
     def score(self, t: Tokens, more: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
         """Sequence, counts of words, and bits of each row."""
-        s, c, bits, (tok, gate, y, x) = self.decisions(t, more)
-        return s, c, bits + self._mix(s["row"][tok], (s["pos"] // BLOCK)[tok], gate, y, x, len(bits))
+        s, c, bits, decisions = self.decisions(t, more)
+        return s, c, bits + self._mix(s, decisions, len(bits))
 
-    def _mix(self, row: np.ndarray, block: np.ndarray, gate: np.ndarray, y: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
-        """Bits of each row; weights of a row change after each of its blocks."""
-        n_blocks = int(block.max()) + 1 if len(block) else 0
-        # Numbers of two bytes are sorted by radix.
-        order = np.argsort(block.astype(np.uint16) if n_blocks < 1 << 16 else block, kind="stable")
-        ends = np.append(0, np.cumsum(np.bincount(block, minlength=n_blocks)))
-        w = np.tile(self.w.astype(np.float32), (n_rows, 1))
-        bias = np.tile(self.bias.astype(np.float32), n_rows)
+    def _mix(self, s: dict[str, np.ndarray], decisions: list, n_rows: int) -> np.ndarray:
+        """Bits of each row; weights of a row change after each of its blocks.
+
+        Decisions of one row and gate come in runs, whose sums are added up.
+        """
+        n_blocks = int(s["block"].max(initial=-1)) + 1
+        first_cell = (s["row"] * GATES).astype(np.int32)
+        parts = [(np.add(first_cell.take(tok), gate, dtype=np.int32, casting="unsafe"), y, *x) for tok, gate, y, x in decisions]
+        ends = [np.searchsorted(s["block"].take(tok), np.arange(n_blocks + 1)).tolist() for tok, _, _, _ in decisions]
+        w = np.stack([np.tile(k.astype(np.float32), n_rows) for k in (*self.w.T, self.bias)])
         bits = np.zeros(n_rows)
-        row, gate, sign, x = row[order].astype(np.int32), gate[order], np.where(y[order], np.float32(1), np.float32(-1)), np.stack([k.take(order) for k in x])
-        cells = row * np.int32(GATES) + gate.astype(np.int32)
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            cell, xe, se = cells[a:b], x[:, a:b], sign[a:b]
-            z = bias[cell]
-            own = w[cell]
+        for b in range(n_blocks):
+            own = [(p, slice(e[b], e[b + 1])) for p, e in zip(parts, ends, strict=True) if e[b] < e[b + 1]]
+            cell, sign, *xs = (np.concatenate([p[f][:, k].ravel() for p, k in own]) for f in range(2 + ORDERS))
+            sign = sign.astype(np.float32)
+            sign *= 2
+            sign -= 1
+            begin = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
+            size = np.diff(begin, append=len(cell))
+            cell = cell[begin]
+            low, high = int(cell.min()), int(cell.max()) + 1
+            here = w[:, low:high]
+            cell -= low
+            # Log odds of the outcome, from predictors with its sign.
+            z = np.repeat(here[ORDERS].take(cell), size)
+            z *= sign
             for o in range(ORDERS):
-                z += own[:, o] * xe[o]
+                xs[o] *= sign
+                by = np.repeat(here[o].take(cell), size)
+                by *= xs[o]
+                z += by
             np.clip(z, -14, 14, out=z)
             # The cost of an outcome is softplus of the log odds against it.
-            e = np.exp(-se * z)
-            bits += np.bincount(row[a:b], np.log(1 + e), n_rows)
-            err = se * e / (1 + e)
-            low, high = int(cell.min()), int(cell.max()) + 1
-            cell = cell - low
+            e = np.exp(np.negative(z, out=z), out=z)
+            more = e + np.float32(1)
+            bits += np.bincount((cell + low) // GATES, np.add.reduceat(np.log(more), begin), n_rows)
+            e /= more
             for o in range(ORDERS):
-                w[low:high, o] += RATE / 4 * np.clip(np.bincount(cell, err * xe[o]), -20, 20)
-            bias[low:high] += BIAS_RATE * np.bincount(cell, err)
-        bits *= np.float64(1 / np.log(2))
-        return bits
+                xs[o] *= e
+                here[o] += RATE / 4 * np.clip(np.bincount(cell, np.add.reduceat(xs[o], begin)), -20, 20)
+            e *= sign
+            here[ORDERS] += BIAS_RATE * np.bincount(cell, np.add.reduceat(e, begin))
+        return bits / np.log(2)
 
     def _by_gate(self, t: Tokens, more: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Gate, signs of outcomes and predictors (with a last one for the bias) of the decisions of a slice, each gate's together."""
-        _, _, _, (_, gate, y, x) = self.decisions(t, more, leave_out=True)
+        _, _, _, parts = self.decisions(t, more, leave_out=True)
+        gate, y = (np.concatenate([p[k].ravel() for p in parts]).astype(of) for k, of in ((1, np.uint8), (2, bool)))
+        x = [np.concatenate([p[3][o].ravel() for p in parts]) for o in range(ORDERS)]
         order = np.argsort(gate, kind="stable")
         ends = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
         sign, sorted_x = np.where(y[order], np.float32(1), np.float32(-1)), np.ones((ORDERS + 1, len(order)), np.float32)
@@ -463,31 +533,50 @@ class Model:
             for k in range(i, j, SUMS):
                 yield g, sign[k : min(j, k + SUMS)], sorted_x[:, k : min(j, k + SUMS)]
 
-    def slopes(self, t: Tokens, more: np.ndarray | None = None) -> np.ndarray:
-        """Of one slice and each gate: the slope of the likelihood in weights and bias, and the curvature."""
-        out = np.zeros((GATES, ORDERS + 1, ORDERS + 2))
-        start = np.column_stack([self.w, self.bias]).astype(np.float32)
-        for g, sign, x in self._by_gate(t, more):
-            e = np.exp(np.clip(-sign * (start[g] @ x), -14, 14))
-            wrong = e / (1 + e)
-            out[g, :, 0] += x @ (sign * wrong)
-            out[g, :, 1:] += (x * (wrong / (1 + e))) @ x.T
-        return out
+    def tally(self, t: Tokens, more: np.ndarray | None, total: np.ndarray) -> None:
+        """Add to ``total`` the decisions of one slice, by gate, levels of the predictors and outcome."""
+        for _, gate, y, x in self.decisions(t, more, leave_out=True, levels=True)[3]:
+            at = gate.astype(np.int64)
+            for o in range(ORDERS):
+                at *= len(LEVELS)
+                at += x[o]
+            np.add.at(total, ((at << 1) | y).ravel(), 1)
 
     def costs(self, t: Tokens, more: np.ndarray | None, step: np.ndarray) -> np.ndarray:
-        """Of one slice and each gate: what its decisions cost after each of ``STEPS`` of a step."""
-        out = np.zeros((GATES, len(STEPS)))
+        """Of one slice and each gate: what its decisions cost after each of ``SHARES`` of a step."""
+        out = np.zeros((GATES, len(SHARES)))
         start, step = np.column_stack([self.w, self.bias]).astype(np.float32), step.astype(np.float32)
         for g, sign, x in self._by_gate(t, more):
             z, by = -sign * (start[g] @ x), -sign * (step[g] @ x)
-            for k, share in enumerate(STEPS):
+            for k, share in enumerate(SHARES):
                 out[g, k] += np.log(1 + np.exp(np.clip(z + np.float32(share) * by, -14, 14))).sum(dtype=float)
         return out
 
 
-def newton(total: np.ndarray) -> np.ndarray:
-    """Step of weights and bias of each gate from the sums of ``slopes``; the start counts as ``PRIOR`` even decisions."""
-    return np.stack([np.linalg.solve(m[:, 1:] + PRIOR / 4 * np.eye(ORDERS + 1), m[:, 0]) for m in total])
+def fitted(start: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights and bias of a gate from predictors (with a last one for the bias) and counts of both outcomes; the start counts as ``PRIOR`` even decisions."""
+
+    def cost(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n[:, 0] @ np.logaddexp(0, z) + n[:, 1] @ np.logaddexp(0, -z) + PRIOR / 8 * ((w - start) ** 2).sum())
+
+    w, now = start, cost(start)
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n[:, 1] - n.sum(axis=1) * p) - PRIOR / 4 * (w - start)
+        step = np.linalg.solve((x.T * (n.sum(axis=1) * p * (1 - p))) @ x + PRIOR / 4 * np.eye(len(w)), slope)
+        share = next((k for k in SHARES if k and cost(w + k * step) < now), 0)
+        if not share:
+            break
+        w = w + share * step
+        now = cost(w)
+    return w
+
+
+def _sums(key: tuple, got: pa.Table) -> pa.Table:
+    """One block of the tally, over all tasks."""
+    total = sum(np.frombuffer(v.as_buffer()) for v in got.column("total"))
+    return pa.table({"key": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
 
 
 def _more(cols: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -520,23 +609,47 @@ def _others(shared):
 
 
 def _fit(shared, step: np.ndarray | None = None):
-    """A task's sums of ``slopes``, or of the ``costs`` of a step, over all its rows, however they are sliced."""
+    """A task's tally in blocks, or the ``costs`` of a step, over all its rows, however they are sliced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, m = 0.0, None
         for b in batches:
-            m = m or Model.unpack(shared.value)
+            if m is None:
+                m = Model.unpack(shared.value)
+                total = np.zeros(2 * GATES * len(LEVELS) ** ORDERS, np.int64) if step is None else total
             data, off = tx.column_bytes(b.column("text"))
             more = _more([b.column("more")])
             for i, j in tx.slices(off, FIT_SLICE):
                 t = Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                total = total + (m.slopes(t, more) if step is None else m.costs(t, more, step))
+                if step is None:
+                    m.tally(t, more, total)
+                else:
+                    total = total + m.costs(t, more, step)
         if m is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+            # A block: one gate, one level of each of the first two predictors.
+            total = total.reshape(GATES * len(LEVELS) ** 2, -1) if step is None else total.reshape(1, -1)
+            key = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array([total[k].astype(float).tobytes() for k in key], pa.binary())], names=["key", "total"])
 
     return run
 
 
+def _start(model: Model, blocks: Iterator[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of all gates from the blocks of the tally."""
+    total = np.zeros((GATES * len(LEVELS) ** 2, 2 * len(LEVELS) ** 2))
+    for k, v in blocks:
+        total[k] = np.frombuffer(v)
+    x = np.stack([LEVELS[i] for i in np.indices((len(LEVELS),) * ORDERS).reshape(ORDERS, -1)] + [np.ones(len(LEVELS) ** ORDERS)], axis=1)
+    out = np.column_stack([model.w, model.bias])
+    for g, n in enumerate(total.reshape(GATES, -1, 2)):
+        own = np.flatnonzero(n.any(axis=1))
+        at = x[own]
+        if _FREQ <= g < _FREQ + 16:
+            at[:, 0] = model.share[g - _FREQ]
+        out[g] = fitted(out[g], at, n[own])
+    return out[:, :ORDERS], out[:, ORDERS]
+
+
 def _score(shared, w: np.ndarray, bias: np.ndarray):
     cache: list[Model] = []
 
@@ -549,7 +662,7 @@ def _score(shared, w: np.ndarray, bias: np.ndarray):
         for b in batches:
             data, off = tx.column_bytes(b.column("text"))
             more = _more([b.column("more")])
-            for i, j in tx.slices(off, SLICE):
+            for i, j in tx.slices(off, FIT_SLICE):
                 t = Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 s, c, bits = m.score(t, more)
                 base = np.bincount(s["row"], np.log10(c + 0.1), j - i).astype(float)
@@ -603,11 +716,8 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     drop(words)
     drop(others)
     learn = joined.where(fold != 0).select("text", "more")
-    # Sums of a task are some kilobytes. They are written first: a local iterator runs one task at a time.
-    added = lambda run, *shape: sum((np.frombuffer(r["total"]).reshape(shape) for r in cut(learn.mapInArrow(run, "total binary"), "sums").toLocalIterator()), np.zeros(shape))
-    step = newton(added(_fit(shared), GATES, ORDERS + 1, ORDERS + 2))
-    best = np.array(STEPS)[added(_fit(shared, step), GATES, len(STEPS)).argmin(axis=1)]
-    w, bias = model.w + best[:, None] * step[:, :ORDERS], model.bias + best * step[:, ORDERS]
+    sums = cut(learn.mapInArrow(_fit(shared), "key int, total binary").groupBy("key").applyInArrow(_sums, "key int, total binary"), "sums")
+    w, bias = _start(model, ((r["key"], r["total"]) for r in sums.toLocalIterator()))
     del model
 
     schema = "doc_id long, n_tokens long, n_known long, base double, bits double, bytes long"

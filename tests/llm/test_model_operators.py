@@ -450,3 +450,58 @@ def test_lm_keeps_only_the_tables_that_are_still_read(spark):
     out = lm_score.lm_scores(spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x{i}") for i in range(40)], "doc_id long, text string"))
     assert {p.name.split("-")[0] for p in set(folder.glob("*")) - before} == {"joined", "sums"}
     assert out.count() == 40
+
+
+def test_lm_fit_reads_training_texts_once(spark):
+    """One pass over the training texts finds the start of the mixing weights."""
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "recolith"
+    before = set(folder.glob("sums-*"))
+    lm_score.lm_scores(spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x{i}") for i in range(40)], "doc_id long, text string"))
+    assert len(set(folder.glob("sums-*")) - before) == 1
+
+
+def lm_model(texts):
+    """A model that has counted some texts, and their words as frequent ones."""
+    shape = (8, 16)
+    rows = [r for b in lm_score._count(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), shape) for r in b.to_pylist()]
+    tables = {}
+    for r in rows:
+        if r["kind"] >= 100:
+            got = lm_score._log_odds((pa.scalar(r["kind"]), pa.scalar(r["h"])), pa.table({"v": pa.array([r["v"]], pa.binary())}))
+            tables.setdefault(r["kind"], []).append((r["h"], got.column("v")[0].as_py()))
+    words = [r for r in rows if r["kind"] <= 16]
+    return lm_score.Model(np.array([r["h"] for r in words], np.int64).view(np.uint64), np.array([r["c"] for r in words]), np.array([r["kind"] for r in words]), tables, shape=shape)
+
+
+def test_lm_mix_equals_a_plain_loop():
+    """Decisions one by one: weights of a row and gate change after each block of its tokens."""
+    m = lm_model([f"ab cd, ef{i % 9} gh ab cd ef{i % 5}." for i in range(300)])
+    t = lm_score.Tokens(*tx.column_bytes(pa.array(["ab cd, ef3 gh new words xyz " * 30, "", "cd ab unseen " * 25])))
+    s, _, bits, parts = m.decisions(t)
+    flat = [(int(s["pos"][tok[i]]) // lm_score.BLOCK, int(s["row"][tok[i]]), int(gate[k, i]), bool(y[k, i]), [float(v[k, i]) for v in x]) for tok, gate, y, x in parts for k in range(len(gate)) for i in range(len(tok))]
+    assert len({d[0] for d in flat}) > 2
+    want, w = bits.copy(), {}
+    for block in sorted({d[0] for d in flat}):
+        slope = {}
+        for _, row, gate, y, x in (d for d in flat if d[0] == block):
+            own = w.setdefault((row, gate), [*m.w[gate], m.bias[gate]])
+            z = sum(a * b for a, b in zip(own, [*x, 1.0], strict=True)) * (1 if y else -1)
+            want[row] += math.log2(1 + math.exp(-z))
+            wrong = (1 if y else -1) / (1 + math.exp(z))
+            slope[row, gate] = [a + wrong * b for a, b in zip(slope.get((row, gate), [0.0] * 5), [*x, 1.0], strict=True)]
+        for k, g in slope.items():
+            w[k] = [a + (lm_score.RATE / 4 * min(max(b, -20), 20) if o < 4 else lm_score.BIAS_RATE * b) for o, (a, b) in enumerate(zip(w[k], g, strict=True))]
+    np.testing.assert_allclose(m.score(t)[2], want, rtol=1e-4)
+
+
+def test_lm_start_from_the_tally_costs_less():
+    """Weights fitted on levels of the predictors are better on the predictors themselves."""
+    texts = [f"word {i} of {'many ' * (i % 7)} rows {i * i}" for i in range(700)]
+    m = lm_model(texts)
+    shared = type("Shared", (), {"value": m.pack()})
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([None] * 700, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("together", pa.int64())])))], names=["text", "more"])
+    blocks = [(r["key"], r["total"]) for got in lm_score._fit(shared)(iter([b])) for r in got.to_pylist()]
+    w, bias = lm_score._start(m, iter(blocks))
+    step = np.column_stack([w - m.w, bias - m.bias])
+    cost = sum(np.frombuffer(r["total"]) for got in lm_score._fit(shared, step)(iter([b])) for r in got.to_pylist()).reshape(lm_score.GATES, -1)
+    assert cost[:, lm_score.SHARES.index(1)].sum() < 0.9 * cost[:, lm_score.SHARES.index(0)].sum()
