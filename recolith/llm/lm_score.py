@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ BYTE_CTX = 1 << BYTE_BITS
 FLUSH = 1 << 20
 #: Bytes of text that are taken apart at once; a decision takes some hundred bytes of memory.
 SLICE = 1 << 18
-FIT_SLICE = 1 << 17
+FIT_SLICE, SCORE_SLICE = 1 << 17, 1 << 19
 #: Decisions that are summed in single precision.
 SUMS = 1 << 15
 END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -209,14 +210,6 @@ def _count(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> Iterato
     byte_tab = np.zeros((ORDERS, BYTE_CTX * 256), np.int32)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     docs = 0
-    keys: list[np.ndarray] = []
-
-    def add_bytes(most: int) -> None:
-        """Add up what is held once it is more than ``most``; a count over all slots costs a pass over them."""
-        if sum(k.shape[1] for k in keys) > most:
-            for o in range(ORDERS):
-                byte_tab[o] += np.bincount(np.concatenate([k[o] for k in keys]), minlength=BYTE_CTX * 256).astype(np.int32)
-            keys.clear()
 
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, cls, c = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -250,8 +243,8 @@ def _count(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> Iterato
                     np.add.at(code_tab[o], ((slots[o] << 1) | y).ravel(), np.int32(1))
             first = np.sort(first)
             _, byte, ctx = _byte_ctx(t, first)
-            keys.append((ctx * 256 + byte).astype(np.int32))
-            add_bytes(1 << 21)
+            for o in range(ORDERS):
+                np.add.at(byte_tab[o], ctx[o] * 256 + byte, np.int32(1))
             if sum(len(x[0]) for x in held) > FLUSH:
                 held = [merged()]
                 if len(held[0][0]) > FLUSH // 2:
@@ -260,7 +253,6 @@ def _count(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> Iterato
     if held:
         u, cls, c = merged()
         yield rows(cls, u, c)
-    add_bytes(0)
     if docs:
         yield rows(16, np.array([END]), np.array([docs]))
         for kind, tab in ((100, word_tab), (200, byte_tab), (300, code_tab)):
@@ -415,7 +407,7 @@ class Model:
         """Sequence, counts of words, bits that need no mixing, and all decisions.
 
         Decisions are some lists of tokens, each with gates, outcomes and the
-        predictors' log odds, a column a token, or with ``levels`` the nearest
+        predictors' log odds (of code bits three), a column a token, or with ``levels`` the nearest
         levels (of the share of a class any). Tokens are in order of blocks,
         rows and classes, so that decisions of one gate lie together.
         With ``leave_out`` a word of the slice does not count itself, so that
@@ -449,8 +441,7 @@ class Model:
             x = [self.share[s["cls"][ask]], *before]
         out.append((ask, (_FREQ + s["cls"][ask])[None], have[None], [k[None] for k in x]))
         odds, counted = _LEFT_OUT if leave_out else _WHOLE
-        if levels:
-            odds = _LEFT_OUT_LEVEL
+        odds = _LEFT_OUT_LEVEL if levels else odds
         for depth, yb, slots in _code_bits(s, seen, tuple(self.shape.tolist())):
             yb = np.ascontiguousarray(yb.T)
             longest, x = np.zeros(yb.shape, np.uint8), []
@@ -460,8 +451,7 @@ class Model:
                     n = n + (yb.astype(np.int32) << 16)
                 x.append(odds.take(n))
                 if o:
-                    np.maximum(longest, counted.take(n) * np.uint8(o), out=longest)
-            x += [np.full(yb.shape, ZERO if levels else 0, x[0].dtype)] * (ORDERS - CODE_ORDERS)
+                    np.maximum(longest, (counted.take(n) if leave_out else n != 0) * np.uint8(o), out=longest)
             out.append((seen, longest + (_CODE + 3 * np.minimum(np.arange(depth, depth + len(yb)), 7)).astype(np.uint8)[:, None], yb == 1, x))
         wd, byte, ctx = _byte_ctx(t, rare - s["row"][rare])
         path, y = _BYTES[0].take(byte, axis=1), _BYTES[1].take(byte, axis=1)
@@ -481,40 +471,61 @@ class Model:
         """
         n_blocks = int(s["block"].max(initial=-1)) + 1
         first_cell = (s["row"] * GATES).astype(np.int32)
-        parts = [(np.add(first_cell.take(tok), gate, dtype=np.int32, casting="unsafe"), y, *x) for tok, gate, y, x in decisions]
-        ends = [np.searchsorted(s["block"].take(tok), np.arange(n_blocks + 1)).tolist() for tok, _, _, _ in decisions]
+        # Bits of codes, which have a predictor less, come last.
+        decisions = sorted(decisions, key=lambda d: len(d[3]), reverse=True)
+        parts = [(np.add(first_cell.take(tok), gate, dtype=np.int32, casting="unsafe"), y, x) for tok, gate, y, x in decisions]
+        ends = np.array([np.searchsorted(s["block"].take(tok), np.arange(n_blocks + 1)) for tok, _, _, _ in decisions])
+        most = int((np.diff(ends, axis=1) * np.array([len(p[0]) for p in parts])[:, None]).sum(axis=0).max(initial=0))
+        cells, signs, signed, odds, by = np.empty(most, np.int32), np.empty(most, np.float32), np.empty((ORDERS, most), np.float32), np.empty(most, np.float32), np.empty(most, np.float32)
         w = np.stack([np.tile(k.astype(np.float32), n_rows) for k in (*self.w.T, self.bias)])
         bits = np.zeros(n_rows)
-        for b in range(n_blocks):
-            own = [(p, slice(e[b], e[b + 1])) for p, e in zip(parts, ends, strict=True) if e[b] < e[b + 1]]
-            cell, sign, *xs = (np.concatenate([p[f][:, k].ravel() for p, k in own]) for f in range(2 + ORDERS))
-            sign = sign.astype(np.float32)
-            sign *= 2
-            sign -= 1
-            begin = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
-            size = np.diff(begin, append=len(cell))
+        for a, b in zip(ends.T[:-1].tolist(), ends.T[1:].tolist(), strict=True):
+            n = [0] * (ORDERS + 1)  # decisions that have so many predictors
+            at, column = 0, []
+            for (cell, y, x), i, j in zip(parts, a, b, strict=True):
+                if i == j:
+                    continue
+                here, own = slice(at, at := at + len(cell) * (j - i)), (len(cell), j - i)
+                column.extend(range(here.start, at, j - i))
+                cells[here].reshape(own)[:] = cell[:, i:j]
+                sign = signs[here].reshape(own)
+                np.multiply(y[:, i:j], np.float32(2), out=sign)
+                sign -= 1
+                for o, k in enumerate(x):
+                    np.multiply(k[:, i:j], sign, out=signed[o, here].reshape(own))
+                    n[o] = at
+            cell = cells[:at]
+            # A run ends with its column, so that a row's sums don't depend on the other rows.
+            new = np.empty(at, bool)
+            np.not_equal(cell[1:], cell[:-1], out=new[1:])
+            new[column] = True
+            begin = np.flatnonzero(new)
+            size = np.diff(begin, append=at)
             cell = cell[begin]
             low, high = int(cell.min()), int(cell.max()) + 1
             here = w[:, low:high]
             cell -= low
-            # Log odds of the outcome, from predictors with its sign.
+            # Runs of decisions that have a predictor.
+            runs = [int(np.searchsorted(begin, k)) for k in n]
+            # Log odds against the outcome.
             z = np.repeat(here[ORDERS].take(cell), size)
-            z *= sign
+            z *= signs[:at]
             for o in range(ORDERS):
-                xs[o] *= sign
-                by = np.repeat(here[o].take(cell), size)
-                by *= xs[o]
-                z += by
+                k = by[: n[o]]
+                np.multiply(np.repeat(here[o].take(cell[: runs[o]]), size[: runs[o]]), signed[o, : n[o]], out=k)
+                z[: n[o]] += k
+            np.negative(z, out=z)
             np.clip(z, -14, 14, out=z)
-            # The cost of an outcome is softplus of the log odds against it.
-            e = np.exp(np.negative(z, out=z), out=z)
-            more = e + np.float32(1)
-            bits += np.bincount((cell + low) // GATES, np.add.reduceat(np.log(more), begin), n_rows)
+            # The cost of an outcome is softplus of them.
+            e = np.exp(z, out=z)
+            more = np.add(e, np.float32(1), out=odds[:at])
+            bits += np.bincount((cell + low) // GATES, np.add.reduceat(np.log(more, out=by[:at]), begin), n_rows)
             e /= more
             for o in range(ORDERS):
-                xs[o] *= e
-                here[o] += RATE / 4 * np.clip(np.bincount(cell, np.add.reduceat(xs[o], begin)), -20, 20)
-            e *= sign
+                if runs[o]:
+                    k = np.multiply(signed[o, : n[o]], e[: n[o]], out=by[: n[o]])
+                    here[o] += RATE / 4 * np.clip(np.bincount(cell[: runs[o]], np.add.reduceat(k, begin[: runs[o]]), high - low), -20, 20)
+            e *= signs[:at]
             here[ORDERS] += BIAS_RATE * np.bincount(cell, np.add.reduceat(e, begin))
         return bits / np.log(2)
 
@@ -522,7 +533,7 @@ class Model:
         """Gate, signs of outcomes and predictors (with a last one for the bias) of the decisions of a slice, each gate's together."""
         _, _, _, parts = self.decisions(t, more, leave_out=True)
         gate, y = (np.concatenate([p[k].ravel() for p in parts]).astype(of) for k, of in ((1, np.uint8), (2, bool)))
-        x = [np.concatenate([p[3][o].ravel() for p in parts]) for o in range(ORDERS)]
+        x = [np.concatenate([p[3][o].ravel() if o < len(p[3]) else np.zeros(p[1].size, np.float32) for p in parts]) for o in range(ORDERS)]
         order = np.argsort(gate, kind="stable")
         ends = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
         sign, sorted_x = np.where(y[order], np.float32(1), np.float32(-1)), np.ones((ORDERS + 1, len(order)), np.float32)
@@ -539,7 +550,7 @@ class Model:
             at = gate.astype(np.int64)
             for o in range(ORDERS):
                 at *= len(LEVELS)
-                at += x[o]
+                at += x[o] if o < len(x) else ZERO
             np.add.at(total, ((at << 1) | y).ravel(), 1)
 
     def costs(self, t: Tokens, more: np.ndarray | None, step: np.ndarray) -> np.ndarray:
@@ -660,9 +671,11 @@ def _score(shared, w: np.ndarray, bias: np.ndarray):
         m = cache[0]
         names = ["doc_id", "n_tokens", "n_known", "base", "bits", "bytes"]
         for b in batches:
+            # Blocks are mixed one after the other, those of all rows of a slice at once: rows of like length share slices.
+            b = b.take(pc.sort_indices(pc.binary_length(b.column("text"))))
             data, off = tx.column_bytes(b.column("text"))
             more = _more([b.column("more")])
-            for i, j in tx.slices(off, FIT_SLICE):
+            for i, j in tx.slices(off, SCORE_SLICE):
                 t = Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 s, c, bits = m.score(t, more)
                 base = np.bincount(s["row"], np.log10(c + 0.1), j - i).astype(float)

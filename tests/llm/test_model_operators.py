@@ -485,10 +485,10 @@ def test_lm_mix_equals_a_plain_loop():
         slope = {}
         for _, row, gate, y, x in (d for d in flat if d[0] == block):
             own = w.setdefault((row, gate), [*m.w[gate], m.bias[gate]])
-            z = sum(a * b for a, b in zip(own, [*x, 1.0], strict=True)) * (1 if y else -1)
+            z = sum(a * b for a, b in zip(own, [*x, *[0.0] * (4 - len(x)), 1.0], strict=True)) * (1 if y else -1)
             want[row] += math.log2(1 + math.exp(-z))
             wrong = (1 if y else -1) / (1 + math.exp(z))
-            slope[row, gate] = [a + wrong * b for a, b in zip(slope.get((row, gate), [0.0] * 5), [*x, 1.0], strict=True)]
+            slope[row, gate] = [a + wrong * b for a, b in zip(slope.get((row, gate), [0.0] * 5), [*x, *[0.0] * (4 - len(x)), 1.0], strict=True)]
         for k, g in slope.items():
             w[k] = [a + (lm_score.RATE / 4 * min(max(b, -20), 20) if o < 4 else lm_score.BIAS_RATE * b) for o, (a, b) in enumerate(zip(w[k], g, strict=True))]
     np.testing.assert_allclose(m.score(t)[2], want, rtol=1e-4)
